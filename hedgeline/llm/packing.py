@@ -29,7 +29,7 @@ from .common import Scratch, text_of
 
 CAPACITY = 2048
 #: Parts of a length among which ranks are dealt, so that a length that a third of all items have is no single task.
-SALTS = 64
+SALTS = 16
 PIECES = "doc_id bigint, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 RESULT = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 

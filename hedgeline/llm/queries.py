@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_runs, packing, toxicity
+from . import bpe, line_runs, packing, simhash, toxicity
 from .common import Scratch, small_batches, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -63,3 +63,10 @@ marked AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
+
+
+@query
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "simhash"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")

@@ -35,9 +35,9 @@ class Settings:
     bits: int = 20
     train_rows: int = 10_000
     epochs: int = 2
-    alpha: float = 0.1
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 1.5
+    l1: float = 6.0
     l2: float = 1.0
     seed: int = 17
 
