@@ -94,7 +94,8 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, batches: int = BATCHES, fan
     runs = Runs(scratch, fan_in)
     for batch in range(len(set(cuts)) + 1):
         runs.add(lines.where(F.col("batch") == batch).drop("batch"))
-    repeated = runs.merged().where(F.col("n") >= min_documents).select(*HASH, "top")
+    # written, so that the join's sides are plain shuffles and Spark may split a line that very many documents have
+    repeated = scratch.keep(runs.merged().where(F.col("n") >= min_documents).select(*HASH, "top"), "repeated")
     lost = lines.join(repeated, [*HASH]).where(F.col("doc_id") != F.col("top"))
     return lost.groupBy("doc_id").agg(F.collect_set(F.struct(*HASH)).alias("drop"))
 
