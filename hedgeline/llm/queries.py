@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_runs, packing, simhash, toxicity
+from . import bpe, line_runs, packing, simhash, suffixes, toxicity
 from .common import Scratch, small_batches, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -28,6 +28,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return suffixes.dedup_digests(table(spark, sf_dir, "documents"), Scratch(spark, "suffixes"))
+
+
 @query
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
