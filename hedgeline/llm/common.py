@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch that holds whole texts. Texts reach 100 kB and more, so that the default of 10,000 rows could be over a GB.
 TEXT_BATCH_ROWS = 512
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,8 +45,13 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         """Write df once and return the written table."""
-        writer = df.write.mode("overwrite").option("compression", "zstd")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.base}/{name}")
+        before = self.spark.conf.get(FREE_SHUFFLES)
+        self.spark.conf.set(FREE_SHUFFLES, "true")  # what was written is read from now on, so the shuffle files behind it can go
+        try:
+            writer = df.write.mode("overwrite").option("compression", "zstd")
+            (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.base}/{name}")
+        finally:
+            self.spark.conf.set(FREE_SHUFFLES, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
     def drop(self, name: str = "") -> None:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_runs, packing, simhash, suffixes, toxicity
+from . import bpe, chat, line_runs, packing, pseudo_likelihood, simhash, suffixes, toxicity
 from .common import Scratch, small_batches, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -76,3 +76,35 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "simhash"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, 64)  # an example holds its whole context
+    marks = r"\### Assistant: </turn> ok"
+    planted = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(marks).alias("text"))
+    return chat.digests(chat.expand(table(spark, sf_dir, "conversations").select(*planted.columns).union(planted)))
+
+
+ORACLES["op9_chat_formatting"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+written AS (
+  SELECT *, length('<turn >') + length(chr(10)) * 3 + length('</turn>')
+            + length(replace(replace(role, '\', '\\'), '>', '\>')) + length(replace(replace(text, '\', '\\'), '<', '\<')) AS chars FROM turns),
+placed AS (
+  SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n, sum(chars) OVER w AS so_far
+  FROM written WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(so_far) FILTER (WHERE role = 'assistant' OR place = n) AS formatted_chars
+FROM placed GROUP BY conv_id"""
+
+
+@query
+def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return pseudo_likelihood.score_documents(table(spark, sf_dir, "documents"))

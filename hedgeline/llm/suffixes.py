@@ -370,3 +370,14 @@ def dedup_digests(docs: DataFrame, scratch: Scratch, depth: Depth = Depth()) ->
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_bytes": [len(r) for r in raws], "n_removed": [k[1] for k in kept], "n_spans": [k[2] for k in kept], "kept_sha256": [hashlib.sha256(k[0]).hexdigest() for k in kept]})
 
     return with_spans(text_of(docs), scratch, depth).mapInPandas(digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame, scratch: Scratch, depth: Depth = Depth()) -> DataFrame:
+    """Every row of docs with all its columns and the text that is left; a character that loses a byte goes whole."""
+
+    @F.pandas_udf("string")
+    def left(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([kept_parts(t.encode(), s)[0].decode(errors="ignore") for t, s in zip(texts, spans, strict=True)])
+
+    rows = with_spans(docs.withColumn("text", F.coalesce("text", F.lit(""))), scratch, depth)
+    return rows.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(left("text", "spans"))).drop("spans")

@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_of
 
@@ -171,12 +172,17 @@ def score_documents(docs: DataFrame, labels: DataFrame, settings: Settings = Set
 
 
 def scored_rows(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The same scores beside all columns of docs, which are rows of the columns of documents."""
+    """The same scores as a column score beside all columns of docs, which pass through untouched."""
+    import pyarrow as pa
+
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, settings))
+    rows = docs.drop("score")
 
-    def run(frames):
-        for frame in frames:
-            scores = pd.concat([x for x in scored(iter([frame[["text"]].fillna("")]), model, settings.bits)] or [pd.DataFrame({"score": []})])
-            yield frame.assign(score=scores["score"].to_numpy())
+    def run(batches):
+        for batch in batches:
+            texts = pd.DataFrame({"text": [text or "" for text in batch.column("text").to_pylist()]})
+            scores = [part["score"].to_numpy() for part in scored(iter([texts]), model, settings.bits)]
+            column = pa.array(np.concatenate(scores) if scores else np.zeros(0), type=pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "score"])
 
-    return docs.mapInPandas(run, docs.schema.add("score", "double"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
