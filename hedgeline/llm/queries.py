@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, line_runs, packing, pseudo_likelihood, simhash, suffixes, toxicity
+from . import bpe, chat, cover_tree, line_runs, multiprobe, packing, pseudo_likelihood, simhash, suffixes, toxicity
 from .common import Scratch, small_batches, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -71,6 +71,12 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id"""
 
 
+@query
+def op6_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, 2048)
+    return multiprobe.nearest(table(spark, sf_dir, "embeddings"), Scratch(spark, "neighbours"))
+
+
 @query
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
@@ -78,6 +84,12 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op8_cover_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, 2048)
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark, "cover-tree"))
+
+
 @query
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark, 64)  # an example holds its whole context
