@@ -46,7 +46,7 @@ class Index:
     tables: int = 2
     projections: int = 6
     width: float = 1.5
-    success: float = 0.7
+    success: float = 0.77
     fit_rows: int = 4_000
     least: int = 400
     shard_rows: int = 8_192
