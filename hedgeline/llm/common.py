@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 #: Rows in an Arrow batch that holds whole texts. Texts reach 100 kB and more, so that the default of 10,000 rows could be over a GB.
 TEXT_BATCH_ROWS = 512
@@ -28,6 +32,31 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def map_rows(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = 50_000) -> DataFrame:
+    """mapInPandas over frames of about so many rows, for narrow rows in a session whose Arrow batches are sized for texts."""
+    import pyarrow as pa
+
+    out = to_arrow_schema(_parse_datatype_string(schema))
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= rows:
+                yield pa.Table.from_batches(held).to_pandas()
+                held, size = [], 0
+        if held:
+            yield pa.Table.from_batches(held).to_pandas()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in f(gathered(batches)):
+            if len(frame):
+                yield pa.RecordBatch.from_pandas(frame, schema=out, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
+
+
 class Scratch:
     """Intermediate tables in the folder that all executors share.
 

@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_of
+from .common import Scratch, map_rows, text_of
 
 #: Rows that a group of the last refinement may have before it is grouped by single strings.
 GROUP_ROWS = 20_000
@@ -320,11 +320,11 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, depth: Depth = Depth()) ->
     texts = text_of(docs).where(F.col("doc_id").isNotNull())
     long = texts.where(F.octet_length("text") >= depth.length)
     met = long.mapInPandas(lambda frames: read_anchors(frames, depth), ANCHORS).repartition("bucket").sortWithinPartitions("bucket", "context", "doc_id", "place")
-    found = scratch.keep(met.mapInPandas(classes, FOUND), "classes")
+    found = scratch.keep(map_rows(met, classes, FOUND), "classes")
     of_document = found.where(F.col("kind") == CLASS).groupBy("doc_id").agg(F.collect_list(F.struct("place", "bucket")).alias("found"))
     contexts = texts.join(of_document, "doc_id").mapInPandas(lambda frames: sides(frames, depth), SIDES)
     sorted_ = contexts.repartition("bucket").sortWithinPartitions("bucket")
-    spans = scratch.keep(sorted_.mapInPandas(lambda frames: refined(frames, depth), SPANS), "spans")
+    spans = scratch.keep(map_rows(sorted_, lambda frames: refined(frames, depth), SPANS, GROUP_ROWS), "spans")
     singles = spans.where(F.col("kind") == SINGLE).select("name", "doc_id", "start", "stop")
     first = singles.groupBy("name").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     later = singles.join(first, "name").where(F.col("first") != F.struct("doc_id", "start"))
