@@ -13,8 +13,8 @@ links it found. Equal fingerprints are merged first.
 
 The trees are made on the driver from a bounded sample of fingerprints; how
 well it stands for the rest decides how even the shards are, not which links
-are found. A shard with more than SHARD_ROWS residents or visitors (many near
-copies) is dealt out as a grid of parts of that size.
+are found. A shard with more than RESIDENTS or VISITORS (many near copies) is dealt out
+as a grid of parts of that size.
 """
 
 from __future__ import annotations
@@ -27,15 +27,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_of
+from .common import Scratch, map_rows, text_of
 from .components import components, forest
 
 WORDS, RADIUS, SEED = 4, 4, 42
 BLOCKS = tuple(np.uint64(sum(1 << i for i in range(start, stop))) for start, stop in ((0, 22), (22, 43), (43, 64)))
 #: Fingerprints in the sample that trees are made from; 8 bytes each.
 SAMPLE = 65_536
-#: Fingerprints that a leaf is meant to hold, the most levels, and the rows that a part of a shard holds.
-LEAF, LEVELS, SHARD_ROWS = 2_000, 14, 8_192
+#: Fingerprints that a leaf is meant to hold, the most levels, and the residents and visitors of a part of a shard.
+LEAF, LEVELS, RESIDENTS, VISITORS = 2_000, 14, 8_192, 65_536
 
 
 def fingerprint(text: str, words: int = WORDS) -> int:
@@ -121,20 +121,23 @@ def routed(frames: Iterator[pd.DataFrame], trees, radius: int) -> Iterator[pd.Da
 
 def dealt(frames: Iterator[pd.DataFrame], parts) -> Iterator[pd.DataFrame]:
     """Deal the rows of large shards out over a grid: residents to one row of it, visitors to one column."""
-    table: dict[int, tuple[int, int]] = parts.value
+    shards, across, down = parts.value
     for frame in frames:
-        shard, home = frame["shard"].to_numpy(), frame["home"].to_numpy()
-        large = np.isin(shard, list(table)) if table else np.zeros(len(shard), dtype=bool)
-        yield frame[~large].assign(part=0)
-        for one in np.unique(shard[large]):
-            rows = frame[shard == one]
-            across, down = table[int(one)]
-            spread = (rows["bits"].to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-            own = rows["home"].to_numpy()
-            for k in range(down):
-                yield rows[own].assign(part=spread[own] % across * down + k)
-            for k in range(across):
-                yield rows.assign(part=k * down + spread % down, home=False)
+        shard, bits, home = (frame[c].to_numpy() for c in ("shard", "bits", "home"))
+        if not len(shards):
+            yield frame.assign(part=0)
+            continue
+        place = np.minimum(np.searchsorted(shards, shard), len(shards) - 1)
+        large = shards[place] == shard
+        high, wide = np.where(large, across[place], 1), np.where(large, down[place], 1)
+        spread = (bits.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+        for own in (True, False):  # every row is a visitor; a resident also lives in each column of its row
+            rows = np.flatnonzero(home if own else large | ~home)
+            times = wide[rows] if own else high[rows]
+            again = np.repeat(rows, times)
+            k = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+            part = spread[again] % high[again] * wide[again] + k if own else k * wide[again] + spread[again] % wide[again]
+            yield pd.DataFrame({"shard": shard[again], "bits": bits[again], "home": own, "part": part})
 
 
 def linked(shard: pd.DataFrame, radius: int) -> pd.DataFrame:
@@ -162,11 +165,11 @@ def links_between(bits: DataFrame, scratch: Scratch, radius: int = RADIUS) -> Da
     sample = bits.orderBy(F.xxhash64("bits")).limit(SAMPLE).toPandas()["bits"].to_numpy().view(np.uint64)  # at most SAMPLE
     levels = int(np.clip(np.ceil(np.log2(max(1, n / LEAF))), 0, LEVELS))
     trees = spark.sparkContext.broadcast(plant(sample, levels))  # 3 trees of at most 2**LEVELS nodes
-    rows = bits.mapInPandas(partial(routed, trees=trees, radius=radius), "shard bigint, bits bigint, home boolean")
-    rows = scratch.keep(rows, "shards")
-    sizes = rows.groupBy("shard").agg(F.count_if("home").alias("own"), F.count("*").alias("all")).where(F.col("all") > SHARD_ROWS).collect()  # at most 3 * 2**LEVELS leaves
-    grid = spark.sparkContext.broadcast({r["shard"]: (-(-max(r["own"], 1) // SHARD_ROWS), -(-r["all"] // SHARD_ROWS)) for r in sizes})
-    parts = rows.mapInPandas(partial(dealt, parts=grid), "shard bigint, bits bigint, home boolean, part bigint")
+    rows = scratch.keep(map_rows(bits, partial(routed, trees=trees, radius=radius), "shard bigint, bits bigint, home boolean"), "shards")
+    sizes = rows.groupBy("shard").agg(F.count_if("home").alias("own"), F.count("*").alias("all")).where((F.col("own") > RESIDENTS) | (F.col("all") > VISITORS)).orderBy("shard").toPandas()  # at most 3 * 2**LEVELS leaves
+    split = [sizes["shard"].to_numpy(), *(np.maximum(1, -(-sizes[c].to_numpy() // most)) for c, most in (("own", RESIDENTS), ("all", VISITORS)))]
+    grid = spark.sparkContext.broadcast(split)
+    parts = map_rows(rows, partial(dealt, parts=grid), "shard bigint, bits bigint, home boolean, part bigint")
     return parts.groupBy("shard", "part").applyInPandas(partial(linked, radius=radius), "a bigint, b bigint")
 
 
