@@ -1,4 +1,480 @@
 """The queries over the test tables and the SQL that each must equal."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import display, quality, text
+from ..operators import batching, consensus, listing, match, normalize, similarity, stats, store, trace
+from ..sources.fixtures import AS_OF, Tables, oracle
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def now() -> Column:
+    return F.expr(AS_OF)
+
+
+def on(template: str, column: str) -> str:
+    return template.replace("{0}", column)
+
+
+def query(sql: str | None = None):
+    """Register a function of Tables under its name, with the SQL that it must equal."""
+
+    def register(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLES[f.__name__] = oracle(sql)
+        return f
+
+    return register
+
+
+REASON = f"""CASE WHEN close_time <= {AS_OF} THEN 'expired' WHEN yes_ask IS NULL AND no_ask IS NULL THEN 'no_quote'
+ WHEN venue = 'b' AND book_depth < 1 THEN 'no_depth' WHEN venue = 'a' AND liquidity < 10 THEN 'no_depth'
+ WHEN volume < 1 AND NOT (venue = 'b' AND open_interest > 0) THEN 'no_activity'
+ WHEN yes_bid IS NOT NULL AND yes_ask IS NOT NULL AND yes_ask - yes_bid > 0.4 THEN 'wide_spread' ELSE 'kept' END"""
+OPEN = f"(close_time IS NULL OR close_time > {AS_OF})"
+
+
+# Quality and normalising
+
+
+@query(f"SELECT {REASON} AS reason, count(*) AS n FROM markets GROUP BY 1")
+def q01_quality_tally(t):
+    return stats.quality_tally(t.markets(), now())
+
+
+@query(f"SELECT ticker, volume, price FROM markets WHERE {REASON} = 'kept'")
+def q02_quality_kept(t):
+    return t.markets().where(quality.reject_reason(now()).isNull()).select("ticker", "volume", "price")
+
+
+@query("""SELECT ticker, round(CASE WHEN yes_ask > 0 AND yes_ask < 1 THEN 1 - yes_ask END, 6) AS no_bid,
+ round(CASE WHEN yes_bid > 0 AND yes_bid < 1 THEN 1 - yes_bid END, 6) AS no_ask, round(price, 6) AS price
+ FROM markets WHERE venue = 'a' AND id % 19 <> 0""")
+def q03_normalize_a_book(t):
+    m = t.venue("a")
+    s = lambda c: F.col(c).cast("string")
+    raw = m.select(
+        F.col("ticker").alias("conditionId"), F.col("title").alias("question"), F.col("label").alias("description"), F.lit('["Yes", "No"]').alias("outcomes"), F.concat(F.lit('["'), s("price"), F.lit('", "x"]')).alias("outcomePrices"),
+        s("yes_bid").alias("bestBid"), s("yes_ask").alias("bestAsk"), F.lit(None).cast("string").alias("lastTradePrice"), s("volume").alias("volumeNum"), F.lit(None).cast("string").alias("volume"), s("liquidity").alias("liquidityNum"),
+        F.lit(None).cast("string").alias("liquidity"), s("close_time").alias("endDate"), F.lit(True).alias("enableOrderBook"), F.lit(None).cast("boolean").alias("acceptingOrders"), (F.col("id") % 19 == 0).alias("closed"), F.array(F.struct(F.col("event_title").alias("title"))).alias("events"),
+    )
+    return normalize.markets_a(raw, F.lit(0)).select("ticker", F.round("no_bid", 6).alias("no_bid"), F.round("no_ask", 6).alias("no_ask"), F.round("price", 6).alias("price"))
+
+
+@query("""SELECT ticker, event_title, round(CASE WHEN yes_bid IS NOT NULL AND yes_ask IS NOT NULL THEN (yes_bid + yes_ask) / 2 ELSE price END, 6) AS price,
+ yes_bid, yes_ask, book_depth FROM markets WHERE venue = 'b' AND id % 23 <> 0 AND event_title IS NOT NULL""")
+def q04_normalize_b_mid(t):
+    m = t.venue("b").where("event_title IS NOT NULL")
+    s = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("0.0000"))
+    half = (F.col("book_depth") / 2).cast("string")
+    nested = F.struct(
+        F.col("ticker"), F.lit("e").alias("event_ticker"), F.lit("binary").alias("market_type"), F.when(F.col("id") % 23 == 0, "closed").alias("status"), F.col("title"), F.col("label").alias("yes_sub_title"), F.lit("").alias("rules_primary"),
+        F.col("close_time").cast("string").alias("close_time"), s("price").alias("last_price_dollars"), s("yes_bid").alias("yes_bid_dollars"), s("yes_ask").alias("yes_ask_dollars"), F.lit("0").alias("no_bid_dollars"), s("no_ask").alias("no_ask_dollars"),
+        half.alias("yes_bid_size_fp"), half.alias("yes_ask_size_fp"), s("volume").alias("volume_fp"), s("open_interest").alias("open_interest_fp"),
+    )
+    events = m.groupBy(F.col("event_title").alias("event_ticker")).agg(F.first("event_title").alias("title"), F.collect_list(nested).alias("markets"))
+    return normalize.markets_b(events, F.lit(0)).select("ticker", "event_title", F.round("price", 6).alias("price"), "yes_bid", "yes_ask", "book_depth")
+
+
+@query("SELECT ticker, event_id, price FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY event_id) AS n FROM ticks) x WHERE n = 1")
+def q05_dedupe_first(t):
+    return normalize.first_seen(t.ticks(), "ticker", "event_id").select("ticker", "event_id", "price")
+
+
+# State and history
+
+SWEEPS = """WITH state AS (SELECT ticker, price, event_id FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, event_id DESC) AS n FROM ticks
+  WHERE ts < TIMESTAMP '2024-01-20 00:00:00' AND event_id % 10 <> 7 AND ticker <> 'T-3') x WHERE n = 1),
+incoming AS (SELECT ticker, price, event_id FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts, event_id) AS n FROM ticks
+  WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' AND event_id % 10 <> 7 AND ticker <> 'T-5') x WHERE n = 1)"""
+
+
+def _sweeps(t: Tables) -> tuple[DataFrame, DataFrame]:
+    ticks, cut = t.ticks().where("event_id % 10 <> 7"), F.expr("TIMESTAMP '2024-01-20 00:00:00'")
+    last = ticks.where((F.col("ts") < cut) & (F.col("ticker") != "T-3")).withColumns({"turn": -F.unix_micros("ts"), "then": -F.col("event_id")})
+    return tuple(normalize.first_seen(rows, "ticker", *order).select("ticker", "price", "event_id") for rows, order in ((last, ("turn", "then")), (ticks.where((F.col("ts") >= cut) & (F.col("ticker") != "T-5")), ("ts", "event_id"))))
+
+
+@query(SWEEPS + """ SELECT coalesce(n.ticker, s.ticker) AS ticker, CASE WHEN n.ticker IS NULL THEN s.price ELSE n.price END AS price,
+ coalesce(CASE WHEN n.event_id % 2 = 0 THEN concat('t', CAST(n.event_id AS VARCHAR(20))) END, concat('t', CAST(s.event_id AS VARCHAR(20)))) AS title, n.ticker IS NOT NULL AS touched
+ FROM state s FULL OUTER JOIN incoming n ON s.ticker = n.ticker""")
+def q06_upsert_merge(t):
+    state, incoming = _sweeps(t)
+    name = F.concat(F.lit("t"), F.col("event_id").cast("string"))
+    old = state.select("ticker", "price", name.alias("title"), F.expr("TIMESTAMP '2024-01-01 00:00:00'").alias("updated_at"))
+    new = incoming.select("ticker", "price", F.when(F.col("event_id") % 2 == 0, name).alias("title"))
+    return store.upsert(old, new, now()).select("ticker", "price", "title", (F.col("updated_at") == now()).alias("touched"))
+
+
+@query(SWEEPS + " SELECT n.ticker, n.price FROM incoming n LEFT JOIN state s ON s.ticker = n.ticker WHERE s.ticker IS NULL OR n.price IS DISTINCT FROM s.price")
+def q07_history_append(t):
+    state, incoming = _sweeps(t)
+    return store.changed_prices(incoming, state, "ticker", "price")
+
+
+@query("""SELECT ticker, event_id, price FROM (SELECT *, lag(price) OVER w AS before, row_number() OVER w AS n FROM ticks WINDOW w AS (PARTITION BY ticker ORDER BY ts, event_id)) x
+ WHERE n = 1 OR price IS DISTINCT FROM before""")
+def q08_history_replay(t):
+    return store.price_changes(t.ticks(), "ticker", "ts", "event_id").select("ticker", "event_id", "price")
+
+
+@query("SELECT id, ticker FROM markets WHERE venue = 'a' AND id % 3 = 0 AND id NOT IN (SELECT a_id FROM pairs)")
+def q09_prune_stale(t):
+    state = t.venue("a").withColumn("updated_at", F.when(F.col("id") % 3 == 0, F.expr("TIMESTAMP '2024-01-14 00:00:00'")).otherwise(now()))
+    return store.stale(state, now(), t.pairs().select(F.col("a_id").alias("id"))).select("id", "ticker")
+
+
+# Lists
+
+
+@query(f"""SELECT id, ticker, volume, count(*) OVER () AS total_count FROM markets
+ WHERE (title ILIKE '%gear%' OR event_title ILIKE '%gear%' OR ticker ILIKE '%gear%') AND volume >= 1000 AND price >= 0.1 AND price <= 0.9
+ AND (yes_ask IS NOT NULL OR no_ask IS NOT NULL) AND close_time BETWEEN {AS_OF} AND {AS_OF} + INTERVAL 30 DAY ORDER BY volume DESC NULLS LAST, id LIMIT 20 OFFSET 20""")
+def q10_list_filtered_page(t):
+    q = listing.ListQuery(search="gear", min_volume=1000, min_price=0.1, max_price=0.9, tradable=True, closing_days=30, limit=20, offset=20)
+    return listing.page(t.markets(), q, now()).select("id", "ticker", "volume", "total_count")
+
+
+@query("SELECT id, round(yes_ask - yes_bid, 6) AS spread FROM markets ORDER BY yes_ask - yes_bid ASC NULLS LAST, id LIMIT 50")
+def q11_list_sort_spread(t):
+    return listing.page(t.markets(), listing.ListQuery(sort="spread", ascending=True, limit=50), now()).select("id", F.round(F.col("yes_ask") - F.col("yes_bid"), 6).alias("spread"))
+
+
+@query("SELECT id, count(*) OVER () AS total_count FROM markets ORDER BY volume DESC, id LIMIT 10 OFFSET 1000000")
+def q12_list_past_end(t):
+    return listing.page(t.markets(), listing.ListQuery(limit=10, offset=1_000_000), now()).select("id", "total_count")
+
+
+@query(f"""SELECT id, ticker, volume FROM markets WHERE {OPEN} AND (starts_with(lower(ticker), 'a-1') OR contains(lower(title), 'a-1') OR coalesce(contains(lower(event_title), 'a-1'), false))
+ ORDER BY volume DESC, id LIMIT 12""")
+def q13_typeahead(t):
+    return listing.typeahead(t.markets(), "A-1", now()).select("id", "ticker", "volume")
+
+
+@query("SELECT ticker, max(event_id) AS event_id FROM ticks GROUP BY ticker")
+def q14_latest_by_ticker(t):
+    history = t.ticks().select("ticker", F.col("event_id").alias("timestamp"), "price")
+    return listing.latest_ticks(history).select("ticker", F.col("timestamp").alias("event_id"))
+
+
+@query("SELECT event_id, ticker, price FROM ticks WHERE event_id BETWEEN 100 AND 499")
+def q15_time_range(t):
+    return listing.between(t.ticks(), "event_id", 100, 499).select("event_id", "ticker", "price")
+
+
+# Statistics
+
+
+@query(f"SELECT venue, count(*) AS total, count(*) FILTER (WHERE {OPEN}) AS open, coalesce(sum(volume) FILTER (WHERE {OPEN}), 0) AS open_volume, max(close_time) AS last_update FROM markets GROUP BY venue")
+def q16_venue_summary(t):
+    return stats.venue_summary(t.markets().withColumn("updated_at", F.col("close_time")), now())
+
+
+@query(f"""WITH counts AS (SELECT venue, least(CAST(floor(price * 10) AS INT), 9) AS bucket, count(*) AS n FROM markets WHERE {OPEN} AND price BETWEEN 0 AND 1 GROUP BY 1, 2),
+ dense AS (SELECT venue, CAST(b AS INT) AS bucket FROM (SELECT DISTINCT venue FROM markets) v CROSS JOIN range(10) r(b))
+ SELECT d.venue, d.bucket, coalesce(n, 0) AS n, round(coalesce(n, 0) / greatest(1, sum(coalesce(n, 0)) OVER (PARTITION BY d.venue)), 6) AS share
+ FROM dense d LEFT JOIN counts c ON c.venue = d.venue AND c.bucket = d.bucket""")
+def q17_price_histogram(t):
+    return stats.price_histogram(t.markets(), now()).withColumn("share", F.round("share", 6))
+
+
+@query(f"""SELECT venue, ticker, title, volume, place FROM (SELECT venue, ticker, coalesce(title, event_title) AS title, volume,
+ row_number() OVER (PARTITION BY venue ORDER BY volume DESC, ticker) AS place FROM markets WHERE {OPEN}) x WHERE place <= 8""")
+def q18_top_by_volume(t):
+    return stats.top_by_volume(t.markets(), now()).select("venue", "ticker", "title", "volume", "place")
+
+
+@query(f"""WITH recent AS (SELECT event_type, CAST(floor((epoch_us({AS_OF}) - epoch_us(CAST(ts AS TIMESTAMP))) / 3600000000) AS INT) AS hours_ago, count(*) AS n FROM events
+ WHERE ts <= {AS_OF} AND ts > {AS_OF} - INTERVAL 24 HOUR GROUP BY 1, 2),
+ dense AS (SELECT event_type, CAST(h AS INT) AS hours_ago FROM (SELECT DISTINCT event_type FROM events) e CROSS JOIN range(24) r(h))
+ SELECT d.event_type, d.hours_ago, coalesce(n, 0) AS n FROM dense d LEFT JOIN recent r ON r.event_type = d.event_type AND r.hours_ago = d.hours_ago""")
+def q19_activity_24h(t):
+    return stats.hourly_activity(t.table("events"), "event_type", "ts", now())
+
+
+# Pricing
+
+PRICED = """WITH p AS (SELECT p.*, a.yes_ask AS a_yes, CASE WHEN a.yes_bid IS NOT NULL THEN 1 - a.yes_bid END AS a_no, b.yes_ask AS b_yes, b.no_ask AS b_no
+  FROM pairs p JOIN markets a ON a.id = p.a_id JOIN markets b ON b.id = p.b_id),
+legs AS (SELECT a_id, b_id, direction, CASE WHEN a_yes > 0 AND a_yes < 1 THEN a_yes END AS a1, CASE WHEN a_no > 0 AND a_no < 1 THEN a_no END AS a2,
+  CASE WHEN direction = 'same' THEN b_no ELSE b_yes END AS b1, CASE WHEN direction = 'same' THEN b_yes ELSE b_no END AS b2 FROM p),
+net AS (SELECT *, 1 - (a1 + b1) - CAST(0.07 AS DOUBLE) * b1 * (1 - b1) AS n1, 1 - (a2 + b2) - CAST(0.07 AS DOUBLE) * b2 * (1 - b2) AS n2 FROM legs),
+priced AS (SELECT *, CASE WHEN n1 IS NULL AND n2 IS NULL THEN NULL WHEN n1 IS NULL OR n2 > n1 THEN 2 ELSE 1 END AS hedge,
+  round(CASE WHEN n1 IS NULL OR n2 > n1 THEN n2 ELSE n1 END, 6) AS net_edge FROM net)"""
+
+
+def _priced(t: Tables) -> DataFrame:
+    a = t.venue("a").withColumn("no_ask", normalize.complement(F.col("yes_bid")))
+    return match.hedges(t.pairs().withColumn("confidence", F.lit(1.0)), a, t.venue("b"))
+
+
+def _quotes(df: DataFrame) -> DataFrame:
+    return df.select("a_id", "b_id", F.coalesce("arbitrage.hedge", F.lit(0)).alias("hedge"), F.round("arbitrage.net_edge", 6).alias("net_edge"))
+
+
+@query(PRICED + " SELECT a_id, b_id, coalesce(hedge, 0) AS hedge, net_edge FROM priced WHERE direction = 'same'")
+def q20_hedge_pricing_same(t):
+    return _quotes(_priced(t).where("direction = 'same'"))
+
+
+@query(PRICED + " SELECT a_id, b_id, coalesce(hedge, 0) AS hedge, net_edge FROM priced WHERE direction = 'inverted'")
+def q21_hedge_pricing_inverted(t):
+    return _quotes(_priced(t).where("direction = 'inverted'"))
+
+
+@query(PRICED + " SELECT a_id, b_id, coalesce(hedge, 0) AS hedge, net_edge FROM priced WHERE net_edge >= 0")
+def q22_arbitrage_top(t):
+    return _quotes(match.opportunities(_priced(t)))
+
+
+# Candidates, batches, votes
+
+TOPK = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_dot_product(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY score DESC, b_id) AS place FROM s WHERE score >= 0.25),
+c AS (SELECT * FROM k WHERE place <= 3)"""
+
+
+def _candidates(t: Tables) -> DataFrame:
+    v = t.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return similarity.top_candidates(v.where("id % 2 = 0"), v.where("id % 2 = 1"), 3, 0.25, digits=6)
+
+
+@query(TOPK + " SELECT a_id, b_id, score, place FROM c")
+def q23_vector_topk(t):
+    return _candidates(t).select("a_id", "b_id", "score", "place")
+
+
+@query("SELECT a_ticker, b_ticker FROM pairs WHERE (a_id * 7 + b_id) % 5 >= 2")
+def q24_unjudged_pairs(t):
+    return batching.pending(t.pairs(), t.pairs().where("(a_id * 7 + b_id) % 5 < 2")).select("a_ticker", "b_ticker")
+
+
+@query("SELECT a_ticker, b_ticker, (a_id + b_id) % 2 = 0 AS is_match FROM pairs WHERE (a_id * 7 + b_id) % 5 < 2")
+def q25_reused_verdicts(t):
+    known = t.pairs().where("(a_id * 7 + b_id) % 5 < 2").select("a_ticker", "b_ticker", F.expr("(a_id + b_id) % 2 = 0").alias("is_match"))
+    return batching.reused(t.pairs().select("a_ticker", "b_ticker"), known)
+
+
+@query(TOPK + """, o AS (SELECT *, dense_rank() OVER (ORDER BY a_id) - 1 AS n FROM c), l AS (SELECT *, n // 15 AS batch, n % 15 AS local_a FROM o),
+ f AS (SELECT *, min(local_a * 10 + place) OVER (PARTITION BY batch, b_id) AS first FROM l)
+ SELECT a_id, b_id, batch, local_a, dense_rank() OVER (PARTITION BY batch ORDER BY first) - 1 AS local_b FROM f""")
+def q26_batch_numbering(t):
+    return batching.numbered(_candidates(t)).select("a_id", "b_id", "batch", "local_a", "local_b")
+
+
+AGREED = """WITH one AS (SELECT * FROM (SELECT v.*, row_number() OVER (PARTITION BY a_idx, b_idx, direction, agent_ord ORDER BY seq DESC) AS rn FROM votes v) w WHERE rn = 1),
+best AS (SELECT o.*, row_number() OVER (PARTITION BY a_idx, b_idx, direction ORDER BY confidence DESC, agent_ord) AS br FROM one o),
+agreed AS (SELECT a_idx, b_idx, direction, count(*) AS votes, round(CAST(count(*) AS DOUBLE) / 3, 6) AS score, max(CASE WHEN br = 1 THEN agent_ord END) AS best_agent, max(confidence) AS confidence,
+  CASE WHEN bool_and(similarity = 'exact') THEN 'exact' ELSE 'high' END AS similarity, round(avg(confidence), 6) AS avg_confidence FROM best GROUP BY a_idx, b_idx, direction HAVING count(*) >= 2)"""
+
+
+def _agreed(t: Tables) -> DataFrame:
+    return consensus.agreed(t.votes(), F.lit(3)).withColumns({"score": F.round("score", 6), "avg_confidence": F.round("avg_confidence", 6)})
+
+
+@query(AGREED + " SELECT * FROM agreed")
+def q27_consensus_votes(t):
+    return _agreed(t)
+
+
+@query("SELECT agent_ord, count(*) AS proposed, (SELECT count(*) FROM (SELECT DISTINCT a_idx, b_idx, direction FROM votes) d) AS distinct_proposals, 3 AS responders, 2 AS required FROM votes GROUP BY agent_ord")
+def q28_consensus_telemetry(t):
+    return consensus.telemetry(t.votes(), F.lit(3))
+
+
+@query(AGREED + """, asked AS (SELECT DISTINCT a_idx, b_idx, a_idx % 4 AS batch FROM votes),
+ chosen AS (SELECT *, row_number() OVER (PARTITION BY a_idx, b_idx ORDER BY score, avg_confidence, direction DESC) AS n, count(*) OVER (PARTITION BY a_idx, b_idx) > 1 AS collision FROM agreed)
+ SELECT q.a_idx, q.b_idx, c.direction IS NOT NULL AS is_match, c.direction, c.confidence, coalesce(c.collision, false) AS collision FROM asked q LEFT JOIN chosen c ON c.a_idx = q.a_idx AND c.b_idx = q.b_idx AND c.n = 1 WHERE q.batch <> 3""")
+def q29_verdict_emission(t):
+    asked = t.votes().select("a_idx", "b_idx").distinct().withColumn("batch", F.col("a_idx") % 4)
+    failed = t.spark.sql("SELECT 3 AS batch")
+    return consensus.verdicts(asked, consensus.one_direction(_agreed(t)), failed).select("a_idx", "b_idx", "is_match", "direction", "confidence", F.coalesce("collision", F.lit(False)).alias("collision"))
+
+
+@query(PRICED + """ SELECT a_id, b_id, direction, 'high' AS similarity, CAST(a_id % 100 AS DOUBLE) / 100 AS confidence, net_edge FROM priced WHERE (a_id + b_id) % 5 <> 0""")
+def q30_match_build(t):
+    verdicts = t.pairs().select("a_ticker", "b_ticker", "direction", F.expr("(a_id + b_id) % 5 <> 0").alias("is_match"), F.lit(None).cast("string").alias("similarity"), (F.col("a_id") % 100 / 100).alias("confidence"), F.lit(None).cast("string").alias("reasoning"))
+    a = t.venue("a").withColumn("no_ask", normalize.complement(F.col("yes_bid")))
+    return match.build_matches(verdicts, a, t.venue("b")).select("a_id", "b_id", "direction", "similarity", "confidence", F.round("arbitrage.net_edge", 6).alias("net_edge"))
+
+
+@query("""SELECT p.a_id, p.b_id, round(abs(a.price - b.price), 6) AS price_spread, a.volume + b.volume AS total_combined_volume, CAST(CAST(CAST(p.a_id % 1000 AS DOUBLE) / 1000 AS DECIMAL(3, 2)) AS DOUBLE) AS confidence
+ FROM pairs p JOIN markets a ON a.id = p.a_id JOIN markets b ON b.id = p.b_id WHERE p.a_id % 4 <> 0""")
+def q31_generated_columns(t):
+    side = lambda v: t.venue(v).select(F.col("id").alias(f"{v}_id"), F.col("price").alias(f"{v}_price"), F.col("volume").alias(f"{v}_volume"))
+    rows = t.pairs().join(side("a"), "a_id").join(side("b"), "b_id").withColumns({"id": F.col("a_id") * 100_000 + F.col("b_id"), "is_active": F.col("a_id") % 4 != 0, "confidence": (F.col("a_id") % 1000 / 1000).cast("decimal(3,2)")})
+    return store.saved_active(store.generated(rows).withColumn("price_spread", F.round("price_spread", 6))).select("a_id", "b_id", "price_spread", "total_combined_volume", F.col("confidence").cast("double").alias("confidence"))
+
+
+# Text
+
+ASCII = "SELECT doc_id, text FROM documents WHERE lang = 'en' AND octet_length(encode(text)) = length(text)"
+NORMAL = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\w\s-]', ' ', 'g'), '\s+', ' ', 'g'))"
+STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+WORDS = f"list_filter(regexp_split_to_array({NORMAL}, '\\s+'), lambda w: length(w) > 2)"
+DATES = ", ".join("list_transform(regexp_extract_all({0}, '" + ("(?i)" if p.startswith("(?i)") else "") + r"\b(?:" + p.removeprefix("(?i)") + r")\b'), lambda w: lower(w))" for p in text.DATE_PATTERNS)
+TOKENS = f"list_distinct(flatten([list_filter({WORDS}, lambda w: w NOT IN ({STOP})), {DATES}, regexp_extract_all({{0}}, '\\d+'), list_transform(regexp_extract_all({{0}}, '[A-Z][a-z]+'), lambda w: lower(w))]))"
+
+
+def _ascii(t: Tables) -> DataFrame:
+    return t.table("documents").where("lang = 'en' AND octet_length(text) = length(text)").select("doc_id", "text")
+
+
+@query(f"SELECT doc_id, md5({on(NORMAL, 'text')}) AS digest FROM ({ASCII}) d")
+def q32_text_normalize(t):
+    return _ascii(t).select("doc_id", F.md5(text.normalize(F.col("text"))).alias("digest"))
+
+
+@query(f"SELECT doc_id, md5(array_to_string(list_sort({on(TOKENS, 'text')}), ' ')) AS digest, len({on(TOKENS, 'text')}) AS n FROM ({ASCII}) d")
+def q33_tokens(t):
+    found = text.tokens(F.col("text"))
+    return _ascii(t).select("doc_id", F.md5(F.array_join(F.array_sort(found), " ")).alias("digest"), F.size(found).alias("n"))
+
+
+@query(f"SELECT token, count(*) AS df FROM (SELECT unnest({on(TOKENS, 'text')}) AS token FROM ({ASCII}) d) x GROUP BY token")
+def q34_document_frequency(t):
+    return _ascii(t).select(F.explode(text.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+
+def _titles(t: Tables) -> DataFrame:
+    side = lambda v: t.venue(v).where("id <= 400").select(F.col("id").alias(f"{v}_id"), F.col("event_title").alias("event_title"), F.concat_ws(" ", "title", F.lit("Q1 2024"), F.when(F.col("id") % 3 == 0, F.lit("Fed March"))).alias(f"{v}_text"))
+    return side("a").join(side("b"), "event_title")
+
+
+TITLES = """WITH side AS (SELECT id, venue, event_title, concat(title, ' Q1 2024', CASE WHEN id % 3 = 0 THEN ' Fed March' ELSE '' END) AS text FROM markets WHERE id <= 400),
+titles AS (SELECT a.id AS a_id, b.id AS b_id, a.text AS a_text, b.text AS b_text FROM side a JOIN side b ON a.venue = 'a' AND b.venue = 'b' AND a.event_title = b.event_title)"""
+TA, TB = on(TOKENS, "a_text"), on(TOKENS, "b_text")
+JACCARD = f"CAST(len(list_intersect({TA}, {TB})) AS DOUBLE) / len(list_distinct(list_concat({TA}, {TB})))"
+
+
+@query(f"{TITLES} SELECT a_id, b_id, round({JACCARD}, 6) AS score FROM titles")
+def q35_jaccard(t):
+    return _titles(t).select("a_id", "b_id", F.round(text.jaccard(text.tokens(F.col("a_text")), text.tokens(F.col("b_text"))), 6).alias("score"))
+
+
+@query(f"""{TITLES}, df AS (SELECT token, count(*) AS n FROM (SELECT unnest({on(TOKENS, "text")}) AS token FROM side) x GROUP BY token),
+ both_sides AS (SELECT a_id, b_id, unnest(list_distinct(list_concat({TA}, {TB}))) AS token, list_intersect({TA}, {TB}) AS common FROM titles)
+ SELECT a_id, b_id, round(sum(CASE WHEN list_contains(common, b.token) THEN ln(1 + 1.0 / n) ELSE 0 END) / sum(ln(1 + 1.0 / n)), 6) AS score FROM both_sides b JOIN df ON df.token = b.token GROUP BY a_id, b_id""")
+def q36_weighted_jaccard(t):
+    pairs = _titles(t)
+    texts = t.markets().where("id <= 400").select(F.concat_ws(" ", "title", F.lit("Q1 2024"), F.when(F.col("id") % 3 == 0, F.lit("Fed March"))).alias("text"))
+    df = texts.select(F.explode(text.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    a = pairs.select("a_id", "b_id", F.explode(text.tokens(F.col("a_text"))).alias("token"), F.lit(1).alias("side"))
+    b = pairs.select("a_id", "b_id", F.explode(text.tokens(F.col("b_text"))).alias("token"), F.lit(2).alias("side"))
+    # Joined token by token: the frequencies of a large corpus are no map to carry along.
+    met = a.union(b).groupBy("a_id", "b_id", "token").agg(F.count_distinct("side").alias("sides")).join(df, "token", "left")
+    weight = F.log1p(1 / F.coalesce("df", F.lit(1)))
+    return met.groupBy("a_id", "b_id").agg(F.round(F.sum(F.when(F.col("sides") == 2, weight).otherwise(0.0)) / F.sum(weight), 6).alias("score"))
+
+
+@query(f"{TITLES} SELECT a_id, b_id, round(1 - CAST(levenshtein(a_text, b_text) AS DOUBLE) / greatest(length(a_text), length(b_text)), 6) AS score FROM titles")
+def q37_levenshtein(t):
+    return _titles(t).select("a_id", "b_id", F.round(text.edit_similarity(F.col("a_text"), F.col("b_text")), 6).alias("score"))
+
+
+EVENT = "CASE " + " ".join(rf"WHEN regexp_matches(lower({{0}}), '\b(?:{'|'.join(w)})\b') THEN '{k}'" for k, w in text.EVENT_TYPES.items()) + " ELSE 'general' END"
+
+
+@query(f"SELECT item_id, {on(EVENT, 'txt')} AS event_type FROM (SELECT item_id, concat(CASE item_id % 8 WHEN 0 THEN 'Senator vote ' WHEN 1 THEN 'NBA playoff ' WHEN 2 THEN 'Interest rate ' WHEN 3 THEN 'Box Office ' WHEN 4 THEN 'storms ' WHEN 5 THEN 'Storm ' WHEN 6 THEN 'bitcoin ' ELSE '' END, text) AS txt FROM benchmark) x")
+def q38_event_type(t):
+    lead = F.element_at(F.array(*map(F.lit, ("Senator vote ", "NBA playoff ", "Interest rate ", "Box Office ", "storms ", "Storm ", "bitcoin ", ""))), (F.col("item_id") % 8 + 1).cast("int"))
+    return t.table("benchmark").select("item_id", text.event_type(F.concat(lead, F.col("text"))).alias("event_type"))
+
+
+@query(f"""{TITLES} SELECT a_id, b_id, round(0.5 * {JACCARD} + 0.3 * (1 - CAST(levenshtein({on(NORMAL, "a_text")}, {on(NORMAL, "b_text")}) AS DOUBLE) / greatest(length({on(NORMAL, "a_text")}), length({on(NORMAL, "b_text")})))
+ + CASE WHEN {on(EVENT, "a_text")} = {on(EVENT, "b_text")} THEN 0.2 ELSE 0 END, 6) AS overall FROM titles""")
+def q39_compare(t):
+    return _titles(t).select("a_id", "b_id", F.round(text.compare(F.col("a_text"), F.col("b_text"))["overall"], 6).alias("overall"))
+
+
+@query(f"SELECT doc_id, phrase, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: concat(ws[i], ' ', ws[i + 1]))) AS phrase FROM (SELECT doc_id, {on(WORDS, 'text')} AS ws FROM ({ASCII}) d) y) x GROUP BY doc_id, phrase")
+def q40_key_phrases(t):
+    return _ascii(t).select("doc_id", F.explode(text.phrases(F.col("text"))).alias("phrase")).groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT id, CASE WHEN venue = 'a' THEN concat(title, CASE WHEN lower(label) <> 'yes' THEN concat(' (', label, ')') ELSE '' END) ELSE concat_ws(' - ', event_title, title, label) END AS match_text FROM markets""")
+def q41_match_text(t):
+    c = F.col
+    mine = F.when(c("venue") == "a", similarity.text_a(c("title"), c("ticker"), c("label"))).otherwise(similarity.text_b(c("event_title"), c("title"), c("ticker"), c("label")))
+    return t.markets().select("id", mine.alias("match_text"))
+
+
+@query(r"SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 'n/a' WHEN length(flat) > 400 THEN concat(substr(flat, 1, 400), '…') ELSE flat END AS excerpt FROM (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM documents) d")
+def q42_rules_excerpt(t):
+    return t.table("documents").select("doc_id", batching.rules_excerpt(F.col("text")).alias("excerpt"))
+
+
+# Traces, statistics of runs, JSON
+
+
+def _trace(t: Tables) -> DataFrame:
+    e, steps = t.table("events").where("event_id % 3 < 2"), F.array(*map(F.lit, trace.FUNNEL))
+    step, kind = F.element_at(steps, (F.col("event_id") % 7 + 1).cast("int")), F.col("event_id") % 2 == 0
+    return e.select(F.col("event_id").alias("t"), F.when(kind, "stage").otherwise("agent").alias("type"), F.map_from_arrays(F.array(step), F.array(F.floor("value").cast("bigint"))).alias("stats"), F.concat(F.lit("agent-"), (F.col("user_id") % 3).cast("string")).alias("agent"), F.when(F.col("event_id") % 5 == 0, "failed").otherwise("done").alias("status"), F.round("value", 3).alias("ms"), (F.col("event_id") % 4).alias("proposed"))
+
+
+@query("SELECT CAST(event_id % 7 + 1 AS INT) AS place, ['loaded', 'candidates', 'reused', 'judged', 'matched', 'priced', 'profitable'][event_id % 7 + 1] AS step, CAST(floor(value) AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY event_id % 7 ORDER BY event_id DESC) AS last FROM events WHERE event_id % 3 < 2 AND event_id % 2 = 0) x WHERE last = 1")
+def q43_trace_funnel(t):
+    return trace.funnel(_trace(t))
+
+
+@query("""SELECT concat('agent-', CAST(user_id % 3 AS VARCHAR(5))) AS agent, count(*) AS calls, count(*) FILTER (WHERE event_id % 5 = 0) AS failures, coalesce(sum(event_id % 4) FILTER (WHERE event_id % 5 <> 0), 0) AS proposed,
+ round(avg(round(value, 3)) FILTER (WHERE event_id % 5 <> 0), 4) AS mean_ms FROM events WHERE event_id % 3 < 2 AND event_id % 2 = 1 GROUP BY 1""")
+def q44_agent_totals(t):
+    return trace.agent_totals(_trace(t)).withColumn("mean_ms", F.round("mean_ms", 4))
+
+
+@query(PRICED + """ SELECT (SELECT count(*) FROM pairs) AS candidate_pairs, count(*) FILTER (WHERE (a_id * 7 + b_id) % 5 < 2) AS reused, count(*) FILTER (WHERE (a_id * 7 + b_id) % 5 >= 2) AS judged,
+ count(*) FILTER (WHERE (a_id + b_id) % 2 = 0) AS matched, count(*) FILTER (WHERE (a_id + b_id) % 2 = 0 AND hedge IS NOT NULL) AS priced, count(*) FILTER (WHERE (a_id + b_id) % 2 = 0 AND net_edge > 0) AS profitable FROM priced""")
+def q45_run_stats(t):
+    a = t.venue("a").withColumn("no_ask", normalize.complement(F.col("yes_bid")))
+    verdict = lambda df: df.select("a_ticker", "b_ticker", F.expr("(a_id + b_id) % 2 = 0").alias("is_match"), F.lit("exact").alias("similarity"), "direction", F.lit(0.9).alias("confidence"), F.lit("").alias("reasoning"))
+    answers = verdict(t.pairs())
+    judge = lambda todo: todo.select("a_ticker", "b_ticker").join(answers, ["a_ticker", "b_ticker"])
+    known = verdict(t.pairs().where("(a_id * 7 + b_id) % 5 < 2")).withColumn("created_at", now())
+    return match.run_match(a, t.venue("b"), t.pairs().select("a_ticker", "b_ticker"), known, judge, now()).stats
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def q46_json_recordset(t):
+    arrays = t.table("events").select(F.concat(F.lit("["), F.regexp_replace("props", r"\}$", ""), F.lit(', "event_id": '), F.col("event_id").cast("string"), F.lit("}]")).alias("records"))
+    return store.from_json_records(arrays, "records", "event_id: bigint, k: bigint").select("event_id", "k")
+
+
+@query("SELECT vec_id AS batch, 0 AS local_a, CAST(label AS BIGINT) AS local_b, 'same' AS direction, least(1.0, CAST(vec_id % 14 AS DOUBLE) / 10) AS confidence FROM embeddings WHERE label % 2 = 0 AND vec_id % 14 >= 6 AND vec_id % 5 <> 0")
+def q47_response_parse(t):
+    e = t.table("embeddings").select("vec_id", "label")
+    conf = F.format_string("%.1f", F.col("vec_id") % 14 / 10)
+    body = F.concat(F.lit('{"matches": [{"a": 0, "b": '), F.col("label").cast("string"), F.lit(', "similarity": "exact", "direction": "same", "confidence": '), conf, F.lit('}, {"a": "0", "b": 1, "similarity": "low"}]}'))
+    answer = F.when(F.col("vec_id") % 5 == 0, "no braces").otherwise(F.concat(F.lit("Sure: "), body, F.lit(" done")))
+    answers = e.select(F.col("vec_id").alias("batch"), F.lit("one").alias("agent"), F.lit(0).alias("agent_ord"), answer.alias("answer"))
+    asked = e.where("label % 2 = 0").select(F.col("vec_id").alias("batch"), F.lit(0).cast("bigint").alias("local_a"), F.col("label").cast("bigint").alias("local_b"))
+    return batching.parsed(answers, asked)[0].select("batch", "local_a", "local_b", "direction", "confidence")
+
+
+@query("SELECT ticker, event_id, price FROM (SELECT *, lag(price) OVER w AS before, row_number() OVER w AS n FROM ticks WINDOW w AS (PARTITION BY ticker ORDER BY event_id)) x WHERE n = 1 OR price IS DISTINCT FROM before")
+def q48_stream_history(t):
+    from ..streaming.sweeps import stream_price_changes
+
+    return stream_price_changes(t.spark, t.ticks())
+
+
+@query("""SELECT id, CASE WHEN volume >= 1000 THEN concat(printf('%.1f', volume / 1000 + CASE WHEN (volume * 4 / 1000) % 2 = 1 THEN 1e-9 ELSE 0 END), 'k') ELSE printf('%d', CAST(floor(volume + 0.5) AS BIGINT)) END AS volume_text, concat(printf('%.1f', price * 100 + CASE WHEN (price * 400) % 2 = 1 THEN 1e-9 ELSE 0 END), '¢') AS price_text,
+ CASE WHEN price >= 0.9 THEN 'very high' WHEN price >= 0.7 THEN 'high' WHEN price >= 0.4 THEN 'medium' ELSE 'low' END AS band FROM markets""")
+def q49_display(t):
+    return t.markets().select("id", display.compact(F.col("volume")).alias("volume_text"), display.cents(F.col("price")).alias("price_text"), display.confidence_band(F.col("price")).alias("band"))
+
+
+@query(AGREED + """ SELECT count(*) AS total, count(*) FILTER (WHERE votes = 3) AS unanimous, count(*) FILTER (WHERE votes = 2) AS majority, round(avg(CAST(votes AS DOUBLE) / 3), 6) AS avg_score, round(avg(avg_confidence), 6) AS avg_confidence FROM agreed""")
+def q50_consensus_statistics(t):
+    s = consensus.statistics(consensus.agreed(t.votes(), F.lit(3)).withColumn("avg_confidence", F.round("avg_confidence", 6)))
+    return s.withColumns({c: F.round(c, 6) for c in ("avg_score", "avg_confidence")})
