@@ -44,8 +44,10 @@ from .common import Scratch, map_rows, text_of
 
 #: Rows that a group of the last refinement may have before it is grouped by single strings.
 GROUP_ROWS = 20_000
+#: Rows that are compared at once, if no group is larger, and texts that are taken at once.
+AT_ONCE, TEXTS = 4_000, 64
 #: Anchors and bytes that a task holds before it merges equal contexts, and that it hashes at once.
-HELD_ANCHORS, HELD_BYTES = 1_500_000, 1 << 18
+HELD_ANCHORS, HELD_BYTES = 250_000, 1 << 18
 #: Low bits of a key that hold a place, so that the leftmost of equal hashes is the least.
 PLACE_BITS = np.uint64(30)
 MARK, CLASS, SINGLE = 1, 2, 3
@@ -182,9 +184,9 @@ def read_anchors(frames: Iterator[pd.DataFrame], depth: Depth) -> Iterator[pd.Da
                 held.append((np.array(ids, dtype=np.int64)[owner], *rest))
                 count += len(owner)
                 texts, ids, size = [], [], 0
-        if count >= HELD_ANCHORS:
-            yield _merged(held)
-            held, count = [], 0
+            if count >= HELD_ANCHORS:
+                yield _merged(held)
+                held, count = [], 0
     if held:
         yield _merged(held)
 
@@ -225,25 +227,21 @@ FOUND = "bucket bigint, doc_id bigint, place int, start int, stop int, kind int"
 
 
 def sides(frames: Iterator[pd.DataFrame], depth: Depth) -> Iterator[pd.DataFrame]:
-    """The context of each class's anchor, once for each side, under the refined bucket. Rows: doc_id, text, found (place and bucket)."""
+    """The context of each class's anchor, once for each side, under the refined bucket. Rows: doc_id, text, places, buckets."""
+    after, before = depth.reach - depth.half, depth.half + 1  # bytes behind or before the q-gram that all strings of a side hold
     for frame in frames:
-        rows = []
-        for doc_id, text, found in zip(frame["doc_id"], frame["text"], frame["found"], strict=True):
-            raw = text.encode()
-            ids = Identifiers(np.frombuffer(raw, dtype=np.uint8))
-            at = np.array([f["place"] for f in found], dtype=np.int64)
-            bucket = np.array([f["bucket"] for f in found], dtype=np.int64).view(np.uint64)
-            ok = at + depth.q <= len(raw)
-            at, bucket = at[ok], bucket[ok]
-            after = depth.reach - depth.half  # bytes behind the q-gram that a string reaching right holds
-            right = at[at + depth.q + after <= len(raw)]
-            name = _mixed(bucket[at + depth.q + after <= len(raw)] ^ ids.of(right + depth.q, right + depth.q + after))
-            rows += [(k, doc_id, p, max(0, p - depth.half), raw[max(0, p - depth.half) : p + depth.length]) for k, p in zip(name.view(np.int64).tolist(), right.tolist(), strict=True)]
-            before = depth.half + 1  # bytes before the q-gram that a string reaching left holds
-            left = at[at >= before]
-            name = _mixed(bucket[at >= before] + ids.of(left - before, left))
-            rows += [(k, doc_id, p, max(0, p - depth.reach), raw[max(0, p - depth.reach) : p - before + depth.length]) for k, p in zip(name.view(np.int64).tolist(), left.tolist(), strict=True)]
-        yield pd.DataFrame(rows, columns=["bucket", "doc_id", "place", "start", "context"]).astype({"bucket": "int64", "doc_id": "int64", "place": "int32", "start": "int32"})
+        for i in range(0, len(frame), TEXTS):
+            rows = []
+            for doc_id, text, places, buckets in frame.iloc[i : i + TEXTS][["doc_id", "text", "places", "buckets"]].itertuples(index=False):
+                raw = text.encode()
+                ids = Identifiers(np.frombuffer(raw, dtype=np.uint8))
+                at, bucket = np.asarray(places, dtype=np.int64), np.asarray(buckets, dtype=np.int64).view(np.uint64)
+                right, left = at + depth.q + after <= len(raw), (at >= before) & (at + depth.q <= len(raw))
+                name = _mixed(bucket[right] ^ ids.of(at[right] + depth.q, at[right] + depth.q + after))
+                rows += [(k, doc_id, p, max(0, p - depth.half), raw[max(0, p - depth.half) : p + depth.length]) for k, p in zip(name.view(np.int64).tolist(), at[right].tolist(), strict=True)]
+                name = _mixed(bucket[left] + ids.of(at[left] - before, at[left]))
+                rows += [(k, doc_id, p, max(0, p - depth.reach), raw[max(0, p - depth.reach) : p - before + depth.length]) for k, p in zip(name.view(np.int64).tolist(), at[left].tolist(), strict=True)]
+            yield pd.DataFrame(rows, columns=["bucket", "doc_id", "place", "start", "context"]).astype({"bucket": "int64", "doc_id": "int64", "place": "int32", "start": "int32"})
 
 
 SIDES = "bucket bigint, doc_id bigint, place int, start int, context binary"
@@ -299,7 +297,7 @@ def refined(frames: Iterator[pd.DataFrame], depth: Depth) -> Iterator[pd.DataFra
         large = None
         held.append(frame)
         size += len(frame)
-        if size >= GROUP_ROWS:
+        if size >= AT_ONCE:
             rows = pd.concat(held)
             last = rows["bucket"].iloc[-1]
             open_ = rows["bucket"] == last
@@ -322,9 +320,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, depth: Depth = Depth()) ->
     met = long.mapInPandas(lambda frames: read_anchors(frames, depth), ANCHORS).repartition("bucket").sortWithinPartitions("bucket", "context", "doc_id", "place")
     found = scratch.keep(map_rows(met, classes, FOUND), "classes")
     of_document = found.where(F.col("kind") == CLASS).groupBy("doc_id").agg(F.collect_list(F.struct("place", "bucket")).alias("found"))
+    of_document = of_document.select("doc_id", F.col("found.place").alias("places"), F.col("found.bucket").alias("buckets"))
     contexts = texts.join(of_document, "doc_id").mapInPandas(lambda frames: sides(frames, depth), SIDES)
     sorted_ = contexts.repartition("bucket").sortWithinPartitions("bucket")
-    spans = scratch.keep(map_rows(sorted_, lambda frames: refined(frames, depth), SPANS, GROUP_ROWS), "spans")
+    spans = scratch.keep(map_rows(sorted_, lambda frames: refined(frames, depth), SPANS, AT_ONCE), "spans")
     singles = spans.where(F.col("kind") == SINGLE).select("name", "doc_id", "start", "stop")
     first = singles.groupBy("name").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     later = singles.join(first, "name").where(F.col("first") != F.struct("doc_id", "start"))
@@ -333,23 +332,23 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, depth: Depth = Depth()) ->
     return marks[0].select(columns).union(marks[1].select(columns)).union(marks[2].select(columns))
 
 
-def kept_parts(raw: bytes, spans) -> tuple[bytes, int, int]:
+def kept_parts(raw: bytes, starts, stops) -> tuple[bytes, int, int]:
     """The bytes outside the spans, how many are inside, and the number of maximal runs inside."""
-    if spans is None or not len(spans):
+    if starts is None or not len(starts):
         return raw, 0, 0
-    edges = np.zeros(len(raw) + 1, dtype=np.int64)
-    starts, stops = (np.minimum([s[k] for s in spans], len(raw)) for k in ("start", "stop"))
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, stops, -1)
+    edges = np.zeros(len(raw) + 1, dtype=np.int32)
+    np.add.at(edges, np.minimum(starts, len(raw)), 1)
+    np.add.at(edges, np.minimum(stops, len(raw)), -1)
     gone = np.cumsum(edges[:-1]) > 0
     runs = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
     return np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
 def with_spans(docs: DataFrame, scratch: Scratch, depth: Depth = Depth()) -> DataFrame:
-    """Every row of docs with a column spans: array of (start, stop) to remove, null if none."""
-    spans = repeated_spans(docs, scratch, depth).groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return docs.drop("spans").join(spans, F.col("doc_id") == F.col("_of"), "left").drop("_of")
+    """Every row of docs with arrays _starts and _stops of what to remove, null if nothing."""
+    spans = repeated_spans(docs, scratch, depth).groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list(F.struct("start", "stop")).alias("s"))
+    spans = spans.select("_of", F.col("s.start").alias("_starts"), F.col("s.stop").alias("_stops"))
+    return docs.drop("_starts", "_stops").join(spans, F.col("doc_id") == F.col("_of"), "left").drop("_of")
 
 
 def dedup_digests(docs: DataFrame, scratch: Scratch, depth: Depth = Depth()) -> DataFrame:
@@ -365,9 +364,12 @@ def dedup_digests(docs: DataFrame, scratch: Scratch, depth: Depth = Depth()) ->
 
     def digest(frames):
         for frame in frames:
-            raws = [t.encode() for t in frame["text"]]
-            kept = [kept_parts(raw, spans) for raw, spans in zip(raws, frame["spans"], strict=True)]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_bytes": [len(r) for r in raws], "n_removed": [k[1] for k in kept], "n_spans": [k[2] for k in kept], "kept_sha256": [hashlib.sha256(k[0]).hexdigest() for k in kept]})
+            out = []
+            for doc_id, text, starts, stops in frame[["doc_id", "text", "_starts", "_stops"]].itertuples(index=False):
+                raw = text.encode()
+                kept, removed, spans = kept_parts(raw, starts, stops)
+                out.append((doc_id, len(raw), removed, spans, hashlib.sha256(kept).hexdigest()))
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
 
     return with_spans(text_of(docs), scratch, depth).mapInPandas(digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
@@ -376,8 +378,8 @@ def without_repeats(docs: DataFrame, scratch: Scratch, depth: Depth = Depth()) -
     """Every row of docs with all its columns and the text that is left; a character that loses a byte goes whole."""
 
     @F.pandas_udf("string")
-    def left(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([kept_parts(t.encode(), s)[0].decode(errors="ignore") for t, s in zip(texts, spans, strict=True)])
+    def left(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
+        return pd.Series([kept_parts(t.encode(), a, b)[0].decode(errors="ignore") for t, a, b in zip(texts, starts, stops, strict=True)])
 
     rows = with_spans(docs.withColumn("text", F.coalesce("text", F.lit(""))), scratch, depth)
-    return rows.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(left("text", "spans"))).drop("spans")
+    return rows.withColumn("text", F.when(F.col("_starts").isNull(), F.col("text")).otherwise(left("text", "_starts", "_stops"))).drop("_starts", "_stops")
