@@ -1,0 +1,214 @@
+"""Line dedup, suffix-array dedup, SimHash, BPE and packing against brute force."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from hedgeline.llm import bpe, codec, line_runs, packing, queries, simhash, suffixes
+from hedgeline.llm.common import Scratch, table
+
+from ..compare import of_duckdb, of_spark
+from . import brute
+
+SMALL = "/root/testdata/sf0.001"
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def planted() -> dict[int, str | None]:
+    """Repeats of all kinds, nulls, empty and very long texts, ties, repeats inside one document."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    shared, line = prose(60), "A line that many documents have in common"
+    docs: dict[int, str | None] = {1: None, 2: "", 3: " \t\n", 4: "short", 5: "short", 9: "é" * 150, 10: "x" * 400, 11: "ab" * 260}
+    for i in range(12, 60):
+        docs[i] = "\n".join([prose(rng.randint(1, 80)), *([line.upper() + " " * (i % 3)] * (i % 2)), *([shared[i % 7 :]] * (i % 3 == 0)), prose(rng.randint(1, 30))])
+    docs[60], docs[61], docs[62] = docs[20], docs[20] + " tail", docs[21].upper()
+    docs[63] = " ".join([shared, prose(9000), shared, "日本語のテキスト" * 40, shared])
+    return docs
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return planted()
+
+
+@pytest.fixture(scope="module")
+def frame(spark, docs):
+    """With columns whose names clash with those made inside."""
+    rows = [(i, t, "x", 1, 2) for i, t in docs.items()]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, n_dropped string, _lost int, bits int").repartition(5)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], "doc_id bigint, text string, lang string")
+
+
+def test_lines(spark, docs, frame, empty):
+    found = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in line_runs.dedup_lines(frame.drop("_lost"), Scratch(spark, "t")).collect()}
+    assert found == brute.line_dedup(docs)
+    assert sum(n for _, n, _ in found.values()) > 10
+    assert line_runs.dedup_lines(empty, Scratch(spark, "t")).count() == 0
+
+
+def test_lines_with_many_batches_and_repeated_or_null_ids(spark, docs):
+    rows = [(i, t) for i, t in docs.items() for _ in range(1 + (i == 20))] + [(None, docs[13]), (None, docs[13])]
+    out = line_runs.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), Scratch(spark, "t"), batches=9)
+    expected = brute.line_dedup(docs)
+    found = out.collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert (r["n_lines"], r["n_dropped"], r["text"]) == (expected[r["doc_id"]] if r["doc_id"] is not None else (len(docs[13].split("\n")), 0, docs[13]))
+
+
+def test_lines_query_equals_its_sql(spark):
+    assert of_spark(queries.op5_line_dedup(spark, SMALL)) == of_duckdb(queries.ORACLES["op5_line_dedup"], SMALL)
+
+
+def suffix_rows(df):
+    return {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in df.collect()}
+
+
+def suffix_expected(docs, length=100):
+    return {i: (n, runs, brute.sha(kept)) for i, (n, runs, kept) in brute.suffix_dedup(docs, length).items()}
+
+
+def test_suffixes(spark, docs, frame, empty):
+    assert suffix_rows(suffixes.dedup_digests(frame, Scratch(spark, "t"))) == suffix_expected(docs)
+    assert suffixes.dedup_digests(empty, Scratch(spark, "t")).count() == 0
+
+
+@pytest.mark.parametrize(("length", "q"), [(12, 4), (40, 32), (30, 9)])
+def test_suffixes_of_other_depths(spark, docs, frame, length, q):
+    assert suffix_rows(suffixes.dedup_digests(frame, Scratch(spark, "t"), suffixes.Depth(length, q))) == suffix_expected(docs, length)
+
+
+def test_suffixes_on_the_test_table(spark):
+    rows = {r["doc_id"]: r["text"] for r in table(spark, SMALL, "documents").collect()}
+    assert suffix_rows(queries.op2_suffix_dedup(spark, SMALL)) == suffix_expected(rows)
+
+
+def test_suffixes_null_and_repeated_ids(spark, docs):
+    long = docs[63]
+    out = suffixes.dedup_digests(spark.createDataFrame([(None, long), (7, docs[30]), (7, docs[30])], "doc_id bigint, text string"), Scratch(spark, "t"))
+    assert out.count() == 3
+    assert out.agg(F.max("n_removed")).first()[0] == 0
+
+
+def test_a_large_refined_bucket_is_split_into_single_strings(monkeypatch, docs):
+    monkeypatch.setattr(suffixes, "GROUP_ROWS", 5)
+    monkeypatch.setattr(suffixes, "AT_ONCE", 3)
+    depth, text = suffixes.Depth(), "q" * 40 + docs[63][:300]
+    contexts = pd.DataFrame([(1, i, 40, 0, text[:140].encode()) for i in range(12)], columns=["bucket", "doc_id", "place", "start", "context"])
+    out = pd.concat(list(suffixes.refined(iter([contexts.iloc[i : i + 4] for i in range(0, 12, 4)]), depth)))
+    assert (out["kind"] == suffixes.SINGLE).sum() == 12 * 41
+    assert out.groupby("name").size().eq(12).all()
+
+
+def test_text_without_repeats_keeps_whole_characters_and_columns(spark):
+    text = "é" * 150
+    out = suffixes.without_repeats(spark.createDataFrame([(1, text, "a"), (2, "x" + text, "b"), (3, None, "c")], "doc_id bigint, text string, lang string"), Scratch(spark, "t"))
+    found = {r["doc_id"]: (r["text"], r["lang"]) for r in out.collect()}
+    assert out.columns == ["doc_id", "text", "lang"]
+    assert found[2] == ("x", "b") and found[3] == ("", "c")
+
+
+def test_simhash(spark, docs, frame, empty):
+    out = simhash.near_duplicates(frame, Scratch(spark, "t"))
+    found = {r["doc_id"]: (r["bits"] % (1 << 64), r["component_id"]) for r in out.collect()}
+    assert found == brute.near_duplicates(docs)
+    assert simhash.near_duplicates(empty, Scratch(spark, "t")).count() == 0
+
+
+def test_simhash_on_the_test_table(spark):
+    rows = {r["doc_id"]: r["text"] for r in table(spark, SMALL, "documents").collect()}
+    found = {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in queries.op7_simhash_near_dedup(spark, SMALL).collect()}
+    assert found == brute.near_duplicates(rows)
+
+
+def test_vantage_point_trees_lose_no_pair():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 1500, dtype=np.uint64)
+    near = base.copy()
+    for _ in range(4):
+        near ^= np.uint64(1) << rng.integers(0, 64, len(base)).astype(np.uint64)
+    bits = np.unique(np.concatenate([base, near]))
+    rows = []
+    for k, tree in enumerate(simhash.plant(rng.choice(bits, 500), 5)):
+        who, leaf, home = tree.leaves(bits, 1)
+        assert np.bincount(who[home], minlength=len(bits)).max() == 1
+        rows.append(pd.DataFrame({"shard": leaf << 2 | k, "bits": bits[who].view(np.int64), "home": home}))
+    links = pd.concat([simhash.linked(part, 4) for _, part in pd.concat(rows).groupby("shard")])
+    found = brute.components(bits.tolist(), zip(links["a"].to_numpy().view(np.uint64).tolist(), links["b"].to_numpy().view(np.uint64).tolist(), strict=True))
+    for a, b in zip(base.tolist(), near.tolist(), strict=True):
+        assert found[a] == found[b]
+
+
+def test_bpe(spark, docs, frame, empty):
+    coder = codec.encoding(RANKS, PATTERN)
+    for chunk, overlap in ((bpe.CHUNK_CHARS, bpe.OVERLAP_CHARS), (64, 16), (300, 20)):
+        out = bpe.encode_documents(frame, RANKS, PATTERN, chunk_chars=chunk, overlap_chars=overlap).collect()
+        assert len(out) == len(docs)
+        for r in out:
+            text = docs[r["doc_id"]] or ""
+            assert bytes(r["ids"]) == codec.packed(coder.encode_ordinary(text))
+            assert bytes(r["decoded"]) == text.encode()
+    assert bpe.encode_documents(empty, RANKS, PATTERN).count() == 0
+
+
+def test_stitching_where_white_space_and_one_long_word_hide_boundaries():
+    for text in ("a" * 500, " " * 400 + "b", "word  \n\n " * 60, "don't" * 90, "1234567" * 50 + " \t x" * 30):
+        starts = list(range(0, max(1, len(text) - 8), 24))
+        chunks = [text[i : i + 32] for i in starts]
+        parts = bpe.stitched(starts, chunks, [bpe.boundaries(c, PATTERN) for c in chunks], PATTERN)
+        coder = codec.encoding(RANKS, PATTERN)
+        assert "".join(parts) == text
+        assert [i for p in parts for i in coder.encode_ordinary(p)] == coder.encode_ordinary(text)
+
+
+def check_packing(rows: list, lengths: dict[int, int], capacity: int) -> int:
+    """Whole and gapless; gives the number of sequences."""
+    pieces, sequences = {}, {}
+    for r in rows:
+        assert 0 < r["length"] <= capacity
+        pieces.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"]))
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert {i: sum(p[2] for p in ps) for i, ps in pieces.items()} == lengths
+    for ps in pieces.values():
+        ps.sort()
+        assert [p[0] for p in ps] == list(range(len(ps)))
+        assert [p[1] for p in ps] == [sum(q[2] for q in ps[:k]) for k in range(len(ps))]
+        assert len(ps) == -(-sum(p[2] for p in ps) // capacity)
+    for items in sequences.values():
+        at = 0
+        for offset, length in sorted(items):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(sequences)
+
+
+def test_packing(spark, docs, frame, empty):
+    coder = codec.encoding(RANKS, PATTERN)
+    lengths = {i: len(coder.encode_ordinary(t or "")) + 1 for i, t in docs.items()}
+    rows = packing.pack_documents(frame, RANKS, PATTERN, Scratch(spark, "t")).collect()
+    n = check_packing(rows, lengths, packing.CAPACITY)
+    assert n <= -(-sum(lengths.values()) // packing.CAPACITY) + 1
+    assert packing.pack_documents(empty, RANKS, PATTERN, Scratch(spark, "t")).count() == 0
+
+
+def test_packing_of_the_test_table_is_tight(spark):
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    rows = table(spark, SMALL, "documents").collect()
+    lengths = {r["doc_id"]: len(coder.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in rows}
+    n = check_packing(queries.op3_best_fit_packing(spark, SMALL).collect(), lengths, packing.CAPACITY)
+    assert n <= sum(lengths.values()) / packing.CAPACITY * 1.01 + 1
