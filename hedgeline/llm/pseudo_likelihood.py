@@ -1,35 +1,46 @@
 """LM scoring by masked pseudo-likelihood: every word is predicted from the words on both sides.
 
-The vocabulary is fixed in size: the most frequent words of the whole corpus
+The network's ids are fixed in number: the most frequent words of the whole corpus
 have ids of their own, all others share hashed ids. The network adds up an
 embedding for each of the words at two places before and two behind, takes
 tanh, and predicts first the class of the masked word and then its place in the class, so a
-prediction costs two small softmaxes. Each task trains on all windows of its
+prediction costs two small softmaxes. Which of the words behind a shared id it
+is has the probability n / (all + 1) by the counts of the whole corpus, and
+1 / (all + 1) is left for words that never occurred; so every word has a
+probability of its own, however many there are. Each task trains on all windows of its
 rows from the same start by Adagrad in numpy, and the networks are averaged by
 the number of windows they saw, in two steps. A document's score is the sum of
 log p(word | both sides) over its words.
+
+Texts are cut into words once, in parts of bounded size that are written with
+the hashes of their different words. The counts of all words stay a Spark
+table; those of a part's words are joined to it by part and word.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import Scratch, text_of
 
 OFFSETS = (-2, -1, 1, 2)
 #: Bound on output weights: with width + 1 inputs of at most 1, sums stay below 88.
 LARGEST = 5.0
-#: Words kept per Python worker, about 100 MB.
-KNOWN_WORDS = 600_000
+#: A part ends with the text that reaches so many words.
+PART_WORDS = 1 << 20
+#: doc_id, absent (it has none) and n_words by text; place: for each word in turn its place in `word`, the hashes of the different words.
+PARTS = "part bigint, doc_id binary, absent binary, n_words binary, place binary, word binary"
+SCORES = "doc_id bigint, n_words bigint, log_p double"
 
 
 @dataclass(frozen=True)
@@ -154,65 +165,98 @@ def words(text: str) -> list[str]:
 
 
 def _digest(word: str) -> int:
-    import xxhash
-
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
+def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A task's texts as parts."""
+    context = TaskContext.get()
+    part = context.partitionId() << 32 if context else 0
+    doc_ids, absent, counts, places, known, size = [], [], [], [], defaultdict(), 0
+
+    def packed() -> pd.DataFrame:
+        word = np.fromiter(map(_digest, known), dtype=np.int64, count=len(known))
+        columns = {"doc_id": np.concatenate(doc_ids), "absent": np.concatenate(absent), "n_words": np.array(counts, dtype=np.int64), "place": np.concatenate(places), "word": word}
+        return pd.DataFrame({"part": [part]} | {k: [v.tobytes()] for k, v in columns.items()})
+
+    known.default_factory = known.__len__
+    for frame in frames:
+        for i in range(0, len(frame), 64):
+            rows, flat = frame.iloc[i : i + 64], []
+            for text in rows["text"]:
+                found = words(text)
+                counts.append(len(found))
+                flat += found
+            missing = rows["doc_id"].isna()
+            doc_ids.append(rows["doc_id"].fillna(0).to_numpy(np.int64))
+            absent.append(missing.to_numpy(bool))
+            places.append(np.fromiter(map(known.__getitem__, flat), dtype=np.int32, count=len(flat)))
+            size += len(flat)
+            if size >= PART_WORDS:
+                yield packed()
+                part, size = part + 1, 0
+                for held in (doc_ids, absent, counts, places, known):
+                    held.clear()
+    if counts:
+        yield packed()
+
+
 def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Hashes of a task's words and how often they stand there."""
-    counts: Counter = Counter()
+    """Hashes of each part's words and how often they stand there."""
     for frame in frames:
-        for text in frame["text"]:
-            counts.update(words(text))
-        if len(counts) > 2 * KNOWN_WORDS:
-            yield pd.DataFrame({"word": [_digest(w) for w in counts], "n": list(counts.values())})
-            counts.clear()
-    yield pd.DataFrame({"word": [_digest(w) for w in counts], "n": list(counts.values())}, dtype="int64")
+        for part in map(Part, frame.itertuples()):
+            yield pd.DataFrame({"word": part.word, "n": np.bincount(part.place, minlength=len(part.word))})
+
+
+class Part:
+    def __init__(self, row):
+        self.doc_id, self.n_words, self.word = (np.frombuffer(x, dtype=np.int64) for x in (row.doc_id, row.n_words, row.word))
+        self.absent, self.place = np.frombuffer(row.absent, dtype=bool), np.frombuffer(row.place, dtype=np.int32)
+        self.text = np.repeat(np.arange(len(self.n_words)), self.n_words)
+        #: Of each word in ids().
+        self.at = np.arange(len(self.place)) + 2 * (self.text + 1)
+
+    def ids(self, of_word: np.ndarray) -> np.ndarray:
+        """All ids with two of beyond before and behind each text."""
+        out = np.zeros(len(self.place) + 2 * len(self.n_words) + 2, dtype=np.int64)
+        out[self.at] = of_word[self.place]
+        return out
+
+    def scores(self, by_word: np.ndarray) -> pd.DataFrame:
+        """by_word: log p of each word in turn."""
+        total = np.bincount(self.text, weights=by_word, minlength=len(self.n_words))
+        return pd.DataFrame({"doc_id": pd.arrays.IntegerArray(self.doc_id.copy(), self.absent.copy()), "n_words": self.n_words, "log_p": total})
 
 
 class Ids:
-    """Ids of words; own: from the hashes of frequent words."""
+    """Ids of hashes of words; own: those of frequent words."""
 
     def __init__(self, own: dict[int, int], shape: Shape):
-        self.own, self.shape, self.known = own, shape, {}
-
-    def _id(self, word: str) -> int:
-        digest = _digest(word)
-        return self.own.get(digest) or self.shape.size - 1 - digest % self.shape.shared
-
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids with two of beyond before and behind each text, and each text's number of words."""
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        flat: list[str] = []
-        counts = np.zeros(len(texts), dtype=np.int64)
-        for i, text in enumerate(texts):
-            found = words(text)
-            counts[i] = len(found)
-            flat += found
-        own = np.fromiter(map(self.known.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
-        for i in np.flatnonzero(own < 0).tolist():
-            word = flat[i]
-            if (n := self.known.get(word)) is None:
-                n = self.known[word] = self._id(word)
-            own[i] = n
-        ids = np.zeros(len(flat) + 2 * len(texts) + 2, dtype=np.int64)
-        ids[np.arange(len(flat)) + 2 * np.repeat(np.arange(1, len(texts) + 1), counts)] = own
-        return ids, counts
+        self.shape = shape
+        self.hashes = np.array(sorted(own), dtype=np.int64)
+        self.own = np.array([own[h] for h in sorted(own)], dtype=np.int64)
+
+    def of(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's id, and whether others share it."""
+        ids, shared = self.shape.size - 1 - word % self.shape.shared, np.ones(len(word), dtype=bool)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, word), len(self.hashes) - 1)
+            shared = self.hashes[at] != word
+            ids = np.where(shared, ids, self.own[at])
+        return ids, shared
 
 
 def trained(frames: Iterator[pd.DataFrame], shape: Shape, vocabulary) -> Iterator[pd.DataFrame]:
-    """One network from all windows of a task's rows."""
+    """One network from all windows of a task's parts."""
     ids_of, trainer, seen = Ids(vocabulary.value, shape), Trainer(Network(shape)), 0
     for frame in frames:
-        for i in range(0, len(frame), 64):
-            ids, counts = ids_of.of(frame["text"].iloc[i : i + 64].tolist())
+        for part in map(Part, frame.itertuples()):
+            ids = part.ids(ids_of.of(part.word)[0])
             for k in range(0, len(ids) - 4, shape.batch):
-                part = ids[k : k + shape.batch + 4]
-                if (weight := (part[2:-2] > 0).astype(np.float32)).any():
-                    trainer.step(part, weight)
-            seen += int(counts.sum())
+                some = ids[k : k + shape.batch + 4]
+                if (weight := (some[2:-2] > 0).astype(np.float32)).any():
+                    trainer.step(some, weight)
+            seen += len(part.place)
     if seen:
         yield pd.DataFrame({"network": [trainer.net.flat.tobytes()], "seen": [seen]})
 
@@ -225,30 +269,88 @@ def averaged(networks: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"network": [(total / seen).astype(np.float32).tobytes()], "seen": [seen]})
 
 
+def network_of(flat, shape: Shape) -> Network:
+    return Network(shape, np.frombuffer(flat.value, dtype=np.float32) if flat.value else None)
+
+
+def by_id(part: Part, network: Network, of_word: np.ndarray) -> np.ndarray:
+    """log p of the id of each word of a part."""
+    ids, batch = part.ids(of_word), network.shape.batch
+    log_p = [network.log_p(ids[k : k + batch + 4]) for k in range(0, len(ids) - 4, batch)]
+    return np.concatenate(log_p or [np.zeros(0)]).astype(np.float64)[part.at - 2]
+
+
 def scored(frames: Iterator[pd.DataFrame], shape: Shape, vocabulary, flat) -> Iterator[pd.DataFrame]:
-    ids_of, network = Ids(vocabulary.value, shape), Network(shape, np.frombuffer(flat.value, dtype=np.float32) if flat.value else None)
+    """Scores by the network alone, which doesn't tell apart the words that share an id."""
+    ids_of, network = Ids(vocabulary.value, shape), network_of(flat, shape)
+    for frame in cut(frames):
+        for part in map(Part, frame.itertuples()):
+            yield part.scores(by_id(part, network, ids_of.of(part.word)[0]))
+
+
+def sharing(frames: Iterator[pd.DataFrame], shape: Shape, vocabulary) -> Iterator[pd.DataFrame]:
+    """The words of each part that share an id."""
+    ids_of = Ids(vocabulary.value, shape)
     for frame in frames:
-        for i in range(0, len(frame), 64):
-            part = frame.iloc[i : i + 64]
-            ids, counts = ids_of.of(part["text"].tolist())
-            log_p = np.concatenate([network.log_p(ids[k : k + shape.batch + 4]) for k in range(0, len(ids) - 4, shape.batch)] or [np.zeros(0)]).astype(np.float64)
-            ends = np.cumsum(counts + 2)
-            sums = np.concatenate([[0.0], np.cumsum(np.where(ids[2:-2] > 0, log_p, 0.0))])
-            total = sums[ends - 2] - sums[ends - 2 - counts]
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_words": counts, "log_p": total})
+        for row in frame.itertuples():
+            word = np.frombuffer(row.word, dtype=np.int64)
+            word = word[ids_of.of(word)[1]]
+            yield pd.DataFrame({"part": np.full(len(word), row.part), "word": word})
 
 
-def vocabulary_of(docs: DataFrame, shape: Shape = Shape()) -> dict[int, int]:
-    """Ids of the most frequent words of all texts, by their hash."""
-    counts = text_of(docs).select("text").mapInPandas(counted, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+def within(word: np.ndarray, n: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """log p of words among those that share their id; n: their counts, 0 if unseen; held: the sum of counts by shared id."""
+    return np.log(np.maximum(n, 1)) - np.log(held[word % len(held)] + 1.0)
+
+
+def scored_part(parts: pd.DataFrame, counts: pd.DataFrame, shape: Shape, vocabulary, flat, held) -> pd.DataFrame:
+    """Scores of one part from the network and from the counts of its words that share an id."""
+    ids_of, network, out = Ids(vocabulary.value, shape), network_of(flat, shape), []
+    counts = counts.sort_values("word")
+    word, n = counts["word"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
+    for part in map(Part, parts.itertuples()):
+        of_word, shared = ids_of.of(part.word)
+        inside = np.zeros(len(part.word))
+        inside[shared] = within(part.word[shared], n[np.searchsorted(word, part.word[shared])], held.value)
+        out.append(part.scores(by_id(part, network, of_word) + inside[part.place]))
+    return pd.concat(out)
+
+
+def parts_of(docs: DataFrame) -> DataFrame:
+    return text_of(docs).mapInPandas(cut, PARTS)
+
+
+def counts_of(parts: DataFrame) -> DataFrame:
+    """How often each word, by its hash, stands in all texts."""
+    return parts.mapInPandas(counted, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counts: DataFrame, shape: Shape) -> dict[int, int]:
     most = counts.orderBy(F.desc("n"), "word").limit(shape.size - shape.shared - 1).collect()  # at most shape.size
     return {row["word"]: i for i, row in enumerate(most, 1)}
 
 
+def vocabulary_of(docs: DataFrame, shape: Shape = Shape()) -> dict[int, int]:
+    """Ids of the most frequent words of all texts, by their hash."""
+    return most_frequent(counts_of(parts_of(docs)), shape)
+
+
+def held_by_id(counts: DataFrame, own: dict[int, int], shape: Shape) -> np.ndarray:
+    """The sum of the counts of the words that share an id, by hash modulo shape.shared."""
+    held = np.zeros(shape.shared, dtype=np.int64)
+    sums = counts.groupBy(F.pmod("word", F.lit(shape.shared)).alias("at")).agg(F.sum(F.when(~F.col("word").isin(list(own)), F.col("n")).otherwise(0)).alias("n"))
+    for row in sums.collect():  # at most shape.shared
+        held[row["at"]] = row["n"]
+    return held
+
+
 def train(docs: DataFrame, vocabulary, shape: Shape = Shape()) -> bytes:
     """The averaged network; empty bytes if there isn't a word."""
-    rows = text_of(docs).select("text").coalesce(shape.shards)
-    networks = rows.mapInPandas(partial(trained, shape=shape, vocabulary=vocabulary), "network binary, seen bigint")
+    return train_parts(parts_of(docs), vocabulary, shape)
+
+
+def train_parts(parts: DataFrame, vocabulary, shape: Shape) -> bytes:
+    networks = parts.coalesce(shape.shards).mapInPandas(partial(trained, shape=shape, vocabulary=vocabulary), "network binary, seen bigint")
     some = networks.groupBy(F.pmod(F.xxhash64("network"), F.lit(64)).alias("part")).applyInPandas(averaged, "network binary, seen bigint")
     one = some.groupBy(F.lit("all").alias("part")).applyInPandas(averaged, "network binary, seen bigint").collect()  # one network
     return bytes(one[0]["network"]) if one else b""
@@ -262,8 +364,15 @@ def score_documents(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     equal scores and count as often as they stand there in training; null
     doc_ids are allowed. An empty table gives no rows; other columns are ignored.
     """
-    context = docs.sparkSession.sparkContext
-    vocabulary = context.broadcast(vocabulary_of(docs, shape))  # at most shape.size ids
-    network = context.broadcast(train(docs, vocabulary, shape))  # of fixed size
-    out = text_of(docs).mapInPandas(partial(scored, shape=shape, vocabulary=vocabulary, flat=network), "doc_id bigint, n_words bigint, log_p double")
+    context, scratch = docs.sparkSession.sparkContext, Scratch(docs.sparkSession, "lm-scoring")
+    parts = scratch.keep(parts_of(docs), "parts")
+    counts = scratch.keep(counts_of(parts), "counts")
+    own = most_frequent(counts, shape)
+    vocabulary = context.broadcast(own)  # at most shape.size ids
+    held = context.broadcast(held_by_id(counts, own, shape))  # of fixed size
+    network = context.broadcast(train_parts(parts, vocabulary, shape))  # of fixed size
+    some = parts.mapInPandas(partial(sharing, shape=shape, vocabulary=vocabulary), "part bigint, word bigint")
+    known = some.join(counts, "word", "left").select("part", "word", F.coalesce("n", F.lit(0)).alias("n"))
+    f = partial(scored_part, shape=shape, vocabulary=vocabulary, flat=network, held=held)
+    out = parts.groupBy("part").cogroup(known.groupBy("part")).applyInPandas(f, SCORES)
     return out.withColumn("mean_log_p", F.when(F.col("n_words") > 0, F.col("log_p") / F.col("n_words")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 from functools import partial
@@ -98,6 +99,28 @@ def test_a_score_is_the_sum_over_the_words():
         assert together["n_words"].iloc[i] == len(text.split())
 
 
+def test_words_that_share_an_id_are_told_apart(spark):
+    """Two words have ids of their own; of the others, in equal places, each is as likely as the whole corpus says."""
+    shape = pseudo_likelihood.Shape(classes=2, members=2, shared=1)
+    rows = [(i, "top mid " * 50) for i in range(4)] + [(10 + i, "often") for i in range(30)] + [(50, "rare"), (51, "lone"), (52, "twin"), (53, "twin")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    out = {r["doc_id"]: r["log_p"] for r in pseudo_likelihood.score_documents(docs, shape).collect()}
+    assert len(out) == len(rows)
+    assert out[51] == pytest.approx(out[50]) and out[53] == pytest.approx(out[52])
+    assert out[52] - out[50] == pytest.approx(math.log(2), abs=1e-5)
+    assert out[10] - out[50] == pytest.approx(math.log(30), abs=1e-5)
+
+
+def test_words_that_share_an_id_have_a_distribution():
+    import numpy as np
+
+    word, n = np.array([-8, -4, 0, 4, 5]), np.array([3, 1, 2, 0, 7])
+    held = np.array([6, 7, 0, 0])
+    p = np.exp(pseudo_likelihood.within(word, n, held))
+    assert p[:4] == pytest.approx([3 / 7, 1 / 7, 2 / 7, 1 / 7]) and p[:4].sum() == pytest.approx(1)
+    assert p[4] == pytest.approx(7 / 8)
+
+
 def test_chat_query_equals_its_sql(spark):
     assert of_spark(queries.op9_chat_formatting(spark, SMALL)) == of_duckdb(queries.ORACLES["op9_chat_formatting"], SMALL)
 
