@@ -153,7 +153,7 @@ def probed(frames: Iterator[pd.DataFrame], layout) -> Iterator[pd.DataFrame]:
 
 
 def ranked(ids: np.ndarray, x: np.ndarray, bucket: np.ndarray, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest of a shard's vectors for each query, among the buckets that it visits."""
+    """The k nearest of a shard's vec_ids for each query, each by its best row among the buckets that the query visits."""
     q, query_ids = matrix(queries["vector"].tolist()), queries["id"].to_numpy()
     scores = np.full((len(q), len(x)), -np.inf)
     visits = [np.frombuffer(b, dtype="<i4") for b in queries["buckets"]]
@@ -166,11 +166,19 @@ def ranked(ids: np.ndarray, x: np.ndarray, bucket: np.ndarray, queries: pd.DataF
         if stop > start:
             scores[who[a:b], start:stop] = q[who[a:b]] @ x[start:stop].T
     scores[query_ids[:, None] == ids[None, :]] = -np.inf
-    near = min(k, len(x))
-    edge = np.partition(scores, len(x) - near, axis=1)[:, len(x) - near]
+    one, which = np.unique(ids, return_inverse=True)
+    best = scores
+    if len(one) < len(ids):
+        by_id = np.argsort(which, kind="stable")
+        best = np.maximum.reduceat(scores[:, by_id], np.flatnonzero(np.diff(which[by_id], prepend=-1)), axis=1)
+    last = len(one) - min(k, len(one))
+    edge = np.partition(best, last, axis=1)[:, last]
     row, column = np.nonzero((scores >= edge[:, None] - 1e-9) & (scores > -np.inf))
     exact = (q[row] * x[column]).sum(axis=1)  # summed alike for every pair, so equal vectors tie
-    order = np.lexsort((ids[column], -exact, row))
+    order = np.lexsort((-exact, which[column], row))
+    pair = row[order] * len(one) + which[column[order]]
+    order = order[np.diff(pair, prepend=-1) != 0]  # the best row of each vec_id
+    order = order[np.lexsort((ids[column[order]], -exact[order], row[order]))]
     row, column, exact = row[order], column[order], exact[order]
     rank = np.arange(len(row)) - np.searchsorted(row, row)
     kept = rank < k
@@ -219,13 +227,14 @@ def nearest(rows: DataFrame, scratch: Scratch, k: int = 20, every: int = 20, ind
     rows; other columns are ignored.
     """
     spark = rows.sparkSession
-    vectors = scratch.keep(clean(rows, "vec_id"), "vectors")
+    # Equal rows score alike, so one of them will do.
+    vectors = scratch.keep(clean(rows, "vec_id").groupBy("vec_id", "vector").agg(F.count("*").alias("copies")), "vectors")
     length = F.octet_length("vector")
-    most = vectors.groupBy(length.alias("bytes")).count().orderBy(F.desc("count"), "bytes").first()
+    most = vectors.groupBy(length.alias("bytes")).agg(F.sum("copies").alias("rows")).orderBy(F.desc("rows"), "bytes").first()
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if most is None:
         return spark.createDataFrame([], schema)
-    vectors = vectors.where(length == most["bytes"])
+    vectors = vectors.where(length == most["bytes"]).select("vec_id", "vector")
     norms = vectors.mapInPandas(lambda frames: (pd.DataFrame({"norm": np.linalg.norm(matrix(f["vector"].tolist()), axis=1)}) for f in frames if len(f)), "norm double")
     top = norms.agg(F.max("norm")).first()[0]
     sample = matrix([bytes(r["vector"]) for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(index.fit_rows).collect()])  # at most fit_rows

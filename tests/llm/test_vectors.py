@@ -51,6 +51,27 @@ def test_neighbours_of_a_small_table_are_exact(spark, rows):
         assert np.allclose([s for _, s in found[q]], [s for _, s in near], rtol=1e-12)
 
 
+def test_neighbours_among_repeated_rows(spark, rows):
+    """Copies of a row, and other vectors of one vec_id, are one candidate and crowd no other out."""
+    some = [r for r in rows[:350] if brute.usable(r[1])]
+    often = some * 3 + some[1:13] * 30 + [(i, (np.array(v) * (1 + n / 1000)).tolist(), label) for i, v, label in some[20:50] for n in range(1, 25)]
+    found: dict = {}
+    for r in multiprobe.nearest(spark.createDataFrame(often, SCHEMA).repartition(4), Scratch(spark, "t"), index=multiprobe.Index(least=len(often))).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    ids, x = np.array([i for i, *_ in often]), np.array([v for _, v, _ in often])
+    assert found.keys() == {i for i, *_ in some if i % 20 == 0}
+    for q, near in found.items():
+        best: dict = {}
+        scores = (x[ids == q] @ x.T).max(axis=0)
+        for i, s in zip(ids.tolist(), scores.tolist(), strict=True):
+            if i != q:
+                best[i] = max(s, best.get(i, s))
+        expected = sorted(best.values(), reverse=True)[:20]
+        assert [rank for rank, _, _ in near] == list(range(1, 21)) and len({i for _, i, _ in near}) == 20
+        assert np.allclose([s for _, _, s in near], expected, rtol=1e-12)
+        assert all(s == pytest.approx(best[i], rel=1e-12) for _, i, s in near)
+
+
 def test_neighbours_recall(spark):
     folder = "/root/testdata/sf0.01"
     rows = [(r["vec_id"], r["embedding"]) for r in table(spark, folder, "embeddings").collect()]
