@@ -69,9 +69,8 @@ def q03_normalize_a_book(t):
     return normalize.markets_a(raw, F.lit(0)).select("ticker", F.round("no_bid", 6).alias("no_bid"), F.round("no_ask", 6).alias("no_ask"), F.round("price", 6).alias("price"))
 
 
-@query("""SELECT ticker, event_title, round(CASE WHEN yes_bid IS NOT NULL AND yes_ask IS NOT NULL THEN (yes_bid + yes_ask) / 2 ELSE price END, 6) AS price,
- yes_bid, yes_ask, book_depth FROM markets WHERE venue = 'b' AND id % 23 <> 0 AND event_title IS NOT NULL""")
-def q04_normalize_b_mid(t):
+def _events_b(t: Tables) -> DataFrame:
+    """Events of venue b with nested markets, of which a row holds at most 32: a title's markets stand in one row for each block of 64 ids."""
     m = t.venue("b").where("event_title IS NOT NULL")
     s = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("0.0000"))
     half = (F.col("book_depth") / 2).cast("string")
@@ -80,8 +79,13 @@ def q04_normalize_b_mid(t):
         F.col("close_time").cast("string").alias("close_time"), s("price").alias("last_price_dollars"), s("yes_bid").alias("yes_bid_dollars"), s("yes_ask").alias("yes_ask_dollars"), F.lit("0").alias("no_bid_dollars"), s("no_ask").alias("no_ask_dollars"),
         half.alias("yes_bid_size_fp"), half.alias("yes_ask_size_fp"), s("volume").alias("volume_fp"), s("open_interest").alias("open_interest_fp"),
     )
-    events = m.groupBy(F.col("event_title").alias("event_ticker")).agg(F.first("event_title").alias("title"), F.collect_list(nested).alias("markets"))
-    return normalize.markets_b(events, F.lit(0)).select("ticker", "event_title", F.round("price", 6).alias("price"), "yes_bid", "yes_ask", "book_depth")
+    return m.groupBy(F.col("event_title").alias("event_ticker"), F.floor(F.col("id") / 64).alias("block")).agg(F.first("event_title").alias("title"), F.collect_list(nested).alias("markets"))
+
+
+@query("""SELECT ticker, event_title, round(CASE WHEN yes_bid IS NOT NULL AND yes_ask IS NOT NULL THEN (yes_bid + yes_ask) / 2 ELSE price END, 6) AS price,
+ yes_bid, yes_ask, book_depth FROM markets WHERE venue = 'b' AND id % 23 <> 0 AND event_title IS NOT NULL""")
+def q04_normalize_b_mid(t):
+    return normalize.markets_b(_events_b(t), F.lit(0)).select("ticker", "event_title", F.round("price", 6).alias("price"), "yes_bid", "yes_ask", "book_depth")
 
 
 @query("SELECT ticker, event_id, price FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY event_id) AS n FROM ticks) x WHERE n = 1")
