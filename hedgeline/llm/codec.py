@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +23,43 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
 
 
+def _byte_of_sign() -> dict[str, int]:
+    """The alphabet of byte-level vocabularies: printable Latin-1 signs stand for themselves, other bytes for the signs from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+@lru_cache(maxsize=4)
+def json_encoding(path: str, pattern: str):
+    """A function from a text to the ids that the tokenizer of a JSON file gives, special tokens within the text included.
+
+    The file's own vocabulary and added tokens go to the rank encoder, which
+    takes a third of the time. That gives the same ids where merges make ids in
+    ascending order, pre-tokens are byte-level and nothing is normalised;
+    any other file is left to its own library.
+    """
+    with open(path, encoding="utf-8") as file:
+        form = json.load(file)
+    model, added, before = form["model"], form["added_tokens"], form["pre_tokenizer"] or {}
+    vocab, byte_of = model.get("vocab"), _byte_of_sign()
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    made = [vocab["".join(m)] for m in merges] if model["type"] == "BPE" else []
+    plain = not any(a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"] for a in added)
+    level = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+    if model["type"] != "BPE" or made != sorted(set(made)) or not plain or not level or form["normalizer"] or model.get("ignore_merges") or model.get("dropout"):
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path)
+        return lambda text: whole.encode(text, add_special_tokens=False).ids
+    import tiktoken
+
+    special = {a["content"]: a["id"] for a in added}
+    ranks = {bytes(byte_of[sign] for sign in token): rank for token, rank in vocab.items() if token not in special}
+    coder = tiktoken.Encoding("json", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: coder.encode(text, allowed_special="all", disallowed_special=())
+
+
 def packed(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
     return np.array(ids, dtype="<u4").tobytes()

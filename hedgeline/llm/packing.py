@@ -24,23 +24,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .codec import encoding, packed
-from .common import Scratch, text_of
+from .codec import json_encoding, packed
+from .common import Scratch, parallelism, text_of
 
 CAPACITY = 2048
-#: Parts of a length among which ranks are dealt, so that a length that a third of all items have is no single task.
-SALTS = 16
+#: Parts of a length, among which its ranks are dealt: so many to a partition, and of at most so many items each, so that no length is a single task.
+PARTS, PART_ROWS = 16, 100_000
 PIECES = "doc_id bigint, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 RESULT = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 
 
 def cut_pieces(frames: Iterator[pd.DataFrame], path: str, pattern: str, capacity: int, end_id: int) -> Iterator[pd.DataFrame]:
     """The pieces of each document; of one longer than the capacity, the first takes what is over."""
-    coder, end = encoding(path, pattern), packed([end_id])
+    ids_of, end = json_encoding(path, pattern), packed([end_id])
     for frame in frames:
         out = []
         for doc_id, row, text in zip(frame["doc_id"], frame["row"], frame["text"], strict=True):
-            ids = packed(coder.encode_ordinary(text)) + end
+            ids = packed(ids_of(text)) + end
             n = len(ids) // 4
             begin, stop, piece = 0, n % capacity or capacity, 0
             while begin < n:
@@ -143,19 +143,23 @@ def placed(frames: Iterator[pd.DataFrame], runs) -> Iterator[pd.DataFrame]:
         yield frame.drop(columns=["rank"]).assign(sequence_id=run[:, 2] + behind, offset=run[:, 4] + within * length)
 
 
-def ranked(pieces: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Number the pieces of each length from 0, without bringing a length to one task."""
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "salt").count()
-    before = counts.select("length", "salt", (F.sum("count").over(W.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"))
+def ranked(pieces: DataFrame, counts: dict[int, int], part_rows: int = PART_ROWS) -> DataFrame:
+    """Number the pieces of each length from 0; a length is dealt out in as many parts as its count asks for."""
+    spark = pieces.sparkSession
+    rows = min(part_rows, max(1, -(-sum(counts.values()) // (PARTS * parallelism(spark)))))
+    salts = spark.createDataFrame([(length, -(-n // rows)) for length, n in counts.items()], "length bigint, salts int")  # a row for each length
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.col("salts")).cast("int")).drop("salts")
+    sizes = salted.groupBy("length", "salt").count()  # PARTS for each partition and one for each length
+    before = sizes.select("length", "salt", (F.sum("count").over(W.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"))
     within = salted.withColumn("within", F.row_number().over(W.partitionBy("length", "salt").orderBy("row", "piece")) - 1)
     return within.join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within")).drop("salt", "before", "within")
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, scratch: Scratch, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, scratch: Scratch, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset.
 
-    A document is its text's ids and then end_id; one longer than the capacity is
+    A document is its text's ids by the tokenizer's JSON file, which give a special token's name inside
+    a text that token's id, and then end_id; one longer than the capacity is
     cut into pieces of it, of which the first may be shorter. A null or empty
     text is end_id alone. Repeated rows are packed as often as they stand there;
     rows without a doc_id are packed too. An empty table gives no rows. Other
@@ -166,9 +170,9 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, scratch: Scra
     """
     spark = docs.sparkSession
     rows = text_of(docs).withColumn("row", F.monotonically_increasing_id())
-    pieces = scratch.keep(rows.mapInPandas(partial(cut_pieces, path=ranks_path, pattern=pattern, capacity=capacity, end_id=end_id), PIECES), "pieces")
+    pieces = scratch.keep(rows.mapInPandas(partial(cut_pieces, path=tokenizer_path, pattern=pattern, capacity=capacity, end_id=end_id), PIECES), "pieces")
     counts = {int(r["length"]): int(r["count"]) for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     runs = np.array(sorted(Plan(counts, capacity).runs), dtype=np.int64).reshape(-1, 5)
     table = spark.sparkContext.broadcast(runs)
     columns = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
-    return ranked(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(partial(placed, runs=table), columns)
+    return ranked(pieces, counts).select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(partial(placed, runs=table), columns)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import bpe, chat, cover_tree, line_runs, multiprobe, packing, pseudo_likelihood, simhash, suffixes, toxicity
 from .common import Scratch, small_batches, table
 
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+RANKS, TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,7 +37,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return packing.pack_documents(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, Scratch(spark, "packing"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN, Scratch(spark, "packing"))
 
 
 @query

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import public_tokenizers
-
 import corpus_pipeline
-from hedgeline.llm import codec, packing, toxicity
+from hedgeline.llm import packing, toxicity
 from hedgeline.llm.common import Scratch, table
 
 from . import brute
-from .test_texts import check_packing
+from .test_texts import check_ids, check_packing
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -36,9 +34,8 @@ def test_stages(spark):
             assert after == {i: before[i] for i, (_, component) in brute.near_duplicates(before).items() if i == component}
         else:
             assert after == {i: kept.decode(errors="ignore") for i, (_, _, kept) in brute.suffix_dedup(before).items()}
-    coder = codec.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    lengths = {i: len(coder.encode_ordinary(t)) + 1 for i, t in texts(given).items()}
     direct = corpus_pipeline.STAGES[-1][1](spark, given, SMALL).collect()
+    lengths = check_ids(direct, texts(given))
     whole = corpus_pipeline.run(spark, SMALL).collect()
     assert check_packing(direct, lengths, packing.CAPACITY) == check_packing(whole, lengths, packing.CAPACITY)
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import random
+import zlib
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from hedgeline.llm import bpe, codec, line_runs, packing, queries, simhash, suffixes
 from hedgeline.llm.common import Scratch, table
@@ -18,6 +22,7 @@ from . import brute
 
 SMALL = "/root/testdata/sf0.001"
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+TOKENIZER = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def planted() -> dict[int, str | None]:
@@ -195,20 +200,60 @@ def check_packing(rows: list, lengths: dict[int, int], capacity: int) -> int:
     return len(sequences)
 
 
+def check_ids(rows: list, docs: dict[int, str | None]) -> dict[int, int]:
+    """Each piece's ids are those that the tokenizer's own library gives; returns the lengths of documents."""
+    whole = Tokenizer.from_file(TOKENIZER)
+    ids = {i: [*whole.encode(t or "", add_special_tokens=False).ids, 0] for i, t in docs.items()}
+    for r in rows:
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert len(part) == r["length"] and r["ids_crc32"] == zlib.crc32(np.array(part, dtype="<u4").tobytes())
+    return {i: len(x) for i, x in ids.items()}
+
+
 def test_packing(spark, docs, frame, empty):
-    coder = codec.encoding(RANKS, PATTERN)
-    lengths = {i: len(coder.encode_ordinary(t or "")) + 1 for i, t in docs.items()}
-    rows = packing.pack_documents(frame, RANKS, PATTERN, Scratch(spark, "t")).collect()
+    rows = packing.pack_documents(frame, TOKENIZER, PATTERN, Scratch(spark, "t")).collect()
+    lengths = check_ids(rows, docs)
     n = check_packing(rows, lengths, packing.CAPACITY)
     assert n <= -(-sum(lengths.values()) // packing.CAPACITY) + 1
-    assert packing.pack_documents(empty, RANKS, PATTERN, Scratch(spark, "t")).count() == 0
+    assert packing.pack_documents(empty, TOKENIZER, PATTERN, Scratch(spark, "t")).count() == 0
+
+
+def test_packed_ids_of_special_tokens_and_odd_signs(spark):
+    rng, end = random.Random(9), "<|endoftext|>"
+    signs = [end, end[:-1], end[1:], " ", "  ", "\n", "\r\n", "\t", "a", "Word", "don't", "12", "é", "\u0301", "日本", "\u200b", "\xa0", "😀", "\ud7ff", "\x00", "|>", "'s", "'S", "ſ", "İ"]
+    docs = {i: "".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for i in range(300)} | {1000: end, 1001: end * 3000, 1002: " " + end + " ", 1003: None}
+    rows = packing.pack_documents(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), TOKENIZER, PATTERN, Scratch(spark, "t")).collect()
+    check_packing(rows, check_ids(rows, docs), packing.CAPACITY)
+    assert sum(r["length"] for r in rows if r["doc_id"] == 1001) == 3001
+
+
+def test_other_tokenizer_files_go_to_their_library(tmp_path):
+    form = json.loads(Path(TOKENIZER).read_text())
+    form["pre_tokenizer"]["add_prefix_space"] = True
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(form))
+    whole = Tokenizer.from_file(str(other))
+    for text in ("word and more", "", "<|endoftext|>x"):
+        assert codec.json_encoding(str(other), PATTERN)(text) == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_a_length_that_most_pieces_have_is_dealt_out(spark):
+    pieces = spark.range(40_000).select(F.col("id").alias("row"), F.lit(0).alias("piece"), F.when(F.col("id") % 10 > 0, 2048).otherwise(F.col("id") % 2000 + 1).cast("bigint").alias("length"))
+    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = packing.ranked(pieces, counts).withColumn("task", F.spark_partition_id()).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for length, rows in out.groupby("length"):
+        assert sorted(rows["rank"]) == list(range(counts[length]))
+    tasks = out.groupby("task").size()
+    assert len(tasks) == 8 and tasks.max() <= 2 * tasks.median()
 
 
 def test_packing_of_the_test_table_is_tight(spark):
-    from tokenizers import Tokenizer
-
-    coder = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    rows = table(spark, SMALL, "documents").collect()
-    lengths = {r["doc_id"]: len(coder.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in rows}
-    n = check_packing(queries.op3_best_fit_packing(spark, SMALL).collect(), lengths, packing.CAPACITY)
+    docs = {r["doc_id"]: r["text"] for r in table(spark, SMALL, "documents").collect()}
+    rows = queries.op3_best_fit_packing(spark, SMALL).collect()
+    lengths = check_ids(rows, docs)
+    n = check_packing(rows, lengths, packing.CAPACITY)
     assert n <= sum(lengths.values()) / packing.CAPACITY * 1.01 + 1
