@@ -54,8 +54,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences of at most 2048 tokens."""
     small_batches(spark)
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return packing.pack_documents(docs, ranks, public_tokenizers.PATTERN, Scratch(spark, "pipeline-packing"))
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_documents(docs, tokenizer, public_tokenizers.PATTERN, Scratch(spark, "pipeline-packing"))
 
 
 STAGES = [
