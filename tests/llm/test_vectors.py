@@ -106,7 +106,7 @@ def test_cover_tree(spark, rows):
 
 
 def test_cover_tree_on_the_test_table(spark):
-    folder = "/root/testdata/sf0.001"
+    folder = "/root/testdata/sf0.1"
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in table(spark, folder, "embeddings").collect()]
     out = queries.op8_cover_tree_near_dedup(spark, folder).collect()
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out} == brute.vector_links(rows)
@@ -119,15 +119,66 @@ def test_cover_tree_of_nothing_and_without_ids(spark):
     assert sorted((r["n_links"], r["component_id"] is None) for r in out) == [(0, False), (0, True)]
 
 
+def unit_rows(seed: int, centres: int, n: int, size: int, spread: float) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(centres, size))[rng.integers(0, centres, n)] + rng.normal(0, spread, (n, size))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def test_walk_equals_all_pairs():
-    rng = np.random.default_rng(4)
-    for spread in (0.02, 0.15, 0.6):
-        x = rng.normal(size=(6, 16))[rng.integers(0, 6, 700)] + rng.normal(0, spread, (700, 16))
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for spread in (0.0, 0.02, 0.15, 0.6):
+        x = unit_rows(4, 6, 700, 16, spread)
         a, b = cover_tree.CoverTree(x[:400]), cover_tree.CoverTree(x[400:])
-        ones = np.ones(400, dtype=np.int64), np.ones(300, dtype=np.int64)
-        of_a, of_b, _, _ = cover_tree.walk(a, b, False, *ones, 0.93)
+        wa, wb = np.arange(400) % 3 + 1, np.arange(300) % 2 + 1
+        walk = cover_tree.Walk(a, b, wa, wb, 0.93)
         near = a.x @ b.x.T >= 0.93
-        assert (of_a == near.sum(axis=1)).all() and (of_b == near.sum(axis=0)).all()
-        own, other, _, _ = cover_tree.walk(a, a, True, ones[0], ones[0], 0.93)
-        assert (own + other == (a.x @ a.x.T >= 0.93).sum(axis=1) - 1).all()
+        assert (walk.of_a == near @ wb).all() and (walk.of_b == near.T @ wa).all()
+        i, j = np.nonzero(near)
+        found, expected = (brute.components(range(700), pairs) for pairs in (zip(walk.u.tolist(), walk.v.tolist(), strict=True), zip(i.tolist(), (j + 400).tolist(), strict=True)))
+        assert found == expected
+        own = cover_tree.Walk(a, None, wa, wa, 0.93)
+        near = a.x @ a.x.T >= 0.93
+        np.fill_diagonal(near, False)
+        assert (own.of_a + own.of_b == near @ wa).all()
+
+
+def test_levels_halve_their_radii_and_hold_all_rows():
+    for x in (unit_rows(1, 20, 1500, 64, 0.02), unit_rows(2, 1, 1500, 64, 99.0)):
+        tree = cover_tree.CoverTree(x)
+        assert sorted(tree.order) == list(range(1500)) and tree.level.max() >= 1
+        for node in range(len(tree.start)):
+            rows = tree.x[tree.start[node] : tree.stop[node]]
+            apart = np.sqrt(np.maximum(0, 2 - 2 * rows @ rows[0]))
+            assert apart.max() <= tree.radius[node] + cover_tree.SLACK
+            for child in range(tree.first[node], tree.last[node]):
+                assert tree.radius[child] <= tree.radius[node] / 2 + cover_tree.SLACK and tree.level[child] == tree.level[node] + 1
+            if tree.last[node] == tree.first[node]:
+                assert len(rows) == 1 or tree.radius[node] <= cover_tree.LEAST
+            else:
+                assert (np.concatenate([np.arange(tree.start[c], tree.stop[c]) for c in range(tree.first[node], tree.last[node])]) == np.arange(tree.start[node], tree.stop[node])).all()
+
+
+def test_pairs_that_the_walk_never_compares():
+    """In clusters nearly all; of vectors spread over all directions few, which the README says."""
+    clustered, spread = unit_rows(1, 20, 1500, 64, 0.02), unit_rows(2, 1, 1500, 64, 99.0)
+    shares = []
+    for x in (clustered, spread):
+        ones = np.ones(1500, dtype=np.int64)
+        shares.append(1 - cover_tree.Walk(cover_tree.CoverTree(x), None, ones, ones, 0.93).compared / (1500 * 1499 / 2))
+    assert shares[0] > 0.99 and 0 <= shares[1] < 0.2
+
+
+def test_cores_and_cells_of_clusters(spark):
+    """Clusters larger than a part, copies, and vectors that link with a core as a whole, in part or not at all."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([unit_rows(5, 1, 2500, 16, 0.03), unit_rows(6, 3, 900, 16, 0.06), unit_rows(7, 40, 600, 16, 0.0)])
+    steps = x[:200] + rng.normal(size=(200, 16)) * np.linspace(0.01, 0.2, 200)[:, None]  # from inside the first core outwards
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, steps, 2 * x[:30]]))]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cover_tree.near_duplicates(df, Scratch(spark, "t")).collect()}
+    u = np.array([v for _, v, _ in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, False)
+    expected = brute.components(range(len(rows)), zip(*(k.tolist() for k in np.nonzero(np.triu(near))), strict=True))
+    assert found == {i: (int(near[i].sum()), expected[i]) for i in range(len(rows))}
