@@ -3,18 +3,19 @@
 Vectors are put on a sphere: divided by the largest norm and given one more
 component that makes the norm one. Then the largest inner product is the least
 Euclidean distance, which is what Gaussian (2-stable) projections preserve. A
-table cuts each of a few projections into slots; a bucket is a tuple of slots.
+table cuts each of a few projections into four slots; a bucket is a tuple of
+slots, and there are as many projections as leave about `rows` vectors to a
+bucket. Slots end at quantiles of a bounded sample, so that buckets hold about as many
+vectors each, and the order of success is nearly that of success per vector looked at.
 
 For a neighbour of similarity rho, a projection given the query's own, t, is
 normal around rho*t with variance 1 - rho*rho. That gives every bucket, however
-perturbed, an estimated probability to hold the neighbour. A query visits
-buckets in the order of that probability per vector held, until together they
-reach `success` in each table. rho is fitted on a bounded sample, on the safe
-side: the similarity to the nearest of a few thousand is below that to the
-twentieth of all.
-
-Slots are clipped to 2**SLOT_BITS, so there is a fixed bound on the number of
-buckets, and their sizes are broadcast. Buckets are laid into shards of at most
+perturbed, an estimated probability to hold the neighbour. A query generates
+its buckets in the order of that probability and visits them until they reach
+its share of `success` in each table. rho is a low quantile of the similarity to the
+k-th nearest of all vectors, estimated on the sample.
+
+There are at most 4**MOST_PROJECTIONS buckets in a table, and their sizes are broadcast. Buckets are laid into shards of at most
 shard_rows vectors; a larger bucket spans several. A shard's vectors are held
 while the queries that visit it stream by, and candidates are ranked by their
 exact inner products. Candidates of all tables are merged in the end.
@@ -25,7 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
-from math import erf
+from math import erf, log
 
 import numpy as np
 import pandas as pd
@@ -36,30 +37,47 @@ from pyspark.sql import functions as F
 from .common import Scratch, parallelism
 from .vectors import clean, matrix
 
-SLOT_BITS = 3
+SLOT_BITS, MOST_PROJECTIONS = 2, 9
+SLOTS = 1 << SLOT_BITS
+_erf = np.vectorize(erf, otypes=[float])
 
 
 @dataclass(frozen=True)
 class Index:
-    """fit_rows: vectors in the sample that rho is fitted on; least: vectors that a query visits in each table at least."""
+    """success: of all tables together; rows: vectors that a bucket is meant for; fit_rows: vectors in the sample that slots and rho are fitted on."""
 
-    tables: int = 2
-    projections: int = 6
-    width: float = 1.5
-    success: float = 0.77
+    tables: int = 6
+    success: float = 0.88
+    rows: int = 6
     fit_rows: int = 4_000
-    least: int = 400
     shard_rows: int = 8_192
     seed: int = 11
 
+    def projections(self, n: int) -> int:
+        return int(np.clip(round(log(max(n, 1) / self.rows, SLOTS)), 1, MOST_PROJECTIONS))
+
 
 class Tables:
-    def __init__(self, index: Index, size: int, top: float, rho: float = 0.0):
+    """Projections and slots, fitted on a sample of n vectors, for searches of the k nearest."""
+
+    def __init__(self, index: Index, sample: np.ndarray, n: int, top: float, k: int):
+        self.index, self.top, self.projections = index, top, index.projections(n)
+        size, columns = sample.shape[1] + 1, index.tables * self.projections
         rng = np.random.default_rng(index.seed)
-        self.index, self.top, self.rho = index, top, rho
-        self.a = rng.normal(size=(index.tables, size + 1, index.projections))
-        self.b = rng.uniform(0, index.width, (index.tables, 1, index.projections))
-        self.slots = 1 << SLOT_BITS
+        blocks = [np.linalg.qr(rng.normal(size=(size, size)))[0] * np.sqrt(size) for _ in range(-(-columns // size))]  # orthogonal within a block
+        self.a = np.ascontiguousarray(np.hstack(blocks)[:, :columns].reshape(size, index.tables, self.projections).transpose(1, 0, 2))
+        self.edges = np.quantile(self.lifted(sample) @ self.a, np.arange(1, SLOTS) / SLOTS, axis=1).transpose(1, 2, 0)  # tables, projections, SLOTS - 1
+        self.rho = self._fitted_rho(sample, n, k)
+
+    def _fitted_rho(self, sample: np.ndarray, n: int, k: int) -> float:
+        """A low quantile of the similarity to the k-th nearest of n, which is the nearest of the sample or one further."""
+        if len(sample) < 2:
+            return 0.5
+        probe = sample[:: max(1, len(sample) // 200)]
+        s = probe / np.linalg.norm(probe, axis=1, keepdims=True) @ self.lifted(sample)[:, :-1].T
+        s[s > 1 - 1e-6] = -1.0  # itself and its copies, but for float error
+        place = min(len(sample) - 1, max(1, round(k * len(sample) / n)))
+        return float(np.clip(np.quantile(-np.partition(-s, place - 1, axis=1)[:, place - 1], 0.2), 0.1, 0.95))
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         x = x / self.top
@@ -67,20 +85,39 @@ class Tables:
 
     def buckets(self, x: np.ndarray) -> np.ndarray:
         """Tables by vectors."""
-        at = np.floor((self.lifted(x) @ self.a + self.b) / self.index.width).astype(np.int64) + self.slots // 2
-        at = np.clip(at, 0, self.slots - 1)
-        return (at << SLOT_BITS * np.arange(self.index.projections)).sum(axis=2)
+        slot = ((self.lifted(x) @ self.a)[..., None] >= self.edges[:, None]).sum(axis=3)
+        return (slot << SLOT_BITS * np.arange(self.projections)).sum(axis=2)
 
-    def success(self, x: np.ndarray) -> np.ndarray:
+    def slot_success(self, x: np.ndarray) -> np.ndarray:
         """Log probabilities of a neighbour's slot: tables, queries, projections, slots."""
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         t = (np.hstack([unit, np.zeros((len(x), 1))]) @ self.a)[..., None]
-        edge = (np.arange(1, self.slots) - self.slots // 2) * self.index.width - self.b[..., None]
-        z = (edge - self.rho * t) / np.sqrt(2 * max(1e-6, 1 - self.rho * self.rho))
-        below = 0.5 * (1 + np.vectorize(erf, otypes=[float])(z))
+        below = 0.5 * (1 + _erf((self.edges[:, None] - self.rho * t) / np.sqrt(2 * max(1e-6, 1 - self.rho * self.rho))))
         ends = np.concatenate([np.zeros((*below.shape[:3], 1)), below, np.ones((*below.shape[:3], 1))], axis=3)
         return np.log(np.maximum(np.diff(ends, axis=3), 1e-12))
 
+    def probes(self, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of one table in the order of success, and how many of them each query needs. log_p: queries, projections, slots.
+
+        A bucket among the `most` likeliest has its first slots among the
+        `most` likeliest choices of first slots, so that others can be left
+        out projection by projection.
+        """
+        need, most = 1 - (1 - self.index.success) ** (1 / self.index.tables), 256
+        while True:
+            bucket, total = np.zeros((len(log_p), 1), dtype=np.int64), np.zeros((len(log_p), 1))
+            for i in range(self.projections):
+                total = (total[:, :, None] + log_p[:, i, None, :]).reshape(len(log_p), -1)
+                bucket = (bucket[:, :, None] | np.arange(SLOTS) << SLOT_BITS * i).reshape(len(log_p), -1)
+                if total.shape[1] > most:
+                    best = np.argpartition(-total, most - 1, axis=1)[:, :most]
+                    total, bucket = np.take_along_axis(total, best, axis=1), np.take_along_axis(bucket, best, axis=1)
+            order = np.argsort(-total, axis=1, kind="stable")
+            reached = np.cumsum(np.exp(np.take_along_axis(total, order, axis=1)), axis=1)
+            if most >= SLOTS**self.projections or (reached[:, -1] >= need).all():
+                return np.take_along_axis(bucket, order, axis=1), (reached < need).sum(axis=1) + 1
+            most *= 4
+
 
 def laid_out(table: np.ndarray, bucket: np.ndarray, count: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """The first shard of each bucket and how many it spans; buckets are sorted by table and bucket."""
@@ -107,57 +144,75 @@ class Layout:
     parts: np.ndarray
 
     def place(self, table: int, bucket: np.ndarray) -> np.ndarray:
+        """The number of a bucket among all, -1 if it is empty."""
         low, high = np.searchsorted(self.table, [table, table + 1])
-        return low + np.searchsorted(self.bucket[low:high], bucket)
+        at = np.minimum(np.searchsorted(self.bucket[low:high], bucket), high - low - 1)
+        return np.where(self.bucket[low:high][at] == bucket, low + at, -1)
+
+    def within(self, place: np.ndarray) -> np.ndarray:
+        """The number of a bucket in its shard, where each has a row or more."""
+        return (place - np.searchsorted(self.first, self.first[place])).astype("<u2")
 
 
 ROWS = "shard bigint, query boolean, id bigint, vector binary, buckets binary"
 
 
+def narrow(x: np.ndarray) -> list[bytes]:
+    """Vectors as bytes, in single precision where that is exact."""
+    small = x.astype(np.float32)
+    return [a.tobytes() if same else b.tobytes() for a, b, same in zip(small, x, (small == x).all(axis=1), strict=True)]
+
+
+def widened(vectors: list[bytes], size: int) -> np.ndarray:
+    out, small = np.empty((len(vectors), size)), np.array([len(v) == 4 * size for v in vectors], dtype=bool)
+    out[small] = np.frombuffer(b"".join(v for v, s in zip(vectors, small, strict=True) if s), dtype=np.float32).reshape(-1, size)
+    out[~small] = np.frombuffer(b"".join(v for v, s in zip(vectors, small, strict=True) if not s)).reshape(-1, size)
+    return out
+
+
 def indexed(frames: Iterator[pd.DataFrame], layout) -> Iterator[pd.DataFrame]:
     """Each vector once for each table, in the shard of its bucket."""
     at = layout.value
     for frame in frames:
         if len(frame):
-            for table, bucket in enumerate(at.tables.buckets(matrix(frame["vector"].tolist()))):
+            x = matrix(frame["vector"].tolist())
+            vectors = narrow(x)
+            for table, bucket in enumerate(at.tables.buckets(x)):
                 place = at.place(table, bucket)
                 part = (frame["vec_id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % at.parts[place]
-                yield pd.DataFrame({"shard": at.first[place] + part, "query": False, "id": frame["vec_id"], "vector": frame["vector"], "buckets": [p.tobytes() for p in place.astype("<i4")]})
+                yield pd.DataFrame({"shard": at.first[place] + part, "query": False, "id": frame["vec_id"], "vector": vectors, "buckets": [p.tobytes() for p in at.within(place)]})
 
 
-def probed(frames: Iterator[pd.DataFrame], layout) -> Iterator[pd.DataFrame]:
-    """Each query once for each shard that it visits, with the buckets it visits there."""
+def probed(frames: Iterator[pd.DataFrame], layout, enough: int) -> Iterator[pd.DataFrame]:
+    """Each query once for each shard that it visits, with the buckets it visits there; in each table they hold `enough` vectors if there are so many."""
     at = layout.value
-    index, slots = at.tables.index, at.tables.slots
-    digits = at.bucket[:, None] >> SLOT_BITS * np.arange(index.projections) & slots - 1
     for frame in frames:
-        for i in range(0, len(frame), 256):
-            part = frame.iloc[i : i + 256]
-            chance = at.tables.success(matrix(part["vector"].tolist()))
-            rows = []
-            for table in range(index.tables):
-                low, high = np.searchsorted(at.table, [table, table + 1])
-                count, slot = at.count[low:high], digits[low:high]
-                for k, (vec_id, vector) in enumerate(zip(part["vec_id"], part["vector"], strict=True)):
-                    log_p = chance[table, k][np.arange(index.projections), slot].sum(axis=1)
-                    order = np.argsort(np.log(count) - log_p, kind="stable")
-                    reached, held = np.cumsum(np.exp(log_p[order])), np.cumsum(count[order])
-                    n = max(np.searchsorted(reached, index.success), np.searchsorted(held, index.least)) + 1
-                    chosen = low + np.sort(order[:n])
+        for i in range(0, len(frame), 128):
+            part = frame.iloc[i : i + 128]
+            x = matrix(part["vector"].tolist())
+            vectors, rows = narrow(x), []
+            for table, log_p in enumerate(at.tables.slot_success(x)):
+                buckets, n = at.tables.probes(log_p)
+                for k, vec_id in enumerate(part["vec_id"]):
+                    place = at.place(table, buckets[k])
+                    held = np.cumsum(np.where(place >= 0, at.count[place], 0))
+                    place = place[: max(n[k], np.searchsorted(held, enough) + 1)]
+                    if held[-1] < enough:  # few generated buckets are in use: visit all there are
+                        place = np.arange(*np.searchsorted(at.table, [table, table + 1]))
+                    chosen = np.sort(place[place >= 0])
                     heads = np.flatnonzero(np.diff(at.first[chosen], prepend=-1))
                     for a, b in zip(heads, [*heads[1:], len(chosen)], strict=True):
-                        packed = chosen[a:b].astype("<i4").tobytes()
-                        parts = int(at.parts[chosen[a:b]].max())
-                        rows += [(int(at.first[chosen[a]]) + p, True, vec_id, vector, packed) for p in range(parts)]
+                        packed = at.within(chosen[a:b]).tobytes()
+                        rows += [(int(at.first[chosen[a]]) + p, True, vec_id, vectors[k], packed) for p in range(int(at.parts[chosen[a:b]].max()))]
             yield pd.DataFrame(rows, columns=["shard", "query", "id", "vector", "buckets"])
 
 
 def ranked(ids: np.ndarray, x: np.ndarray, bucket: np.ndarray, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k nearest of a shard's vec_ids for each query, each by its best row among the buckets that the query visits."""
-    q, query_ids = matrix(queries["vector"].tolist()), queries["id"].to_numpy()
+    q, query_ids = widened(queries["vector"].tolist(), x.shape[1]), queries["id"].to_numpy()
     scores = np.full((len(q), len(x)), -np.inf)
-    visits = [np.frombuffer(b, dtype="<i4") for b in queries["buckets"]]
-    who, what = np.repeat(np.arange(len(q)), [len(v) for v in visits]), np.concatenate(visits)
+    visits = [np.frombuffer(b, dtype="<u2") for b in queries["buckets"]]
+    who, what = np.repeat(np.arange(len(q)), [len(v) for v in visits]), np.concatenate(visits).astype(np.int64)
     order = np.argsort(what, kind="stable")
     who, what = who[order], what[order]
     heads = np.flatnonzero(np.diff(what, prepend=-1))
@@ -173,7 +228,8 @@ def ranked(ids: np.ndarray, x: np.ndarray, bucket: np.ndarray, queries: pd.DataF
         best = np.maximum.reduceat(scores[:, by_id], np.flatnonzero(np.diff(which[by_id], prepend=-1)), axis=1)
     last = len(one) - min(k, len(one))
     edge = np.partition(best, last, axis=1)[:, last]
-    row, column = np.nonzero((scores >= edge[:, None] - 1e-9) & (scores > -np.inf))
+    slack = 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()  # more than products summed in two ways can differ by
+    row, column = np.nonzero((scores >= (edge - slack)[:, None]) & (scores > -np.inf))
     exact = (q[row] * x[column]).sum(axis=1)  # summed alike for every pair, so equal vectors tie
     order = np.lexsort((-exact, which[column], row))
     pair = row[order] * len(one) + which[column[order]]
@@ -185,7 +241,7 @@ def ranked(ids: np.ndarray, x: np.ndarray, bucket: np.ndarray, queries: pd.DataF
     return pd.DataFrame({"query_id": query_ids[row[kept]], "vec_id": ids[column[kept]], "score": exact[kept]})
 
 
-def searched(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+def searched(frames: Iterator[pd.DataFrame], k: int, size: int) -> Iterator[pd.DataFrame]:
     """From a stream sorted by shard, vectors before queries."""
     held, shard, ready = [], None, None
     for frame in frames:
@@ -199,21 +255,11 @@ def searched(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
             if len(queries) and held:
                 if ready is None:
                     all_ = pd.concat(held)
-                    bucket = np.frombuffer(b"".join(all_["buckets"]), dtype="<i4")
+                    bucket = np.frombuffer(b"".join(all_["buckets"]), dtype="<u2")
                     order = np.argsort(bucket, kind="stable")
-                    ready, held = (all_["id"].to_numpy()[order], matrix(all_["vector"].tolist())[order], bucket[order]), held[:1]
-                for i in range(0, len(queries), 256):
-                    yield ranked(*ready, queries.iloc[i : i + 256], k)
-
-
-def fitted_rho(sample: np.ndarray, tables: Tables) -> float:
-    """A low quantile of the similarity to the nearest of the sample."""
-    if len(sample) < 2:
-        return 0.5
-    probe = sample[:: max(1, len(sample) // 200)]
-    s = probe / np.linalg.norm(probe, axis=1, keepdims=True) @ tables.lifted(sample)[:, :-1].T
-    s[s > 1 - 1e-6] = -1.0  # itself and its copies, but for float error
-    return float(np.clip(np.quantile(s.max(axis=1), 0.2), 0.1, 0.95))
+                    ready, held = (all_["id"].to_numpy()[order], widened(all_["vector"].tolist(), size)[order], bucket[order]), held[:1]
+                for i in range(0, len(queries), 1024):
+                    yield ranked(*ready, queries.iloc[i : i + 1024], k)
 
 
 def nearest(rows: DataFrame, scratch: Scratch, k: int = 20, every: int = 20, index: Index = Index()) -> DataFrame:
@@ -225,6 +271,9 @@ def nearest(rows: DataFrame, scratch: Scratch, k: int = 20, every: int = 20, ind
     length than most. Rows repeated under one vec_id are one candidate, with
     the best of its scores, and a row is no candidate for its own vec_id. An empty table gives no
     rows; other columns are ignored.
+
+    A query visits buckets that hold at least twice k rows in each table, if there are so many, so fewer
+    than k are found only where most of those rows share their vec_ids with others.
     """
     spark = rows.sparkSession
     # Equal rows score alike, so one of them will do.
@@ -238,8 +287,7 @@ def nearest(rows: DataFrame, scratch: Scratch, k: int = 20, every: int = 20, ind
     norms = vectors.mapInPandas(lambda frames: (pd.DataFrame({"norm": np.linalg.norm(matrix(f["vector"].tolist()), axis=1)}) for f in frames if len(f)), "norm double")
     top = norms.agg(F.max("norm")).first()[0]
     sample = matrix([bytes(r["vector"]) for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(index.fit_rows).collect()])  # at most fit_rows
-    tables = Tables(index, most["bytes"] // 8, top)
-    tables.rho = fitted_rho(sample, tables)
+    tables = Tables(index, sample, vectors.count(), top, k)
 
     def counted(frames):
         for frame in frames:
@@ -248,13 +296,13 @@ def nearest(rows: DataFrame, scratch: Scratch, k: int = 20, every: int = 20, ind
                     found, n = np.unique(bucket, return_counts=True)
                     yield pd.DataFrame({"table": table, "bucket": found, "n": n})
 
-    sizes = vectors.mapInPandas(counted, "table int, bucket bigint, n bigint").groupBy("table", "bucket").agg(F.sum("n").alias("n")).orderBy("table", "bucket").toPandas()  # at most tables * 2**(SLOT_BITS * projections)
+    sizes = vectors.mapInPandas(counted, "table int, bucket bigint, n bigint").groupBy("table", "bucket").agg(F.sum("n").alias("n")).orderBy("table", "bucket").toPandas()  # at most tables * SLOTS**MOST_PROJECTIONS
     table, bucket, count = (sizes[c].to_numpy() for c in ("table", "bucket", "n"))
     layout = spark.sparkContext.broadcast(Layout(tables, table, bucket, count, *laid_out(table, bucket, count, index.shard_rows)))
     all_rows = vectors.mapInPandas(partial(indexed, layout=layout), ROWS)
-    queries = vectors.where(F.pmod("vec_id", F.lit(every)) == 0).repartition(parallelism(spark)).mapInPandas(partial(probed, layout=layout), ROWS)
+    queries = vectors.where(F.pmod("vec_id", F.lit(every)) == 0).repartition(parallelism(spark)).mapInPandas(partial(probed, layout=layout, enough=2 * k), ROWS)
     stream = all_rows.union(queries).repartition("shard").sortWithinPartitions("shard", "query")
-    found = stream.mapInPandas(partial(searched, k=k), "query_id bigint, vec_id bigint, score double")
+    found = stream.mapInPandas(partial(searched, k=k, size=most["bytes"] // 8), "query_id bigint, vec_id bigint, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
