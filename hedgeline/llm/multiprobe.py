@@ -38,6 +38,8 @@ from .common import Scratch, parallelism
 from .vectors import clean, matrix
 
 SLOT_BITS, MOST_PROJECTIONS = 2, 9
+#: Neighbours that a task holds at most before it gives them out.
+FOUND_ROWS = 1_000_000
 SLOTS = 1 << SLOT_BITS
 _erf = np.vectorize(erf, otypes=[float])
 
@@ -48,7 +50,7 @@ class Index:
 
     tables: int = 6
     success: float = 0.88
-    rows: int = 6
+    rows: int = 12
     fit_rows: int = 4_000
     shard_rows: int = 8_192
     seed: int = 11
@@ -103,7 +105,7 @@ class Tables:
         `most` likeliest choices of first slots, so that others can be left
         out projection by projection.
         """
-        need, most = 1 - (1 - self.index.success) ** (1 / self.index.tables), 256
+        need, most = 1 - (1 - self.index.success) ** (1 / self.index.tables), 1024
         while True:
             bucket, total = np.zeros((len(log_p), 1), dtype=np.int64), np.zeros((len(log_p), 1))
             for i in range(self.projections):
@@ -210,7 +212,8 @@ def probed(frames: Iterator[pd.DataFrame], layout, enough: int) -> Iterator[pd.D
 def ranked(ids: np.ndarray, x: np.ndarray, bucket: np.ndarray, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k nearest of a shard's vec_ids for each query, each by its best row among the buckets that the query visits."""
     q, query_ids = widened(queries["vector"].tolist(), x.shape[1]), queries["id"].to_numpy()
-    scores = np.full((len(q), len(x)), -np.inf)
+    rough, small = x.astype(np.float32), q.astype(np.float32)
+    scores = np.full((len(q), len(x)), -np.inf, dtype=np.float32)
     visits = [np.frombuffer(b, dtype="<u2") for b in queries["buckets"]]
     who, what = np.repeat(np.arange(len(q)), [len(v) for v in visits]), np.concatenate(visits).astype(np.int64)
     order = np.argsort(what, kind="stable")
@@ -219,7 +222,7 @@ def ranked(ids: np.ndarray, x: np.ndarray, bucket: np.ndarray, queries: pd.DataF
     starts, stops = np.searchsorted(bucket, what[heads]), np.searchsorted(bucket, what[heads], side="right")
     for a, b, start, stop in zip(heads, [*heads[1:], len(what)], starts, stops, strict=True):
         if stop > start:
-            scores[who[a:b], start:stop] = q[who[a:b]] @ x[start:stop].T
+            scores[who[a:b], start:stop] = small[who[a:b]] @ rough[start:stop].T
     scores[query_ids[:, None] == ids[None, :]] = -np.inf
     one, which = np.unique(ids, return_inverse=True)
     best = scores
@@ -228,7 +231,7 @@ def ranked(ids: np.ndarray, x: np.ndarray, bucket: np.ndarray, queries: pd.DataF
         best = np.maximum.reduceat(scores[:, by_id], np.flatnonzero(np.diff(which[by_id], prepend=-1)), axis=1)
     last = len(one) - min(k, len(one))
     edge = np.partition(best, last, axis=1)[:, last]
-    slack = 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()  # more than products summed in two ways can differ by
+    slack = 2e-7 * (len(x[0]) + 2) * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()  # more than a product in single precision can be off
     row, column = np.nonzero((scores >= (edge - slack)[:, None]) & (scores > -np.inf))
     exact = (q[row] * x[column]).sum(axis=1)  # summed alike for every pair, so equal vectors tie
     order = np.lexsort((-exact, which[column], row))
@@ -241,9 +244,24 @@ def ranked(ids: np.ndarray, x: np.ndarray, bucket: np.ndarray, queries: pd.DataF
     return pd.DataFrame({"query_id": query_ids[row[kept]], "vec_id": ids[column[kept]], "score": exact[kept]})
 
 
-def searched(frames: Iterator[pd.DataFrame], k: int, size: int) -> Iterator[pd.DataFrame]:
-    """From a stream sorted by shard, vectors before queries."""
-    held, shard, ready = [], None, None
+def merged(found: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    """The k nearest of each query among what several shards gave."""
+    rows = pd.concat(found)
+    query, vec_id, score = (rows[c].to_numpy() for c in ("query_id", "vec_id", "score"))
+    order = np.lexsort((-score, vec_id, query))
+    query, vec_id, score = query[order], vec_id[order], score[order]
+    best = np.ones(len(order), dtype=bool)
+    best[1:] = (query[1:] != query[:-1]) | (vec_id[1:] != vec_id[:-1])
+    query, vec_id, score = query[best], vec_id[best], score[best]
+    order = np.lexsort((vec_id, -score, query))
+    query, vec_id, score = query[order], vec_id[order], score[order]
+    kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return pd.DataFrame({"query_id": query[kept], "vec_id": vec_id[kept], "score": score[kept]})
+
+
+def searched(frames: Iterator[pd.DataFrame], k: int, size: int, most: int = FOUND_ROWS) -> Iterator[pd.DataFrame]:
+    """From a stream sorted by shard, vectors before queries; what shards of one task give is merged while it is no more than `most` rows."""
+    held, shard, ready, found, n = [], None, None, [], 0
     for frame in frames:
         for one, rows in frame.groupby("shard", sort=False):
             if one != shard:
@@ -259,7 +277,15 @@ def searched(frames: Iterator[pd.DataFrame], k: int, size: int) -> Iterator[pd.D
                     order = np.argsort(bucket, kind="stable")
                     ready, held = (all_["id"].to_numpy()[order], widened(all_["vector"].tolist(), size)[order], bucket[order]), held[:1]
                 for i in range(0, len(queries), 1024):
-                    yield ranked(*ready, queries.iloc[i : i + 1024], k)
+                    found.append(ranked(*ready, queries.iloc[i : i + 1024], k))
+                    n += len(found[-1])
+                if n > most:
+                    found = [merged(found, k)]
+                    if (n := len(found[0])) > most / 2:
+                        yield found.pop()
+                        n = 0
+    if found:
+        yield merged(found, k)
 
 
 def nearest(rows: DataFrame, scratch: Scratch, k: int = 20, every: int = 20, index: Index = Index()) -> DataFrame:

@@ -110,7 +110,7 @@ def test_recall_and_what_is_visited_of_many_vectors():
     scores[np.arange(len(queries)), np.arange(0, len(x), 250)] = -2
     near = np.argpartition(-scores, 20, axis=1)[:, :20]
     assert np.take_along_axis(visited, near, axis=1).mean() >= 0.9
-    assert visited.mean() < 0.5
+    assert visited.mean() < 0.45
 
 
 def test_probes_come_in_the_order_of_success():
