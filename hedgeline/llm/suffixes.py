@@ -2,8 +2,9 @@
 
 To know whether the 100 bytes from a place have stood earlier, suffixes have to
 be sorted to a depth of 100 bytes only. They are put into buckets by their
-first q bytes; a bucket's identifier is a 64-bit hash of those bytes, so every
-task names the bucket at any later offset of a text without asking others.
+first q bytes, and a bucket is refined by the buckets that its suffixes have at later
+offsets. Across tasks a bucket's identifier is a hash of its bytes, so that
+every task names the bucket at any offset of a text without asking others.
 
 Not every suffix has to be sorted. Of the q-grams in any 100 bytes the one
 with the smallest hash (the leftmost of equals) is picked, and only suffixes
@@ -14,12 +15,17 @@ Refinement of the buckets with more:
 1. By the identifier of the whole context that 100-byte strings around the
    anchor can reach. Of anchors with equal contexts all but the first are
    repeats with every string around them; the first stands for the class.
-2. Classes of one bucket are split by the identifiers of the bytes next to the
-   q-gram, after it for strings that reach further right, before it for those
+2. Classes of one bucket are split by the bucket of the suffix q bytes later,
+   for strings that reach further right, or q bytes before, for those
    that reach further left. Each string belongs to one side and holds those bytes.
-3. What is left together is sorted by the identifiers of the 100-byte strings,
-   offset by offset, reusing the identifiers that prefix sums hold. The first
-   of equals stays, the others are repeats.
+3. What is left together is refined suffix by suffix in one task. Numbers stand for the
+   buckets at depth q. A pass sorts each open bucket by the numbers of the suffixes
+   `depth so far` later, and its refined numbers are what the next pass sorts by: the
+   depth goes from q to 2q, and from there to 100. Suffixes alone in a bucket drop out.
+
+Step 3 compares bytes, so equal numbers are equal strings. The first
+of equals stays, the others are repeats. Where steps meet equal identifiers without
+bytes at hand, in step 1 and for single strings, two independent 64-bit ones have to agree.
 
 A common passage gives buckets as large as the number of documents that hold
 it. So anchors with equal contexts are merged in the task that reads them
@@ -48,8 +54,8 @@ GROUP_ROWS = 20_000
 AT_ONCE, TEXTS = 4_000, 64
 #: Anchors and bytes that a task holds before it merges equal contexts, and that it hashes at once.
 HELD_ANCHORS, HELD_BYTES = 250_000, 1 << 18
-#: Low bits of a key that hold a place, so that the leftmost of equal hashes is the least.
-PLACE_BITS = np.uint64(30)
+#: Low bits of a key that hold a place, so that the leftmost of equal hashes is the least; no text has more bytes.
+PLACE_BITS = np.uint64(31)
 MARK, CLASS, SINGLE = 1, 2, 3
 
 
@@ -76,26 +82,26 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = 0x9E3779B97F4A7C15
+@lru_cache(maxsize=4)
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     steps = np.full((2, n), np.uint64(1))
     steps[0, 1:], steps[1, 1:] = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
     up, down = np.cumprod(steps, axis=1, dtype=np.uint64)
     return up, down
 
 
-_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+#: Base of the powers and value of each byte, for two independent identifiers.
+_KINDS = tuple((base, _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(byte))) for base, byte in ((0x9E3779B97F4A7C15, 0xA0761D6478BD642F), (0xC2B2AE3D27D4EB4F, 0xE7037ED1A0B428DB)))
 
 
 class Identifiers:
     """Names any stretch of a text by a hash of its bytes, from prefix sums."""
 
-    def __init__(self, raw: np.ndarray):
-        size = 1 << max(18, int(len(raw)).bit_length())
-        self.up, down = _powers(size)
+    def __init__(self, raw: np.ndarray, kind: int = 0):
+        size, (base, byte) = 1 << max(18, int(len(raw)).bit_length()), _KINDS[kind]
+        self.up, down = _powers(size, base)
         self.sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[raw] * down[: len(raw)], out=self.sums[1:])
+        np.cumsum(byte[raw] * down[: len(raw)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[stop] - self.sums[start]) * self.up[start])
@@ -132,7 +138,7 @@ def anchors(texts: list[bytes], depth: Depth) -> tuple[np.ndarray, ...]:
     owner = np.repeat(np.arange(len(texts)), lengths)[at]
     first = ends[owner] - lengths[owner]
     start, stop = np.maximum(first, at - depth.reach), np.minimum(ends[owner], at + depth.length)
-    context = _mixed(ids.of(start, stop) ^ ((at - start) * 1_000_003 + (stop - at)).astype(np.uint64))
+    context = _mixed(Identifiers(raw, 1).of(start, stop) ^ ((at - start) * 1_000_003 + (stop - at)).astype(np.uint64))
     return owner, at - first, start - first, stop - first, grams[at], context
 
 
@@ -228,7 +234,7 @@ FOUND = "bucket bigint, doc_id bigint, place int, start int, stop int, kind int"
 
 def sides(frames: Iterator[pd.DataFrame], depth: Depth) -> Iterator[pd.DataFrame]:
     """The context of each class's anchor, once for each side, under the refined bucket. Rows: doc_id, text, places, buckets."""
-    after, before = depth.reach - depth.half, depth.half + 1  # bytes behind or before the q-gram that all strings of a side hold
+    after, before = min(depth.q, depth.reach - depth.half), min(depth.q, depth.half + 1)  # the suffix's q bytes, if all strings of a side hold so many
     for frame in frames:
         for i in range(0, len(frame), TEXTS):
             rows = []
@@ -247,22 +253,65 @@ def sides(frames: Iterator[pd.DataFrame], depth: Depth) -> Iterator[pd.DataFrame
 SIDES = "bucket bigint, doc_id bigint, place int, start int, context binary"
 
 
-def _strings(rows: pd.DataFrame, depth: Depth) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All strings of the given length in the contexts: the row, the place in its text and the identifier."""
+def _grams(raw: np.ndarray, q: int) -> np.ndarray:
+    """The number of the bucket of each q-gram, by its bytes; -1 where it has one suffix only."""
+    n = len(raw) - q + 1
+    if n <= 0:
+        return np.full(len(raw), -1)
+    words = np.ndarray(len(raw), dtype="<u8", buffer=np.concatenate([raw, np.zeros(8, dtype=np.uint8)]), strides=(1,))  # the 8 bytes from each place
+    name = words[:n] & np.uint64((1 << 8 * q) - 1) if q < 8 else Identifiers(raw).grams(q)
+    order = np.argsort(name, kind="stable")
+    new = np.ones(n, dtype=bool)
+    new[1:] = name[order[1:]] != name[order[:-1]]
+    later = np.flatnonzero(~new)
+    if q >= 8 and any((words[order[later] + k] != words[order[later - 1] + k]).any() for k in [*range(0, q - 8, 8), q - 8]):  # one identifier for two strings
+        every = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, q)).view(f"V{q}").ravel()
+        order = np.argsort(every, kind="stable")
+        new[1:] = every[order[1:]] != every[order[:-1]]
+    return _numbers(order, new, len(raw))
+
+
+def _numbers(order: np.ndarray, new: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of n places from sorted ones and where each bucket begins."""
+    bucket = np.cumsum(new) - 1
+    out = np.full(n, -1)
+    out[order] = np.where(np.bincount(bucket, minlength=1)[bucket] > 1, bucket, -1)
+    return out
+
+
+def passes(raw: np.ndarray, ends: np.ndarray, depth: Depth) -> Iterator[tuple[int, np.ndarray]]:
+    """The depth reached and each place's bucket number, after each pass; ends: where the stretch of a place ends. -1: alone, or too near the end."""
+    reached, number = depth.q, _grams(raw, depth.q)
+    number[np.arange(len(raw)) + reached > ends] = -1
+    yield reached, number
+    while reached < depth.length:
+        step = min(reached, depth.length - reached)
+        place = np.flatnonzero(number >= 0)
+        place = place[place + reached + step <= ends[place]]
+        place = place[number[place + step] >= 0]
+        key = number[place] * (len(raw) + 1) + number[place + step]
+        order = np.argsort(key, kind="stable")
+        new = np.ones(len(place), dtype=bool)
+        new[1:] = key[order[1:]] != key[order[:-1]]
+        reached, number = reached + step, _numbers(place[order], new, len(raw))
+        yield reached, number
+
+
+def _joined(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The contexts as one stretch of bytes, and where each begins and ends."""
     contexts = rows["context"].tolist()
-    lengths = np.array([len(c) for c in contexts], dtype=np.int64)
-    counts = np.maximum(0, lengths - depth.length + 1)
-    ids = Identifiers(np.frombuffer(b"".join(contexts), dtype=np.uint8))
-    row = np.repeat(np.arange(len(rows)), counts)
-    offset = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    begin = (np.cumsum(lengths) - lengths)[row] + offset
-    return row, rows["start"].to_numpy().astype(np.int64)[row] + offset, ids.of(begin, begin + depth.length)
+    ends = np.cumsum([len(c) for c in contexts], dtype=np.int64)
+    return np.frombuffer(b"".join(contexts), dtype=np.uint8), np.concatenate([[0], ends[:-1]]), ends
 
 
 def _repeats(rows: pd.DataFrame, depth: Depth) -> pd.DataFrame:
-    """Spans of strings that an earlier row of the same refined bucket has too."""
-    row, start, name = _strings(rows, depth)
-    doc = rows["doc_id"].to_numpy()[row]
+    """Spans of strings in the contexts that an earlier row has too."""
+    raw, begins, ends = _joined(rows)
+    for _, number in passes(raw, np.repeat(ends, ends - begins), depth):
+        pass
+    place = np.flatnonzero(number >= 0)
+    row, name = np.searchsorted(ends, place, side="right"), number[place]
+    doc, start = rows["doc_id"].to_numpy()[row], rows["start"].to_numpy().astype(np.int64)[row] + place - begins[row]
     order = np.lexsort((start, doc, name))
     doc, start, name = doc[order], start[order], name[order]
     new = np.ones(len(doc), dtype=bool)
@@ -279,11 +328,16 @@ def refined(frames: Iterator[pd.DataFrame], depth: Depth) -> Iterator[pd.DataFra
         bucket = rows["bucket"].to_numpy()
         several = pd.Series(bucket).duplicated(keep=False).to_numpy()
         if several.any():
-            yield _repeats(rows[several], depth).assign(kind=MARK, name=0)
+            yield _repeats(rows[several], depth).assign(kind=MARK, name=0, other=0)
 
     def single(rows: pd.DataFrame) -> pd.DataFrame:
-        row, start, name = _strings(rows, depth)
-        return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy()[row], "start": start, "stop": start + depth.length, "kind": SINGLE, "name": name.view(np.int64)})
+        raw, begins, ends = _joined(rows)
+        counts = np.maximum(0, ends - begins - depth.length + 1)
+        row = np.repeat(np.arange(len(rows)), counts)
+        offset = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        begin, start = begins[row] + offset, rows["start"].to_numpy().astype(np.int64)[row] + offset
+        name, other = (Identifiers(raw, kind).of(begin, begin + depth.length).view(np.int64) for kind in (0, 1))
+        return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy()[row], "start": start, "stop": start + depth.length, "kind": SINGLE, "name": name, "other": other})
 
     held, size, large = [], 0, None
     for frame in frames:
@@ -310,7 +364,7 @@ def refined(frames: Iterator[pd.DataFrame], depth: Depth) -> Iterator[pd.DataFra
         yield from done(pd.concat(held))
 
 
-SPANS = "doc_id bigint, start bigint, stop bigint, kind int, name bigint"
+SPANS = "doc_id bigint, start bigint, stop bigint, kind int, name bigint, other bigint"
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, depth: Depth = Depth()) -> DataFrame:
@@ -324,9 +378,9 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, depth: Depth = Depth()) ->
     contexts = texts.join(of_document, "doc_id").mapInPandas(lambda frames: sides(frames, depth), SIDES)
     sorted_ = contexts.repartition("bucket").sortWithinPartitions("bucket")
     spans = scratch.keep(map_rows(sorted_, lambda frames: refined(frames, depth), SPANS, AT_ONCE), "spans")
-    singles = spans.where(F.col("kind") == SINGLE).select("name", "doc_id", "start", "stop")
-    first = singles.groupBy("name").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    later = singles.join(first, "name").where(F.col("first") != F.struct("doc_id", "start"))
+    singles = spans.where(F.col("kind") == SINGLE).select("name", "other", "doc_id", "start", "stop")
+    first = singles.groupBy("name", "other").agg(F.min(F.struct("doc_id", "start")).alias("first"))
+    later = singles.join(first, ["name", "other"]).where(F.col("first") != F.struct("doc_id", "start"))
     marks = [found.where(F.col("kind") == MARK), spans.where(F.col("kind") == MARK), later]
     columns = [F.col("doc_id"), F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop")]
     return marks[0].select(columns).union(marks[1].select(columns)).union(marks[2].select(columns))

@@ -100,6 +100,29 @@ def test_suffixes_on_the_test_table(spark):
     assert suffix_rows(queries.op2_suffix_dedup(spark, SMALL)) == suffix_expected(rows)
 
 
+@pytest.mark.parametrize(("length", "q"), [(100, 32), (100, 12), (40, 7), (24, 8), (16, 16)])
+def test_buckets_after_each_pass_are_those_of_sorting_to_its_depth(docs, monkeypatch, length, q):
+    """Also where identifiers meet by chance: bytes decide."""
+    texts = [(t or "").encode()[:600] for t in docs.values()]
+    raw, ends = np.frombuffer(b"".join(texts), dtype=np.uint8), np.repeat(np.cumsum([len(t) for t in texts]), [len(t) for t in texts])
+    grams = suffixes.Identifiers.grams
+    for chance in (False, True):
+        if chance:
+            monkeypatch.setattr(suffixes.Identifiers, "grams", lambda self, q: grams(self, q) & np.uint64(3))
+        depths = []
+        for depth, number in suffixes.passes(raw, ends, suffixes.Depth(length, q)):
+            depths.append(depth)
+            place = [i for i in range(len(raw)) if i + depth <= ends[i]]
+            groups: dict = {}
+            for i in place:
+                groups.setdefault(raw[i : i + depth].tobytes(), []).append(i)
+            found: dict = {}
+            for i in np.flatnonzero(number >= 0):
+                found.setdefault(number[i], []).append(i)
+            assert sorted(found.values()) == sorted(g for g in groups.values() if len(g) > 1)
+        assert depths[0] == q and depths[-1] == length and all(b <= 2 * a for a, b in zip(depths, depths[1:], strict=False))
+
+
 def test_suffixes_null_and_repeated_ids(spark, docs):
     long = docs[63]
     out = suffixes.dedup_digests(spark.createDataFrame([(None, long), (7, docs[30]), (7, docs[30])], "doc_id bigint, text string"), Scratch(spark, "t"))
