@@ -7,11 +7,15 @@ tanh, and predicts first the class of the masked word and then its place in the
 prediction costs two small softmaxes. Which of the words behind a shared id it
 is has the probability n / (all + 1) by the counts of the whole corpus, and
 1 / (all + 1) is left for words that never occurred; so every word has a
-probability of its own, however many there are. Each task trains on all windows of its
-rows from the same start by Adagrad in numpy, and the networks are averaged by
-the number of windows they saw, in two steps. A document's score is the sum of
+probability of its own, however many there are. A document's score is the sum of
 log p(word | both sides) over its words.
 
+Training is by Adagrad in numpy. It starts from the frequencies of the whole corpus,
+goes over a bounded sample of parts in one task in small steps, as networks that have learnt
+nothing yet can't be averaged well, and then over the windows of all parts in `rounds`
+rounds: in each, every task goes on from the same network with its share, and the networks and their
+Adagrad sums are averaged by the number of windows they saw, in two steps.
+
 Texts are cut into words once, in parts of bounded size that are written with
 the hashes of their different words. The counts of all words stay a Spark
 table; those of a part's words are joined to it by part and word.
@@ -47,11 +51,15 @@ SCORES = "doc_id bigint, n_words bigint, log_p double"
 class Shape:
     """classes * members ids, of which the last `shared` are hashed; id 0 stands beyond the ends of a text."""
 
-    classes: int = 32
-    members: int = 32
-    shared: int = 256
+    classes: int = 64
+    members: int = 64
+    shared: int = 512
     width: int = 16
     batch: int = 8192
+    rounds: int = 4
+    #: Words of the first, single task, and its batch.
+    first_words: int = 2_000_000
+    first_batch: int = 1024
     rate: float = 1.0
     seed: int = 5
     #: Most tasks that train side by side; each sends one network.
@@ -63,7 +71,7 @@ class Shape:
 
 
 class Network:
-    """before/behind: embeddings by offset and id; c: class weights; m: member weights by class. The last input of c and m is a bias."""
+    """e: embeddings by offset and id; c: class weights; m: member weights by class. The last input of c and m is a bias."""
 
     def __init__(self, shape: Shape, flat: np.ndarray | None = None):
         s = shape
@@ -75,6 +83,14 @@ class Network:
         self.flat = flat.copy()
         self.e, self.c, self.m = (part.reshape(x) for part, x in zip(np.split(self.flat, ends[:-1]), self.sizes, strict=True))
 
+    def start(self, counts: np.ndarray) -> None:
+        """Biases that give each id the probability of its count, if nothing else speaks."""
+        p = (counts + 0.5).reshape(self.shape.classes, self.shape.members)
+        of_class, of_member = np.log(p.sum(axis=1)), np.log(p)
+        self.c[-1] = of_class - of_class.mean()
+        self.m[:, -1] = of_member - of_member.mean(axis=1, keepdims=True)
+        self.bound()
+
     def hidden(self, ids: np.ndarray) -> np.ndarray:
         """For a sequence of ids: activations at each place that has all its neighbours."""
         n, reach = len(ids) - 4, 2
@@ -114,9 +130,29 @@ class Network:
 
 
 class Trainer:
-    def __init__(self, network: Network):
-        self.net = network
-        self.seen = [np.full(network.e.shape[:2], 1e-2, np.float32), np.full(network.c.shape, 1e-2, np.float32), np.full(network.m.shape, 1e-2, np.float32)]
+    """state: a network's numbers and then its Adagrad sums, one for each embedding and each output weight."""
+
+    def __init__(self, shape: Shape, state: np.ndarray | None = None):
+        self.net = Network(shape)
+        sizes = [self.net.e.shape[:2], self.net.c.shape, self.net.m.shape]
+        self.sums = np.full(sum(int(np.prod(x)) for x in sizes), 1e-2, np.float32)
+        if state is not None:
+            self.net, self.sums = Network(shape, state[: len(self.net.flat)]), state[len(self.net.flat) :].copy()
+        ends = np.cumsum([int(np.prod(x)) for x in sizes])
+        self.seen = [part.reshape(x) for part, x in zip(np.split(self.sums, ends[:-1]), sizes, strict=True)]
+
+    def state(self) -> np.ndarray:
+        return np.concatenate([self.net.flat, self.sums])
+
+    def train(self, ids: np.ndarray, batch: int, which: int = 0, rounds: int = 1) -> int:
+        """Of the batches of a sequence every one that is `which` modulo rounds; returns how many words it saw."""
+        seen = 0
+        for k in range(which * batch, len(ids) - 4, rounds * batch):
+            some = ids[k : k + batch + 4]
+            if n := int(np.count_nonzero(words := some[2:-2] > 0)):
+                self.step(some, words.astype(np.float32))
+                seen += n
+        return seen
 
     def _dense(self, which: int, at, weights: np.ndarray, gradient: np.ndarray) -> None:
         self.seen[which][at] += gradient * gradient
@@ -246,19 +282,23 @@ class Ids:
         return ids, shared
 
 
-def trained(frames: Iterator[pd.DataFrame], shape: Shape, vocabulary) -> Iterator[pd.DataFrame]:
-    """One network from all windows of a task's parts."""
-    ids_of, trainer, seen = Ids(vocabulary.value, shape), Trainer(Network(shape)), 0
+def first_trained(frames: Iterator[pd.DataFrame], shape: Shape, vocabulary, start) -> Iterator[pd.DataFrame]:
+    """The network of the single task that begins."""
+    ids_of, trainer = Ids(vocabulary.value, shape), Trainer(shape, np.frombuffer(start.value, dtype=np.float32))
+    for frame in frames:
+        for part in map(Part, frame.itertuples()):
+            trainer.train(part.ids(ids_of.of(part.word)[0]), shape.first_batch)
+    yield pd.DataFrame({"network": [trainer.state().tobytes()], "seen": [1]})
+
+
+def trained(frames: Iterator[pd.DataFrame], shape: Shape, vocabulary, start, which: int) -> Iterator[pd.DataFrame]:
+    """What a task makes of the network in one round."""
+    ids_of, trainer, seen = Ids(vocabulary.value, shape), Trainer(shape, np.frombuffer(start.value, dtype=np.float32)), 0
     for frame in frames:
         for part in map(Part, frame.itertuples()):
-            ids = part.ids(ids_of.of(part.word)[0])
-            for k in range(0, len(ids) - 4, shape.batch):
-                some = ids[k : k + shape.batch + 4]
-                if (weight := (some[2:-2] > 0).astype(np.float32)).any():
-                    trainer.step(some, weight)
-            seen += len(part.place)
+            seen += trainer.train(part.ids(ids_of.of(part.word)[0]), shape.batch, which, shape.rounds)
     if seen:
-        yield pd.DataFrame({"network": [trainer.net.flat.tobytes()], "seen": [seen]})
+        yield pd.DataFrame({"network": [trainer.state().tobytes()], "seen": [seen]})
 
 
 def averaged(networks: pd.DataFrame) -> pd.DataFrame:
@@ -269,8 +309,8 @@ def averaged(networks: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"network": [(total / seen).astype(np.float32).tobytes()], "seen": [seen]})
 
 
-def network_of(flat, shape: Shape) -> Network:
-    return Network(shape, np.frombuffer(flat.value, dtype=np.float32) if flat.value else None)
+def network_of(state, shape: Shape) -> Network:
+    return Trainer(shape, np.frombuffer(state.value, dtype=np.float32) if state.value else None).net
 
 
 def by_id(part: Part, network: Network, of_word: np.ndarray) -> np.ndarray:
@@ -325,35 +365,42 @@ def counts_of(parts: DataFrame) -> DataFrame:
     return parts.mapInPandas(counted, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, shape: Shape) -> dict[int, int]:
+def most_frequent(counts: DataFrame, shape: Shape) -> tuple[dict[int, int], np.ndarray]:
+    """Ids of the most frequent words by their hash, and the count of every id."""
     most = counts.orderBy(F.desc("n"), "word").limit(shape.size - shape.shared - 1).collect()  # at most shape.size
-    return {row["word"]: i for i, row in enumerate(most, 1)}
+    own, by_id = {row["word"]: i for i, row in enumerate(most, 1)}, np.zeros(shape.size)
+    by_id[1 : len(most) + 1] = [row["n"] for row in most]
+    names = counts.sparkSession.createDataFrame([(word,) for word in own], "word bigint")
+    rest = counts.join(F.broadcast(names), "word", "left_anti").groupBy(F.pmod("word", F.lit(shape.shared)).alias("at")).agg(F.sum("n").alias("n"))
+    for row in rest.collect():  # at most shape.shared
+        by_id[shape.size - 1 - row["at"]] = row["n"]
+    return own, by_id
 
 
-def vocabulary_of(docs: DataFrame, shape: Shape = Shape()) -> dict[int, int]:
-    """Ids of the most frequent words of all texts, by their hash."""
-    return most_frequent(counts_of(parts_of(docs)), shape)
-
-
-def held_by_id(counts: DataFrame, own: dict[int, int], shape: Shape) -> np.ndarray:
+def held_by_id(by_id: np.ndarray, shape: Shape) -> np.ndarray:
     """The sum of the counts of the words that share an id, by hash modulo shape.shared."""
-    held = np.zeros(shape.shared, dtype=np.int64)
-    sums = counts.groupBy(F.pmod("word", F.lit(shape.shared)).alias("at")).agg(F.sum(F.when(~F.col("word").isin(list(own)), F.col("n")).otherwise(0)).alias("n"))
-    for row in sums.collect():  # at most shape.shared
-        held[row["at"]] = row["n"]
-    return held
-
-
-def train(docs: DataFrame, vocabulary, shape: Shape = Shape()) -> bytes:
-    """The averaged network; empty bytes if there isn't a word."""
-    return train_parts(parts_of(docs), vocabulary, shape)
-
-
-def train_parts(parts: DataFrame, vocabulary, shape: Shape) -> bytes:
-    networks = parts.coalesce(shape.shards).mapInPandas(partial(trained, shape=shape, vocabulary=vocabulary), "network binary, seen bigint")
-    some = networks.groupBy(F.pmod(F.xxhash64("network"), F.lit(64)).alias("part")).applyInPandas(averaged, "network binary, seen bigint")
-    one = some.groupBy(F.lit("all").alias("part")).applyInPandas(averaged, "network binary, seen bigint").collect()  # one network
-    return bytes(one[0]["network"]) if one else b""
+    return by_id[shape.size - shape.shared :][::-1].astype(np.int64)
+
+
+def train(parts: DataFrame, vocabulary, by_id: np.ndarray, shape: Shape = Shape()) -> bytes:
+    """The state of the trained network."""
+    context = parts.sparkSession.sparkContext
+    start = Trainer(shape)
+    start.net.start(by_id)
+    state, schema = start.state().tobytes(), "network binary, seen bigint"
+    sizes = parts.select("part", (F.octet_length("place") / 4).alias("n")).orderBy(F.xxhash64("part")).limit(1000).collect()  # of the first 1000 parts
+    ends = np.cumsum([row["n"] for row in sizes])
+    chosen = [row["part"] for row in sizes[: np.searchsorted(ends, shape.first_words) + 1]]
+    if chosen:
+        some = parts.where(F.col("part").isin(chosen)).repartition(1).sortWithinPartitions("part")  # first_words and one part at most
+        state = bytes(some.mapInPandas(partial(first_trained, shape=shape, vocabulary=vocabulary, start=context.broadcast(state)), schema).first()["network"])
+    for which in range(shape.rounds):
+        f = partial(trained, shape=shape, vocabulary=vocabulary, start=context.broadcast(state), which=which)
+        networks = parts.coalesce(shape.shards).mapInPandas(f, schema)
+        some = networks.groupBy(F.pmod(F.xxhash64("network"), F.lit(64)).alias("group")).applyInPandas(averaged, schema)
+        one = some.groupBy(F.lit("all").alias("group")).applyInPandas(averaged, schema).collect()  # one network
+        state = bytes(one[0]["network"]) if one else state
+    return state
 
 
 def score_documents(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
@@ -367,10 +414,10 @@ def score_documents(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     context, scratch = docs.sparkSession.sparkContext, Scratch(docs.sparkSession, "lm-scoring")
     parts = scratch.keep(parts_of(docs), "parts")
     counts = scratch.keep(counts_of(parts), "counts")
-    own = most_frequent(counts, shape)
+    own, by_id = most_frequent(counts, shape)
     vocabulary = context.broadcast(own)  # at most shape.size ids
-    held = context.broadcast(held_by_id(counts, own, shape))  # of fixed size
-    network = context.broadcast(train_parts(parts, vocabulary, shape))  # of fixed size
+    held = context.broadcast(held_by_id(by_id, shape))  # of fixed size
+    network = context.broadcast(train(parts, vocabulary, by_id, shape))  # of fixed size
     some = parts.mapInPandas(partial(sharing, shape=shape, vocabulary=vocabulary), "part bigint, word bigint")
     known = some.join(counts, "word", "left").select("part", "word", F.coalesce("n", F.lit(0)).alias("n"))
     f = partial(scored_part, shape=shape, vocabulary=vocabulary, flat=network, held=held)

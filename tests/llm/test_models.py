@@ -7,11 +7,13 @@ import random
 import zlib
 from functools import partial
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from hedgeline.llm import chat, pseudo_likelihood, queries, toxicity
-from hedgeline.llm.common import table
+from hedgeline.llm.common import Scratch, table
 
 from ..compare import of_duckdb, of_spark
 
@@ -56,8 +58,10 @@ def test_toxicity_never_learns_from_held_out_rows(spark):
 def test_pseudo_likelihood_tells_order_from_disorder(spark):
     """Trained on the texts as they are, it finds the same words in random order less likely."""
     docs, context, shape = table(spark, LARGER, "documents").select("doc_id", "text"), spark.sparkContext, pseudo_likelihood.Shape()
-    vocabulary = context.broadcast(pseudo_likelihood.vocabulary_of(docs, shape))
-    network = context.broadcast(pseudo_likelihood.train(docs, vocabulary, shape))
+    parts = Scratch(spark, "t").keep(pseudo_likelihood.parts_of(docs), "parts")
+    own, by_id = pseudo_likelihood.most_frequent(pseudo_likelihood.counts_of(parts), shape)
+    vocabulary = context.broadcast(own)
+    network = context.broadcast(pseudo_likelihood.train(parts, vocabulary, by_id, shape))
     mixed = docs.withColumn("text", F.array_join(F.shuffle(F.split("text", r"\s+"), seed=F.lit(3)), " "))
     scored = partial(pseudo_likelihood.scored, shape=shape, vocabulary=vocabulary, flat=network)
     sums = []
@@ -69,6 +73,79 @@ def test_pseudo_likelihood_tells_order_from_disorder(spark):
     assert (own > other).mean() > 0.75
 
 
+def test_log_p_is_a_softmax_over_all_ids():
+    """p of every id at one place, by plain numpy: class by class, then members; they add up to one."""
+    shape = pseudo_likelihood.Shape(classes=3, members=4, shared=2, width=5)
+    rng = np.random.default_rng(6)
+    network = pseudo_likelihood.Network(shape, rng.normal(0, 0.8, len(pseudo_likelihood.Network(shape).flat)).astype(np.float32))
+    ids = rng.integers(0, shape.size, 30)
+    for place in (2, 11, 27):
+        h = np.append(np.tanh(sum(network.e[k, ids[place + offset]] for k, offset in enumerate(pseudo_likelihood.OFFSETS))), 1.0)
+        of_class = np.exp(h @ network.c) / np.exp(h @ network.c).sum()
+        p = np.array([of_class[g] * np.exp(h @ network.m[g]) / np.exp(h @ network.m[g]).sum() for g in range(shape.classes)]).ravel()
+        assert p.sum() == pytest.approx(1)
+        for other in range(shape.size):
+            given = ids.copy()
+            given[place] = other
+            assert network.log_p(given)[place - 2] == pytest.approx(np.log(p[other]), abs=1e-4)
+
+
+class Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def parts_and_counts(texts: list[str], shape):
+    frame = pd.DataFrame({"doc_id": pd.array(range(len(texts)), dtype="Int64"), "text": texts})
+    rows = pd.concat(list(pseudo_likelihood.cut(iter([frame]))))
+    parts = [pseudo_likelihood.Part(r) for r in rows.itertuples()]
+    words = np.concatenate([p.word[p.place] for p in parts])
+    return rows, parts, words
+
+
+@pytest.mark.parametrize("tasks", [8, 64])
+def test_networks_of_many_tasks_beat_counts_of_words_and_of_pairs(tasks):
+    """Mean log p of the ids of documents that none has seen, whether 8 or 64 tasks train side by side."""
+    import pyarrow.parquet as pq
+
+    shape = pseudo_likelihood.Shape()
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.1/documents.parquet")["text"].to_pylist()]
+    learnt, unseen = [t for i, t in enumerate(texts) if i % 4], [t for i, t in enumerate(texts) if i % 4 == 0]
+    _, _, words = parts_and_counts(learnt, shape)
+    word, n = np.unique(words, return_counts=True)
+    frequent = word[np.lexsort((word, -n))][: shape.size - shape.shared - 1]
+    ids_of = pseudo_likelihood.Ids({int(w): i for i, w in enumerate(frequent, 1)}, shape)
+    by_id = np.bincount(ids_of.of(word)[0], weights=n, minlength=shape.size)
+    vocabulary = Held({int(w): i for i, w in enumerate(frequent, 1)})
+
+    start = pseudo_likelihood.Trainer(shape)
+    start.net.start(by_id)
+    dealt = [parts_and_counts(learnt[k::tasks], shape)[0] for k in range(tasks)]
+    first = list(pseudo_likelihood.first_trained(iter(dealt[: max(1, tasks // 2)]), shape, vocabulary, Held(start.state().tobytes())))
+    state = first[0]["network"].iloc[0]
+    for which in range(shape.rounds):
+        networks = [next(pseudo_likelihood.trained(iter([rows]), shape, vocabulary, Held(state), which), None) for rows in dealt]
+        state = pseudo_likelihood.averaged(pd.concat([x for x in networks if x is not None]))["network"].iloc[0]
+    network = pseudo_likelihood.network_of(Held(state), shape)
+
+    streams = lambda parts: [p.ids(ids_of.of(p.word)[0]) for p in parts]
+    own = streams(parts_and_counts(learnt, shape)[1])
+    frequency = (by_id + 0.5) / (by_id + 0.5).sum()
+    pairs, before = np.unique(np.concatenate([x[:-1] * shape.size + x[1:] for x in own]), return_counts=True), np.bincount(np.concatenate([x[:-1] for x in own]), minlength=shape.size)
+    by_network, by_word, by_pair, words = 0.0, 0.0, 0.0, 0
+    for part in parts_and_counts(unseen, shape)[1]:
+        by_network += pseudo_likelihood.by_id(part, network, ids_of.of(part.word)[0]).sum()
+        (x,) = streams([part])
+        a, b = x[:-1][x[1:] > 0], x[1:][x[1:] > 0]
+        at = np.minimum(np.searchsorted(pairs[0], a * shape.size + b), len(pairs[0]) - 1)
+        n = np.where(pairs[0][at] == a * shape.size + b, pairs[1][at], 0)
+        by_word += np.log(frequency[b]).sum()
+        by_pair += np.log((n + 500 * frequency[b]) / (before[a] + 500)).sum()
+        words += len(b)
+    print(f"{tasks} tasks: {by_network / words:.3f}, pairs {by_pair / words:.3f}, words {by_word / words:.3f}")
+    assert by_network > by_pair > by_word
+
+
 def test_pseudo_likelihood_edges(spark):
     rows = [(1, None), (2, ""), (3, "  \n"), (4, "one"), (5, "a b a b a b a b"), (5, "a b a b a b a b"), (None, "a b"), (6, "w " * 60_000)]
     out = pseudo_likelihood.score_documents(spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, log_p int")).collect()
@@ -83,13 +160,6 @@ def test_pseudo_likelihood_edges(spark):
 
 def test_a_score_is_the_sum_over_the_words():
     """Scoring a text alone or among others gives the same."""
-    import numpy as np
-    import pandas as pd
-
-    class Held:
-        def __init__(self, value):
-            self.value = value
-
     shape = pseudo_likelihood.Shape()
     texts = ["alpha beta gamma delta", "", "beta beta", "gamma alpha beta " * 4000]
     together = pd.concat(list(pseudo_likelihood.scored(iter([pd.DataFrame({"doc_id": range(4), "text": texts})]), shape, Held({}), Held(b""))))
@@ -112,8 +182,6 @@ def test_words_that_share_an_id_are_told_apart(spark):
 
 
 def test_words_that_share_an_id_have_a_distribution():
-    import numpy as np
-
     word, n = np.array([-8, -4, 0, 4, 5]), np.array([3, 1, 2, 0, 7])
     held = np.array([6, 7, 0, 0])
     p = np.exp(pseudo_likelihood.within(word, n, held))
