@@ -51,11 +51,11 @@ SCORES = "doc_id bigint, n_words bigint, log_p double"
 class Shape:
     """classes * members ids, of which the last `shared` are hashed; id 0 stands beyond the ends of a text."""
 
-    classes: int = 64
+    classes: int = 48
     members: int = 64
     shared: int = 512
     width: int = 16
-    batch: int = 8192
+    batch: int = 16384
     rounds: int = 4
     #: Words of the first, single task, and its batch.
     first_words: int = 2_000_000
@@ -329,13 +329,13 @@ def scored(frames: Iterator[pd.DataFrame], shape: Shape, vocabulary, flat) -> It
 
 
 def sharing(frames: Iterator[pd.DataFrame], shape: Shape, vocabulary) -> Iterator[pd.DataFrame]:
-    """The words of each part that share an id."""
+    """The words of each part that share an id, with their places among its words."""
     ids_of = Ids(vocabulary.value, shape)
     for frame in frames:
         for row in frame.itertuples():
             word = np.frombuffer(row.word, dtype=np.int64)
-            word = word[ids_of.of(word)[1]]
-            yield pd.DataFrame({"part": np.full(len(word), row.part), "word": word})
+            place = np.flatnonzero(ids_of.of(word)[1])
+            yield pd.DataFrame({"part": np.full(len(place), row.part), "place": place.astype(np.int32), "word": word[place]})
 
 
 def within(word: np.ndarray, n: np.ndarray, held: np.ndarray) -> np.ndarray:
@@ -344,14 +344,13 @@ def within(word: np.ndarray, n: np.ndarray, held: np.ndarray) -> np.ndarray:
 
 
 def scored_part(parts: pd.DataFrame, counts: pd.DataFrame, shape: Shape, vocabulary, flat, held) -> pd.DataFrame:
-    """Scores of one part from the network and from the counts of its words that share an id."""
+    """Scores of one part from the network and from the counts of its words that share an id; words without a count stand once in all texts."""
     ids_of, network, out = Ids(vocabulary.value, shape), network_of(flat, shape), []
-    counts = counts.sort_values("word")
-    word, n = counts["word"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
     for part in map(Part, parts.itertuples()):
-        of_word, shared = ids_of.of(part.word)
+        (of_word, shared), n = ids_of.of(part.word), np.ones(len(part.word))
+        n[counts["place"].to_numpy()] = counts["n"].to_numpy()
         inside = np.zeros(len(part.word))
-        inside[shared] = within(part.word[shared], n[np.searchsorted(word, part.word[shared])], held.value)
+        inside[shared] = within(part.word[shared], n[shared], held.value)
         out.append(part.scores(by_id(part, network, of_word) + inside[part.place]))
     return pd.concat(out)
 
@@ -418,8 +417,8 @@ def score_documents(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     vocabulary = context.broadcast(own)  # at most shape.size ids
     held = context.broadcast(held_by_id(by_id, shape))  # of fixed size
     network = context.broadcast(train(parts, vocabulary, by_id, shape))  # of fixed size
-    some = parts.mapInPandas(partial(sharing, shape=shape, vocabulary=vocabulary), "part bigint, word bigint")
-    known = some.join(counts, "word", "left").select("part", "word", F.coalesce("n", F.lit(0)).alias("n"))
+    some = parts.mapInPandas(partial(sharing, shape=shape, vocabulary=vocabulary), "part bigint, place int, word bigint")
+    known = some.join(counts.where("n > 1"), "word").select("part", "place", "n")
     f = partial(scored_part, shape=shape, vocabulary=vocabulary, flat=network, held=held)
     out = parts.groupBy("part").cogroup(known.groupBy("part")).applyInPandas(f, SCORES)
     return out.withColumn("mean_log_p", F.when(F.col("n_words") > 0, F.col("log_p") / F.col("n_words")))
