@@ -418,7 +418,7 @@ def score_documents(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     held = context.broadcast(held_by_id(by_id, shape))  # of fixed size
     network = context.broadcast(train(parts, vocabulary, by_id, shape))  # of fixed size
     some = parts.mapInPandas(partial(sharing, shape=shape, vocabulary=vocabulary), "part bigint, place int, word bigint")
-    known = some.join(counts.where("n > 1"), "word").select("part", "place", "n")
+    known = scratch.keep(some.join(counts.where("n > 1"), "word").select("part", "place", "n"), "known")
     f = partial(scored_part, shape=shape, vocabulary=vocabulary, flat=network, held=held)
     out = parts.groupBy("part").cogroup(known.groupBy("part")).applyInPandas(f, SCORES)
     return out.withColumn("mean_log_p", F.when(F.col("n_words") > 0, F.col("log_p") / F.col("n_words")))
