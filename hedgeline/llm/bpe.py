@@ -5,7 +5,7 @@ into chunks that overlap; the chunks are dealt out and pre-tokenised in
 parallel, each from its own start. Two neighbours resynchronise at the first
 boundary in their overlap that both have: from there on the pattern, which
 never looks back, gives the same pre-tokens to both. The text between such
-boundaries is then encoded piece by piece, and the ids are joined in order.
+boundaries is then dealt out again and encoded piece by piece, and the ids are joined in order.
 Where an overlap holds no common boundary (one word longer than the overlap),
 the left chunk runs on through the next one until a boundary is met, so the
 result is that of the whole text in every case.
@@ -94,13 +94,25 @@ def encode_whole(frames: Iterator[pd.DataFrame], path: str, pattern: str) -> Ite
             yield _encoded(part["doc_id"], [coder.encode_ordinary(text) for text in part["text"]], coder)
 
 
-def encode_chunks(chunks: pd.DataFrame, path: str, pattern: str) -> pd.DataFrame:
-    """All chunks of one document."""
+def cut_at_common(chunks: pd.DataFrame, pattern: str) -> pd.DataFrame:
+    """The stitched pieces of one document from all its chunks."""
     chunks = chunks.sort_values("start", kind="stable")
+    pieces = stitched(chunks["start"].tolist(), chunks["text"].tolist(), [np.frombuffer(x, "<u4").astype(np.int64) for x in chunks["cuts"]], pattern)
+    return pd.DataFrame({"row": chunks["row"].iloc[0], "doc_id": chunks["doc_id"].iloc[0], "n": range(len(pieces)), "text": pieces}).astype({"doc_id": "Int64"})
+
+
+def encode_pieces(frames: Iterator[pd.DataFrame], path: str, pattern: str) -> Iterator[pd.DataFrame]:
     coder = encoding(path, pattern)
-    segments = stitched(chunks["start"].tolist(), chunks["text"].tolist(), [np.frombuffer(x, "<u4").astype(np.int64) for x in chunks["cuts"]], pattern)
-    ids = [i for segment in segments for i in coder.encode_ordinary(segment)]
-    return _encoded(chunks["doc_id"].iloc[:1], [ids], coder)
+    for frame in frames:
+        for i in range(0, len(frame), 64):
+            part = frame.iloc[i : i + 64]
+            yield _encoded(part["doc_id"], [coder.encode_ordinary(text) for text in part["text"]], coder).assign(row=part["row"].to_numpy(), n=part["n"].to_numpy())
+
+
+def joined(pieces: pd.DataFrame) -> pd.DataFrame:
+    """The ids and bytes of one document from those of its pieces."""
+    pieces = pieces.sort_values("n", kind="stable")
+    return pd.DataFrame({"doc_id": pieces["doc_id"].iloc[:1].astype("Int64"), "ids": [b"".join(pieces["ids"])], "decoded": [b"".join(pieces["decoded"])]})
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, then=None, schema: str = SCHEMA, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
@@ -118,7 +130,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, then=None,
     long = rows.where(F.length("text") > chunk_chars).withColumn("row", F.monotonically_increasing_id())
     chunks = long.mapInPandas(partial(chunked, chunk=chunk_chars, overlap=overlap_chars), "row bigint, doc_id bigint, start bigint, text string").repartition("row", "start")
     cut = chunks.mapInPandas(partial(pretokenised, pattern=pattern), "row bigint, doc_id bigint, start bigint, text string, cuts binary")
-    return short.union(cut.groupBy("row").applyInPandas(lambda frame: then(encode_chunks(frame, ranks_path, pattern)), schema))
+    pieces = cut.groupBy("row").applyInPandas(lambda frame: cut_at_common(frame, pattern), "row bigint, doc_id bigint, n int, text string").repartition("row", "n")
+    ids = pieces.mapInPandas(partial(encode_pieces, path=ranks_path, pattern=pattern), SCHEMA + ", row bigint, n int")
+    return short.union(ids.groupBy("row").applyInPandas(lambda frame: then(joined(frame)), schema))
 
 
 def digests(frame: pd.DataFrame) -> pd.DataFrame:
