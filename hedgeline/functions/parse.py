@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,3 +35,9 @@ def object_in(text: Column) -> Column:
     """From the first brace to the last one; null if there is no such stretch."""
     found = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     return blank_to_null(found)
+
+
+def leading_whole(value) -> int | None:
+    """The whole number that a request parameter begins with: 50 of `50abc` and of `50.9`; None if there is none."""
+    found = re.match(r"\s*([+-]?\d+)", str(value))
+    return int(found[1]) if found else None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Stop words, date patterns and event classes that results must agree with.
@@ -48,6 +48,11 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.concat(kept, *dates, _hits(text, r"\d+"), _hits(text, "[A-Z][a-z]+")))
 
 
+def document_frequency(rows: DataFrame, column: str) -> DataFrame:
+    """token and df, the number of rows whose text in the column has it."""
+    return rows.select(F.explode(tokens(F.col(column))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 0 if either is empty."""
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))

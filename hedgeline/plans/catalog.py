@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import display, quality, text
 from ..operators import batching, consensus, listing, match, normalize, similarity, stats, store, trace
 from ..sources.fixtures import AS_OF, Tables, oracle
+from ..sources.landing import shared_folder, snapshot
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,13 +98,13 @@ def q05_dedupe_first(t):
 # State and history
 
 SWEEPS = """WITH state AS (SELECT ticker, price, event_id FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, event_id DESC) AS n FROM ticks
-  WHERE ts < TIMESTAMP '2024-01-20 00:00:00' AND event_id % 10 <> 7 AND ticker <> 'T-3') x WHERE n = 1),
+  WHERE ts < TIMESTAMP '2024-01-20 00:00:00' AND ticker <> 'T-3') x WHERE n = 1),
 incoming AS (SELECT ticker, price, event_id FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts, event_id) AS n FROM ticks
-  WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' AND event_id % 10 <> 7 AND ticker <> 'T-5') x WHERE n = 1)"""
+  WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' AND ticker <> 'T-5') x WHERE n = 1)"""
 
 
 def _sweeps(t: Tables) -> tuple[DataFrame, DataFrame]:
-    ticks, cut = t.ticks().where("event_id % 10 <> 7"), F.expr("TIMESTAMP '2024-01-20 00:00:00'")
+    ticks, cut = t.ticks(), F.expr("TIMESTAMP '2024-01-20 00:00:00'")
     last = ticks.where((F.col("ts") < cut) & (F.col("ticker") != "T-3")).withColumns({"turn": -F.unix_micros("ts"), "then": -F.col("event_id")})
     return tuple(normalize.first_seen(rows, "ticker", *order).select("ticker", "price", "event_id") for rows, order in ((last, ("turn", "then")), (ticks.where((F.col("ts") >= cut) & (F.col("ticker") != "T-5")), ("ts", "event_id"))))
 
@@ -136,6 +138,27 @@ def q09_prune_stale(t):
     return store.stale(state, now(), t.pairs().select(F.col("a_id").alias("id"))).select("id", "ticker")
 
 
+LATER = "TIMESTAMP '2024-02-01 00:00:00'"
+
+
+@query(f"""WITH one AS (SELECT ticker, price FROM markets WHERE venue = 'a' AND {REASON} = 'kept'),
+ two AS (SELECT ticker, coalesce(yes_bid, price) AS price FROM markets WHERE venue = 'a' AND {REASON.replace(AS_OF, LATER)} = 'kept')
+ SELECT coalesce(two.ticker, one.ticker) AS ticker, CASE WHEN two.ticker IS NULL THEN one.price ELSE two.price END AS price, two.ticker IS NOT NULL AS touched,
+ CASE WHEN one.ticker IS NULL THEN 0 ELSE 1 END + CASE WHEN two.ticker IS NOT NULL AND (one.ticker IS NULL OR one.price <> two.price) THEN 1 ELSE 0 END AS n_history
+ FROM one FULL OUTER JOIN two ON one.ticker = two.ticker WHERE two.ticker IS NOT NULL OR one.ticker IN (SELECT a_ticker FROM pairs)""")
+def q51_sweep_state(t):
+    """Two sweeps, of which the later one no longer holds what has expired; what a pair refers to stays."""
+    from ..streaming import sweeps
+
+    root, later = f"{shared_folder(t.spark)}/state-{uuid.uuid4().hex[:12]}", F.expr(LATER)
+    folder = sweeps.venue_folder(root, "a")
+    sweeps.apply_sweep(t.spark, root, "a", t.venue("a"), now(), True, t.spark.createDataFrame([], "id bigint"))
+    referenced = snapshot(t.spark, folder).join(t.pairs().select(F.col("a_ticker").alias("ticker")).distinct(), "ticker", "left_semi")
+    sweeps.apply_sweep(t.spark, root, "a", t.venue("a").withColumn("price", F.coalesce("yes_bid", "price")), later, True, referenced.select("id"))
+    changes = sweeps.history_of(t.spark, root, "a").groupBy("ticker").agg(F.count("*").cast("int").alias("n_history"))
+    return snapshot(t.spark, folder).select("ticker", "price", (F.col("updated_at") == later).alias("touched")).join(changes, "ticker")
+
+
 # Lists
 
 
@@ -321,7 +344,7 @@ def q31_generated_columns(t):
 
 # Text
 
-ASCII = "SELECT doc_id, text FROM documents WHERE lang = 'en' AND octet_length(encode(text)) = length(text)"
+DOCUMENTS = "SELECT doc_id, text FROM documents"
 NORMAL = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\w\s-]', ' ', 'g'), '\s+', ' ', 'g'))"
 STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 WORDS = f"list_filter(regexp_split_to_array({NORMAL}, '\\s+'), lambda w: length(w) > 2)"
@@ -329,51 +352,57 @@ DATES = ", ".join("list_transform(regexp_extract_all({0}, '" + ("(?i)" if p.star
 TOKENS = f"list_distinct(flatten([list_filter({WORDS}, lambda w: w NOT IN ({STOP})), {DATES}, regexp_extract_all({{0}}, '\\d+'), list_transform(regexp_extract_all({{0}}, '[A-Z][a-z]+'), lambda w: lower(w))]))"
 
 
-def _ascii(t: Tables) -> DataFrame:
-    return t.table("documents").where("lang = 'en' AND octet_length(text) = length(text)").select("doc_id", "text")
+def _documents(t: Tables) -> DataFrame:
+    return t.table("documents").select("doc_id", "text")
 
 
-@query(f"SELECT doc_id, md5({on(NORMAL, 'text')}) AS digest FROM ({ASCII}) d")
+@query(f"SELECT doc_id, md5({on(NORMAL, 'text')}) AS digest FROM ({DOCUMENTS}) d")
 def q32_text_normalize(t):
-    return _ascii(t).select("doc_id", F.md5(text.normalize(F.col("text"))).alias("digest"))
+    return _documents(t).select("doc_id", F.md5(text.normalize(F.col("text"))).alias("digest"))
 
 
-@query(f"SELECT doc_id, md5(array_to_string(list_sort({on(TOKENS, 'text')}), ' ')) AS digest, len({on(TOKENS, 'text')}) AS n FROM ({ASCII}) d")
+@query(f"SELECT doc_id, md5(array_to_string(list_sort({on(TOKENS, 'text')}), ' ')) AS digest, len({on(TOKENS, 'text')}) AS n FROM ({DOCUMENTS}) d")
 def q33_tokens(t):
     found = text.tokens(F.col("text"))
-    return _ascii(t).select("doc_id", F.md5(F.array_join(F.array_sort(found), " ")).alias("digest"), F.size(found).alias("n"))
+    return _documents(t).select("doc_id", F.md5(F.array_join(F.array_sort(found), " ")).alias("digest"), F.size(found).alias("n"))
 
 
-@query(f"SELECT token, count(*) AS df FROM (SELECT unnest({on(TOKENS, 'text')}) AS token FROM ({ASCII}) d) x GROUP BY token")
+@query(f"SELECT token, count(*) AS df FROM (SELECT unnest({on(TOKENS, 'text')}) AS token FROM ({DOCUMENTS}) d) x GROUP BY token")
 def q34_document_frequency(t):
-    return _ascii(t).select(F.explode(text.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    return text.document_frequency(_documents(t), "text")
+
+
+TITLE = "concat(title, ' ', coalesce(event_title, ''), ' Q1 2024', CASE WHEN id % 3 = 0 THEN ' Fed March' ELSE '' END)"
+
+
+def _texts(t: Tables) -> DataFrame:
+    """The text of each market, with its tokens."""
+    return t.markets().select("id", F.expr(TITLE).alias("text")).withColumn("tokens", text.tokens(F.col("text")))
 
 
 def _titles(t: Tables) -> DataFrame:
-    side = lambda v: t.venue(v).where("id <= 400").select(F.col("id").alias(f"{v}_id"), F.col("event_title").alias("event_title"), F.concat_ws(" ", "title", F.lit("Q1 2024"), F.when(F.col("id") % 3 == 0, F.lit("Fed March"))).alias(f"{v}_text"))
-    return side("a").join(side("b"), "event_title")
+    """Candidate pairs with the texts of both and the tokens, made once a market."""
+    side = lambda v: _texts(t).select(F.col("id").alias(f"{v}_id"), F.col("text").alias(f"{v}_text"), F.col("tokens").alias(f"{v}_tokens"))
+    return t.pairs().select("a_id", "b_id").join(side("a"), "a_id").join(side("b"), "b_id")
 
 
-TITLES = """WITH side AS (SELECT id, venue, event_title, concat(title, ' Q1 2024', CASE WHEN id % 3 = 0 THEN ' Fed March' ELSE '' END) AS text FROM markets WHERE id <= 400),
-titles AS (SELECT a.id AS a_id, b.id AS b_id, a.text AS a_text, b.text AS b_text FROM side a JOIN side b ON a.venue = 'a' AND b.venue = 'b' AND a.event_title = b.event_title)"""
+TITLES = f"""WITH side AS (SELECT id, {TITLE} AS text FROM markets),
+titles AS (SELECT a_id, b_id, a.text AS a_text, b.text AS b_text FROM pairs JOIN side a ON a.id = a_id JOIN side b ON b.id = b_id)"""
 TA, TB = on(TOKENS, "a_text"), on(TOKENS, "b_text")
 JACCARD = f"CAST(len(list_intersect({TA}, {TB})) AS DOUBLE) / len(list_distinct(list_concat({TA}, {TB})))"
 
 
 @query(f"{TITLES} SELECT a_id, b_id, round({JACCARD}, 6) AS score FROM titles")
 def q35_jaccard(t):
-    return _titles(t).select("a_id", "b_id", F.round(text.jaccard(text.tokens(F.col("a_text")), text.tokens(F.col("b_text"))), 6).alias("score"))
+    return _titles(t).select("a_id", "b_id", F.round(text.jaccard(F.col("a_tokens"), F.col("b_tokens")), 6).alias("score"))
 
 
 @query(f"""{TITLES}, df AS (SELECT token, count(*) AS n FROM (SELECT unnest({on(TOKENS, "text")}) AS token FROM side) x GROUP BY token),
  both_sides AS (SELECT a_id, b_id, unnest(list_distinct(list_concat({TA}, {TB}))) AS token, list_intersect({TA}, {TB}) AS common FROM titles)
  SELECT a_id, b_id, round(sum(CASE WHEN list_contains(common, b.token) THEN ln(1 + 1.0 / n) ELSE 0 END) / sum(ln(1 + 1.0 / n)), 6) AS score FROM both_sides b JOIN df ON df.token = b.token GROUP BY a_id, b_id""")
 def q36_weighted_jaccard(t):
-    pairs = _titles(t)
-    texts = t.markets().where("id <= 400").select(F.concat_ws(" ", "title", F.lit("Q1 2024"), F.when(F.col("id") % 3 == 0, F.lit("Fed March"))).alias("text"))
-    df = texts.select(F.explode(text.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    a = pairs.select("a_id", "b_id", F.explode(text.tokens(F.col("a_text"))).alias("token"), F.lit(1).alias("side"))
-    b = pairs.select("a_id", "b_id", F.explode(text.tokens(F.col("b_text"))).alias("token"), F.lit(2).alias("side"))
+    pairs, df = _titles(t), text.document_frequency(_texts(t), "text")
+    a, b = (pairs.select("a_id", "b_id", F.explode(f"{side}_tokens").alias("token"), F.lit(side).alias("side")) for side in "ab")
     # Joined token by token: the frequencies of a large corpus are no map to carry along.
     met = a.union(b).groupBy("a_id", "b_id", "token").agg(F.count_distinct("side").alias("sides")).join(df, "token", "left")
     weight = F.log1p(1 / F.coalesce("df", F.lit(1)))
@@ -400,9 +429,9 @@ def q39_compare(t):
     return _titles(t).select("a_id", "b_id", F.round(text.compare(F.col("a_text"), F.col("b_text"))["overall"], 6).alias("overall"))
 
 
-@query(f"SELECT doc_id, phrase, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: concat(ws[i], ' ', ws[i + 1]))) AS phrase FROM (SELECT doc_id, {on(WORDS, 'text')} AS ws FROM ({ASCII}) d) y) x GROUP BY doc_id, phrase")
+@query(f"SELECT doc_id, phrase, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: concat(ws[i], ' ', ws[i + 1]))) AS phrase FROM (SELECT doc_id, {on(WORDS, 'text')} AS ws FROM ({DOCUMENTS}) d) y) x GROUP BY doc_id, phrase")
 def q40_key_phrases(t):
-    return _ascii(t).select("doc_id", F.explode(text.phrases(F.col("text"))).alias("phrase")).groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
+    return _documents(t).select("doc_id", F.explode(text.phrases(F.col("text"))).alias("phrase")).groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT id, CASE WHEN venue = 'a' THEN concat(title, CASE WHEN lower(label) <> 'yes' THEN concat(' (', label, ')') ELSE '' END) ELSE concat_ws(' - ', event_title, title, label) END AS match_text FROM markets""")
@@ -421,18 +450,18 @@ def q42_rules_excerpt(t):
 
 
 def _trace(t: Tables) -> DataFrame:
-    e, steps = t.table("events").where("event_id % 3 < 2"), F.array(*map(F.lit, trace.FUNNEL))
+    e, steps = t.table("events"), F.array(*map(F.lit, trace.FUNNEL))
     step, kind = F.element_at(steps, (F.col("event_id") % 7 + 1).cast("int")), F.col("event_id") % 2 == 0
     return e.select(F.col("event_id").alias("t"), F.when(kind, "stage").otherwise("agent").alias("type"), F.map_from_arrays(F.array(step), F.array(F.floor("value").cast("bigint"))).alias("stats"), F.concat(F.lit("agent-"), (F.col("user_id") % 3).cast("string")).alias("agent"), F.when(F.col("event_id") % 5 == 0, "failed").otherwise("done").alias("status"), F.round("value", 3).alias("ms"), (F.col("event_id") % 4).alias("proposed"))
 
 
-@query("SELECT CAST(event_id % 7 + 1 AS INT) AS place, ['loaded', 'candidates', 'reused', 'judged', 'matched', 'priced', 'profitable'][event_id % 7 + 1] AS step, CAST(floor(value) AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY event_id % 7 ORDER BY event_id DESC) AS last FROM events WHERE event_id % 3 < 2 AND event_id % 2 = 0) x WHERE last = 1")
+@query("SELECT CAST(event_id % 7 + 1 AS INT) AS place, ['loaded', 'candidates', 'reused', 'judged', 'matched', 'priced', 'profitable'][event_id % 7 + 1] AS step, CAST(floor(value) AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY event_id % 7 ORDER BY event_id DESC) AS last FROM events WHERE event_id % 2 = 0) x WHERE last = 1")
 def q43_trace_funnel(t):
     return trace.funnel(_trace(t))
 
 
 @query("""SELECT concat('agent-', CAST(user_id % 3 AS VARCHAR(5))) AS agent, count(*) AS calls, count(*) FILTER (WHERE event_id % 5 = 0) AS failures, coalesce(sum(event_id % 4) FILTER (WHERE event_id % 5 <> 0), 0) AS proposed,
- round(avg(round(value, 3)) FILTER (WHERE event_id % 5 <> 0), 4) AS mean_ms FROM events WHERE event_id % 3 < 2 AND event_id % 2 = 1 GROUP BY 1""")
+ round(avg(round(value, 3)) FILTER (WHERE event_id % 5 <> 0), 4) AS mean_ms FROM events WHERE event_id % 2 = 1 GROUP BY 1""")
 def q44_agent_totals(t):
     return trace.agent_totals(_trace(t)).withColumn("mean_ms", F.round("mean_ms", 4))
 

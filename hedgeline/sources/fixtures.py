@@ -42,7 +42,7 @@ SELECT CAST(vec_id % 6 AS INT) AS a_idx, label AS b_idx,
        CAST((vec_id * 7) % 11 % 3 AS INT) AS agent_ord,
        CASE WHEN (vec_id * 13) % 9 = 0 THEN 'high' ELSE 'exact' END AS similarity,
        CAST(60 + (vec_id * 13) % 20 * 2 AS DOUBLE) / 100 AS confidence, vec_id AS seq
-FROM {embeddings} WHERE vec_id % 2 = 0 OR label < 4"""
+FROM {embeddings}"""
 
 
 class Tables:

@@ -14,9 +14,11 @@ from ..schemas import CATALOGUE_A, CATALOGUE_B, STATE, conform
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share; a temporary folder only where it is unset."""
+    """spark.checkpoint.dir, which all executors share. Where it is unset, a local session gets a temporary folder; a cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="hedgeline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

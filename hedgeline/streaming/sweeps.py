@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..config import DEFAULTS
-from ..operators import store
-from ..sources.landing import shared_folder, snapshot, write_snapshot
+from ..functions import quality
+from ..operators import normalize, store
+from ..schemas import HISTORY, MARKET, conform
+from ..sources.landing import latest_version, shared_folder, snapshot, write_snapshot
 
 
 def changed(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -53,32 +57,93 @@ def stream_price_changes(spark: SparkSession, ticks: DataFrame, files: int = 4)
     return spark.read.schema(columns).parquet(f"{base}/history")
 
 
-def apply_sweep(spark: SparkSession, root: str, incoming: DataFrame, sweep_id: int, complete: bool, referenced: DataFrame | None = None) -> dict[str, int]:
-    """One sweep: append price changes, upsert, prune if the sweep is complete, then flip to the new snapshot.
+def venue_folder(root: str, venue: str) -> str:
+    """Each venue has a state, a history and ids of its own, so its sweeps touch no other's rows."""
+    return f"{root}/venue={venue}"
 
-    The history is a folder for each sweep, so a sweep that is run again after a failure replaces its own.
+
+def apply_sweep(spark: SparkSession, root: str, venue: str, incoming: DataFrame, now: Column, complete: bool, referenced: DataFrame) -> dict[str, int]:
+    """One sweep of a venue: keep good rows, append price changes, upsert, prune if the sweep is complete, then flip to the new snapshot.
+
+    incoming: market rows with the quality signals, the first of a ticker counts. referenced: id of rows that saved matches hold,
+    which are never pruned. The rows are written once and read from there, so that history and state agree. Versions follow
+    the pointer, so a restart goes on from what is there; a sweep that is run again changes no price and so adds no history.
+    Returns how many rows were kept, pruned and, as rejected_REASON, left out.
     """
-    state, now = snapshot(spark, root), F.timestamp_seconds(F.lit(sweep_id))
-    first = incoming.dropDuplicates(["ticker"])
-    rows = first.count()
-    history = store.changed_prices(first, state, "ticker", "venue", "price", "volume", "timestamp").withColumn("recorded_at", now)
-    history.write.mode("overwrite").parquet(f"{root}/history/sweep={sweep_id}")
-    merged = store.upsert(state, first, now)
-    gone = store.stale(merged, now, referenced if referenced is not None else state.select("id").limit(0), complete, DEFAULTS.prune_stale, rows)
-    pruned = gone.count()
-    write_snapshot(store.without(merged, gone), root, sweep_id)
-    return {"rows": rows, "pruned": pruned}
+    where = venue_folder(root, venue)
+    version, state = (latest_version(spark, where) or 0) + 1, snapshot(spark, where)
+    rows = incoming.where(F.col("venue") == venue).withColumn("_reason", quality.reject_reason(now)).withColumn("_turn", F.monotonically_increasing_id())
+    rows.write.mode("overwrite").parquet(f"{where}/swept/v={version}")
+    rows = spark.read.schema(rows.schema).parquet(f"{where}/swept/v={version}")
+    first = normalize.first_seen(rows.where("_reason IS NULL"), "ticker", "_turn").drop("_reason", "_turn")
+    history = store.changed_prices(conform(first, MARKET), state, "ticker", "venue", "price", "volume", "timestamp").withColumn("recorded_at", now)
+    history.write.mode("overwrite").parquet(f"{where}/history/v={version}")
+    counts = {f"rejected_{r['_reason']}" if r["_reason"] else "kept": r["count"] for r in rows.groupBy("_reason").count().collect()}  # a row for each reason
+    merged = store.upsert(state, conform(first, MARKET), now)
+    gone = store.stale(merged, now, referenced, complete, DEFAULTS.prune_stale, counts.get("kept", 0))
+    write_snapshot(store.without(merged, gone), where, version)
+    before = state.join(first.select("ticker"), "ticker", "left_anti").count()
+    left = snapshot(spark, where).where(F.col("updated_at") < now).count()
+    return {"kept": 0, **counts, "pruned": before - left}
+
+
+def history_of(spark: SparkSession, root: str, venue: str) -> DataFrame:
+    """The whole price history of a venue."""
+    return spark.read.schema(HISTORY).parquet(f"{venue_folder(root, venue)}/history/v=*")
+
+
+@dataclass
+class Status:
+    """What a venue's sweeps did last; an error keeps the last good numbers."""
+
+    sweeps: int = 0
+    counts: dict[str, int] = field(default_factory=dict)
+    error: str | None = None
 
+    def done(self, counts: dict[str, int]) -> None:
+        self.sweeps, self.counts, self.error = self.sweeps + 1, counts, None
 
-def sweep_stream(source: DataFrame, root: str, normalise: Callable[[DataFrame], DataFrame], checkpoint: str, complete: Callable[[int], bool] = lambda _: True, seconds: int | None = None) -> StreamingQuery:
-    """One query for a venue. Sweeps never overlap, and a stopped one is not saved: the snapshot flips at its end.
+    def failed(self, error: Exception) -> None:
+        self.error = f"{type(error).__name__}: {error}"
 
+
+def sweep_stream(source: DataFrame, root: str, venue: str, normalise: Callable[[DataFrame, Column], DataFrame], checkpoint: str, referenced: Callable[[SparkSession], DataFrame], complete: Callable[[int], bool] = lambda _: True, clock: Callable[[], datetime] = lambda: datetime.now(UTC), status: Status | None = None, seconds: int | None = None) -> StreamingQuery:
+    """One query for a venue; its batches follow each other, so sweeps never overlap, and a stopped one is not saved: the snapshot flips at its end.
+
+    normalise: raw rows and the time as market rows. referenced: the ids that saved matches hold now.
     seconds: the interval of a live run; None takes what has landed and ends.
     """
+    status = status or Status()
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            apply_sweep(batch.sparkSession, root, normalise(batch), batch_id + 1, complete(batch_id))
+        if batch.isEmpty():
+            return
+        now = F.lit(clock())
+        try:
+            status.done(apply_sweep(batch.sparkSession, root, venue, normalise(batch, now), now, complete(batch_id), referenced(batch.sparkSession)))
+        except Exception as error:
+            status.failed(error)
+            raise
 
     writer = source.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()
+
+
+class Ingestion:
+    """Sweeps of several venues, each of which can be turned on and off. starts: by venue, what starts its query with a status to fill."""
+
+    def __init__(self, starts: dict[str, Callable[[Status], StreamingQuery]]):
+        self.starts, self.queries, self.states = starts, {}, {venue: Status() for venue in starts}
+
+    def turn(self, venue: str, on: bool) -> None:
+        query = self.queries.pop(venue, None)
+        if query is not None and query.isActive:
+            if on:
+                self.queries[venue] = query
+                return
+            query.stop()
+        if on:
+            self.queries[venue] = self.starts[venue](self.states[venue])
+
+    def status(self) -> dict[str, dict]:
+        return {venue: {"running": venue in self.queries and self.queries[venue].isActive, "sweeps": s.sweeps, "counts": s.counts, "error": s.error} for venue, s in self.states.items()}
