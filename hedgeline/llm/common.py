@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from ..sources.landing import shared_folder
+
 #: Rows in an Arrow batch that holds whole texts. Texts reach 100 kB and more, so that the default of 10,000 rows could be over a GB.
 TEXT_BATCH_ROWS = 512
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -58,19 +60,25 @@ def map_rows(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
 
 
 class Scratch:
-    """Intermediate tables in the folder that all executors share.
+    """Intermediate tables in the folder that all executors share (spark.checkpoint.dir).
 
     A written table cuts the lineage: after the loss of an executor only the
-    tasks that read it run again. The folder is spark.checkpoint.dir; only
-    where the session has none (tests, a laptop) a temporary one is made.
+    tasks that read it run again. What is still there when the session's JVM
+    ends is deleted then; `released` does so as soon as a result is written.
     """
 
+    opened: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not root:
-            root = tempfile.mkdtemp(prefix="hedgeline-")
-            spark.conf.set("spark.checkpoint.dir", root)
-        self.spark, self.base = spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.base = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        where, system = self._at("")
+        system.deleteOnExit(where)
+        Scratch.opened.append(self)
+
+    def _at(self, name: str):
+        """A table's path and its file system."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}".rstrip("/"))
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def keep(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         """Write df once and return the written table."""
@@ -85,9 +93,20 @@ class Scratch:
 
     def drop(self, name: str = "") -> None:
         """Delete one table, or all of them, once what reads them has been written elsewhere."""
-        jvm, path = self.spark.sparkContext._jvm, f"{self.base}/{name}".rstrip("/")
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        where, system = self._at(name)
+        system.delete(where, True)
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Deletes the scratch tables that were opened inside, once what was made from them is written or collected."""
+    before = len(Scratch.opened)
+    try:
+        yield
+    finally:
+        for scratch in Scratch.opened[before:]:
+            scratch.drop()
+        del Scratch.opened[before:]
 
 
 def text_of(docs: DataFrame, *more: str) -> DataFrame:
