@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hedgeline.llm import line_runs, packing, simhash, suffixes
 from hedgeline.llm import toxicity as toxic
-from hedgeline.llm.common import Scratch, small_batches, table
+from hedgeline.llm.common import Scratch, released, small_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -74,7 +74,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from documents to packed pieces."""
     scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES[:-1]):
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        with released():  # what the stage itself wrote on the way
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
         if k:
             scratch.drop(STAGES[k - 1][0])
     return STAGES[-1][1](spark, docs, sf_dir)
