@@ -67,9 +67,13 @@ def weighted_jaccard(a: Column, b: Column, frequency: Column) -> Column:
 
 def phrases(text: Column, n: int = 2) -> Column:
     """Runs of n words of the normalised text, stop words among them; none if there are fewer."""
-    found = words(text)
-    runs = F.transform(F.sequence(F.lit(1), F.size(found) - (n - 1)), lambda i: F.array_join(F.slice(found, i, F.lit(n)), " "))
-    return F.when(F.size(found) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    def runs(found: Column) -> Column:
+        shifted = [F.slice(found, k + 1, F.size(found) - (n - 1)) for k in range(n)]
+        joined = reduce(lambda x, y: F.zip_with(x, y, lambda u, v: F.concat(u, F.lit(" "), v)), shifted)
+        return F.when(F.size(found) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+    return F.element_at(F.transform(F.array(words(text)), runs), 1)  # bound once: an expression inside a function of elements is made anew for each
 
 
 def edit_similarity(a: Column, b: Column) -> Column:

@@ -429,7 +429,9 @@ def q39_compare(t):
     return _titles(t).select("a_id", "b_id", F.round(text.compare(F.col("a_text"), F.col("b_text"))["overall"], 6).alias("overall"))
 
 
-@query(f"SELECT doc_id, phrase, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: concat(ws[i], ' ', ws[i + 1]))) AS phrase FROM (SELECT doc_id, {on(WORDS, 'text')} AS ws FROM ({DOCUMENTS}) d) y) x GROUP BY doc_id, phrase")
+@query(f"""WITH listed AS (SELECT doc_id, {on(WORDS, 'text')} AS ws FROM ({DOCUMENTS}) d), placed AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM listed),
+ pairs_of_words AS (SELECT doc_id, word, lead(word) OVER (PARTITION BY doc_id ORDER BY place) AS next_word FROM placed)
+ SELECT doc_id, concat(word, ' ', next_word) AS phrase, count(*) AS n FROM pairs_of_words WHERE next_word IS NOT NULL GROUP BY 1, 2""")
 def q40_key_phrases(t):
     return _documents(t).select("doc_id", F.explode(text.phrases(F.col("text"))).alias("phrase")).groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
 
