@@ -73,6 +73,7 @@ class Scratch:
         self.spark, self.base = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         where, system = self._at("")
         system.deleteOnExit(where)
+        self.tables: dict[str, str] = {}
         Scratch.opened.append(self)
 
     def _at(self, name: str):
@@ -91,8 +92,23 @@ class Scratch:
             self.spark.conf.set(FREE_SHUFFLES, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
+    def keep_bucketed(self, df: DataFrame, name: str, *keys: str) -> DataFrame:
+        """Write df once, hashed by the keys into as many buckets as shuffles have partitions and sorted in each, so that joins by the keys need no shuffle."""
+        buckets, self.tables[name] = parallelism(self.spark), f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+        before = self.spark.conf.get(FREE_SHUFFLES)
+        self.spark.conf.set(FREE_SHUFFLES, "true")
+        try:
+            writer = df.repartition(buckets, *keys).write.mode("overwrite").option("compression", "zstd").option("path", f"{self.base}/{name}")
+            writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(self.tables[name])
+        finally:
+            self.spark.conf.set(FREE_SHUFFLES, before)
+        return self.spark.table(self.tables[name])
+
     def drop(self, name: str = "") -> None:
         """Delete one table, or all of them, once what reads them has been written elsewhere."""
+        for known in [name] if name else list(self.tables):
+            if known in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(known)}")
         where, system = self._at(name)
         system.delete(where, True)
 

@@ -19,7 +19,7 @@ from .common import Scratch, parallelism, text_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = " \t\n\x0b\x0c\r"
-MIN_CHARS, MIN_DOCUMENTS, BATCHES, FAN_IN = 20, 3, 4, 2
+MIN_CHARS, MIN_DOCUMENTS, BATCHES, BATCH_DOCUMENTS, FAN_IN = 20, 3, 4, 1_000_000, 2
 HASH = ("h1", "h2")
 
 
@@ -47,7 +47,7 @@ class Runs:
     def _write(self, rows: DataFrame, level: int) -> None:
         self.written += 1
         name = f"run{self.written}-level{level}"
-        run = self.scratch.keep(rows.repartition(parallelism(rows.sparkSession), *HASH).sortWithinPartitions(*HASH), name)
+        run = self.scratch.keep_bucketed(rows, name, *HASH)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append((name, run))
@@ -61,16 +61,21 @@ class Runs:
         if len(self.levels[level + 1]) >= self.fan_in:
             self.compact(level + 1)
 
+    def unseen(self, own: DataFrame) -> DataFrame:
+        """The rows of own whose hash no run has. Runs and own are bucketed alike, so each is read in its buckets and merged."""
+        return reduce(lambda left, run: left.join(run.select(*HASH).hint("merge"), [*HASH], "left_anti"), self.all(), own)
+
     def add(self, lines: DataFrame) -> None:
         """lines: doc_id, h1, h2 of documents none of whose doc_ids is in an earlier batch or larger than one there."""
-        own = lines.groupBy(*HASH).agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("top"))
-        if known := self.all():
-            seen = reduce(DataFrame.union, [run.select(*HASH) for run in known]).distinct()
-            own = self.scratch.keep(own, f"batch{self.written}")
-            fresh = own.join(seen, [*HASH], "left_anti")
-            rest = own.join(seen, [*HASH], "left_semi").withColumn("top", F.lit(None).cast("bigint"))
-            own = fresh.union(rest)
-        self._write(own, 0)
+        own, batch = lines.groupBy(*HASH).agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("top")), f"batch{self.written}"
+        if self.all():
+            own = self.scratch.keep_bucketed(own, batch, *HASH)
+            fresh = self.unseen(own)
+            known = own.join(fresh.select(*HASH).hint("merge"), [*HASH], "left_anti").withColumn("top", F.lit(None).cast("bigint"))
+            self._write(fresh.union(known), 0)
+            self.scratch.drop(batch)
+        else:
+            self._write(own, 0)
         if len(self.levels[0]) >= self.fan_in:
             self.compact(0)
 
@@ -88,7 +93,8 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, scratch: Scratch, batches: int = BATCHES, fan_in: int = FAN_IN, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """doc_id and drop, an array of the hashes of lines that the document loses; documents that lose nothing are absent."""
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("q")).first()["q"] or []
+    batches = max(batches, -(-docs.count() // BATCH_DOCUMENTS))  # so a batch stays of one size while the runs level out
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], max(1000, 20 * batches)).alias("q")).first()["q"] or []
     place = reduce(lambda so_far, q: so_far + (F.col("doc_id") <= q).cast("int"), sorted(set(cuts)), F.lit(0))  # 0: the largest doc_ids
     lines = scratch.keep(line_hashes(docs, min_chars).withColumn("batch", place), "lines", "batch")
     runs = Runs(scratch, fan_in)

@@ -73,6 +73,21 @@ def test_lines_with_many_batches_and_repeated_or_null_ids(spark, docs):
         assert (r["n_lines"], r["n_dropped"], r["text"]) == (expected[r["doc_id"]] if r["doc_id"] is not None else (len(docs[13].split("\n")), 0, docs[13]))
 
 
+def test_runs_are_merged_without_a_shuffle(spark, frame):
+    runs, lines = line_runs.Runs(Scratch(spark, "t"), fan_in=3), line_runs.line_hashes(frame)
+    halves = [lines.where("doc_id > 30"), lines.where("doc_id <= 30")]
+    for half in halves:
+        runs.add(half)
+    own = runs.scratch.keep_bucketed(lines.groupBy(*line_runs.HASH).count(), "own", *line_runs.HASH)
+    for merged in (runs.unseen(own), runs.merged()):
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and "Exchange" not in plan
+    assert "SortMergeJoin" in runs.unseen(own)._jdf.queryExecution().executedPlan().toString()
+    assert runs.unseen(own).count() == 0 and len(runs.all()) == 2
+    runs.scratch.drop()
+    assert not runs.scratch.tables
+
+
 def test_lines_query_equals_its_sql(spark):
     assert of_spark(queries.op5_line_dedup(spark, SMALL)) == of_duckdb(queries.ORACLES["op5_line_dedup"], SMALL)
 
