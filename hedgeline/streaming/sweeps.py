@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -19,42 +19,59 @@ from ..schemas import HISTORY, MARKET, conform
 from ..sources.landing import latest_version, shared_folder, snapshot, write_snapshot
 
 
-def changed(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Ticks of one ticker whose price isn't the last one; the state is that price."""
-    last = state.get[0] if state.exists else None
-    rows = pd.concat(frames).sort_values("event_id")
-    before = rows["price"].shift()
-    if state.exists:
-        before.iloc[0] = last
-        first = False
-    else:
-        first = True
-    keep = (rows["price"] != before) & ~(rows["price"].isna() & before.isna())
-    if first:
-        keep.iloc[0] = True
-    price = rows["price"].iloc[-1]
-    state.update((None if pd.isna(price) else float(price),))
-    yield rows.loc[keep, ["ticker", "event_id", "price"]]
-
-
-def price_change_stream(ticks: DataFrame) -> DataFrame:
-    """Change-only history of a stream of ticks (ticker, event_id, price) that arrive in order."""
-    columns = "ticker string, event_id bigint, price double"
-    return ticks.groupBy("ticker").applyInPandasWithState(changed, columns, "price double", "append", "NoTimeout")
-
-
-def stream_price_changes(spark: SparkSession, ticks: DataFrame, files: int = 4) -> DataFrame:
-    """Land the ticks as files in their order, stream them file by file, and return the history that comes out."""
+TICK = "ticker string, event_id bigint, price double"
+
+
+def cuts_of(ticks: DataFrame, ranges: int) -> Column:
+    """Which of so many ranges of event_id a tick lies in, from 0; the ranges hold about as many ticks each."""
+    found = ticks.agg(F.percentile_approx("event_id", [i / ranges for i in range(1, ranges)], max(1000, 20 * ranges)).alias("q")).first()["q"] if ranges > 1 else []
+    return reduce(lambda so_far, q: so_far + (F.col("event_id") > q).cast("int"), sorted(set(found or [])), F.lit(0))
+
+
+def ranged_changes(ticks: DataFrame, known: DataFrame, ranges: int) -> tuple[DataFrame, DataFrame]:
+    """The ticks whose price isn't the one before, and each ticker's last price then; known holds the last prices so far.
+
+    A ticker's ticks are compared range by range, and a range hands on only its last price, so
+    that no task holds all ticks of a ticker.
+    """
+    own, across = Window.partitionBy("ticker", "_range").orderBy("event_id"), Window.partitionBy("ticker").orderBy("_range")
+    rows = ticks.withColumn("_range", cuts_of(ticks, ranges))
+    lasts = rows.groupBy("ticker", "_range").agg(F.max_by("price", "event_id").alias("price"))
+    lasts = known.select("ticker", F.lit(-1).alias("_range"), "price").union(lasts.select("ticker", "_range", "price"))
+    handed = lasts.select("ticker", "_range", F.lag("price").over(across).alias("_handed"), (F.row_number().over(across) == 1).alias("_new"))
+    rows = rows.withColumn("_place", F.row_number().over(own)).withColumn("_before", F.lag("price").over(own)).join(handed, ["ticker", "_range"])
+    before = F.when(F.col("_place") == 1, F.col("_handed")).otherwise(F.col("_before"))
+    changes = rows.where((F.col("_place") == 1) & F.col("_new") | ~F.col("price").eqNullSafe(before))
+    return changes.select("ticker", "event_id", "price"), lasts.groupBy("ticker").agg(F.max_by("price", "_range").alias("price"))
+
+
+def price_change_stream(ticks: DataFrame, root: str, ranges: int = 16) -> StreamingQuery:
+    """Append the change-only history of a stream of ticks (ticker, event_id, price) to root/history, a batch as it arrives.
+
+    Batches come in the order of event_id. What a batch writes is named by its number and written over
+    when it runs again, and it goes on from the last prices that the batch before wrote.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = spark.read.schema("ticker string, price double").parquet(f"{root}/last/v={number - 1}") if number else spark.createDataFrame([], "ticker string, price double")
+        changes, lasts = ranged_changes(batch, known, ranges)
+        changes.write.mode("overwrite").parquet(f"{root}/history/v={number}")
+        lasts.write.mode("overwrite").parquet(f"{root}/last/v={number}")
+
+    return ticks.writeStream.foreachBatch(save).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
+
+
+def stream_price_changes(spark: SparkSession, ticks: DataFrame, sweeps: int = 4) -> DataFrame:
+    """Land the ticks sweep by sweep in their order, take in each as it has landed, and return the history that comes out."""
     base = f"{shared_folder(spark)}/sweeps-{uuid.uuid4().hex[:12]}"
-    columns = "ticker string, event_id bigint, price double"
-    ranged = ticks.select("ticker", "event_id", "price").repartitionByRange(files, "event_id").withColumn("part", F.spark_partition_id())
-    ranged.write.partitionBy("part").parquet(f"{base}/sorted")
-    for part in range(files):  # a few sweeps, in the order in which they were made
-        spark.read.parquet(f"{base}/sorted").where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{base}/landing")
-    source = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(f"{base}/landing")
-    run = price_change_stream(source).writeStream.format("parquet").option("path", f"{base}/history").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(columns).parquet(f"{base}/history")
+    ticks = ticks.select("ticker", "event_id", "price")
+    ticks.withColumn("sweep", cuts_of(ticks, sweeps)).write.partitionBy("sweep").parquet(f"{base}/sorted")
+    for sweep in range(sweeps):
+        landed = spark.read.schema(f"{TICK}, sweep int").parquet(f"{base}/sorted").where(F.col("sweep") == sweep)
+        landed.drop("sweep").write.mode("append").parquet(f"{base}/landing")
+        price_change_stream(spark.readStream.schema(TICK).parquet(f"{base}/landing"), base).awaitTermination()
+    return spark.read.schema(TICK).parquet(f"{base}/history/v=*")
 
 
 def venue_folder(root: str, venue: str) -> str:

@@ -89,3 +89,19 @@ def test_venues_are_turned_on_and_off(spark):
     assert len(started) == 1 and ingestion.status()["a"]["running"] and not ingestion.status()["b"]["running"]
     ingestion.turn("a", False)
     assert not ingestion.status()["a"]["running"]
+
+
+def test_price_changes_across_ranges(spark):
+    prices = [1.0, 1.0, None, None, 2.0, 2.0, 1.0, 1.0, 1.0]
+    ticks = spark.createDataFrame([("hot", i, p) for i, p in enumerate(prices)] + [("new", 4, None), ("late", 8, 3.0)], sweeps.TICK)
+    known = spark.createDataFrame([("hot", 1.0), ("gone", 9.0)], "ticker string, price double")
+    for ranges in (1, 3, 9):
+        changes, lasts = sweeps.ranged_changes(ticks, known, ranges)
+        assert {tuple(r) for r in changes.collect()} == {("hot", 2, None), ("hot", 4, 2.0), ("hot", 6, 1.0), ("new", 4, None), ("late", 8, 3.0)}
+        assert {tuple(r) for r in lasts.collect()} == {("hot", 1.0), ("gone", 9.0), ("new", None), ("late", 3.0)}
+    nothing = sweeps.ranged_changes(ticks.limit(0), known, 3)
+    assert nothing[0].count() == 0 and nothing[1].count() == 2
+
+
+def test_a_stream_of_nothing_has_no_changes(spark):
+    assert sweeps.stream_price_changes(spark, spark.createDataFrame([], sweeps.TICK)).count() == 0
