@@ -51,12 +51,12 @@ SCORES = "doc_id bigint, n_words bigint, log_p double"
 class Shape:
     """classes * members ids, of which the last `shared` are hashed; id 0 stands beyond the ends of a text."""
 
-    classes: int = 32
+    classes: int = 48
     members: int = 64
     shared: int = 512
     width: int = 16
     batch: int = 16384
-    rounds: int = 3
+    rounds: int = 4
     #: Words of the first, single task, and its batch.
     first_words: int = 2_000_000
     first_batch: int = 1024
