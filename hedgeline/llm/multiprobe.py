@@ -49,8 +49,8 @@ class Index:
     """success: of all tables together; rows: vectors that a bucket is meant for; fit_rows: vectors in the sample that slots and rho are fitted on."""
 
     tables: int = 6
-    success: float = 0.895
-    rows: int = 10
+    success: float = 0.91
+    rows: int = 12
     fit_rows: int = 4_000
     shard_rows: int = 8_192
     seed: int = 11
