@@ -128,3 +128,14 @@ def released() -> Iterator[None]:
 def text_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text alone: other columns, whatever their names, take no part."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has, whatever its case: the given ones, with as many signs behind them as it takes."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -15,11 +15,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, parallelism, text_of
+from .common import Scratch, parallelism, text_of, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = " \t\n\x0b\x0c\r"
-MIN_CHARS, MIN_DOCUMENTS, BATCHES, BATCH_DOCUMENTS, FAN_IN = 20, 3, 4, 1_000_000, 2
+MIN_CHARS, MIN_DOCUMENTS, BATCHES, MOST_BATCHES, BATCH_DOCUMENTS, FAN_IN = 20, 3, 4, 16, 1_000_000, 2
 HASH = ("h1", "h2")
 
 
@@ -91,9 +91,14 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return keys.select("doc_id", h1.alias("h1"), h2.alias("h2"))
 
 
+def batches_of(documents: int, least: int = BATCHES) -> int:
+    """Batches of one size while they are few; then they grow with the corpus, as every batch reads the runs of all before it."""
+    return max(least, min(MOST_BATCHES, -(-documents // BATCH_DOCUMENTS)))
+
+
 def dropped_lines(docs: DataFrame, scratch: Scratch, batches: int = BATCHES, fan_in: int = FAN_IN, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """doc_id and drop, an array of the hashes of lines that the document loses; documents that lose nothing are absent."""
-    batches = max(batches, -(-docs.count() // BATCH_DOCUMENTS))  # so a batch stays of one size while the runs level out
+    batches = batches_of(docs.count(), batches)
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], max(1000, 20 * batches)).alias("q")).first()["q"] or []
     place = reduce(lambda so_far, q: so_far + (F.col("doc_id") <= q).cast("int"), sorted(set(cuts)), F.lit(0))  # 0: the largest doc_ids
     lines = scratch.keep(line_hashes(docs, min_chars).withColumn("batch", place), "lines", "batch")
@@ -117,17 +122,17 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, batches: int = BATCHES, fan_i
     without a doc_id keep everything and aren't counted. An empty table gives
     no rows. Columns named like those made here (n_lines, n_dropped) are replaced.
     """
-    drop = dropped_lines(docs, scratch, batches, fan_in, min_chars, min_documents).select(F.col("doc_id").alias("_lost_in"), F.col("drop").alias("_lost"))
     rows = docs.drop("n_lines", "n_dropped").withColumn("text", F.coalesce("text", F.lit("")))
-    joined = rows.join(drop, F.col("doc_id") == F.col("_lost_in"), "left")
+    owner, lost, left = unused(rows, "lost_in", "lost", "left")
+    drop = dropped_lines(docs, scratch, batches, fan_in, min_chars, min_documents).select(F.col("doc_id").alias(owner), F.col("drop").alias(lost))
+    joined = rows.join(drop, F.col("doc_id") == F.col(owner), "left")
     lines = F.split("text", "\n")
 
     def stays(line: Column) -> Column:
         key = line_key(line)
         h1, h2 = key_hash(key)
-        return (F.length(key) < min_chars) | ~F.array_contains(F.col("_lost"), F.struct(h1.alias("h1"), h2.alias("h2")))
+        return (F.length(key) < min_chars) | ~F.array_contains(F.col(lost), F.struct(h1.alias("h1"), h2.alias("h2")))
 
-    kept = F.when(F.col("_lost").isNotNull(), F.filter(lines, stays))
-    out = joined.withColumn("n_lines", F.size(lines).cast("bigint")).withColumn("_kept", kept)
-    out = out.withColumn("n_dropped", F.when(F.col("_kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")).cast("bigint"))
-    return out.withColumn("text", F.coalesce(F.array_join("_kept", "\n"), "text")).drop("_lost_in", "_lost", "_kept")
+    out = joined.withColumn("n_lines", F.size(lines).cast("bigint")).withColumn(left, F.when(F.col(lost).isNotNull(), F.filter(lines, stays)))
+    out = out.withColumn("n_dropped", F.when(F.col(left).isNull(), 0).otherwise(F.col("n_lines") - F.size(left)).cast("bigint"))
+    return out.withColumn("text", F.coalesce(F.array_join(left, "\n"), "text")).drop(owner, lost, left)

@@ -46,7 +46,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_rows, text_of
+from .common import Scratch, map_rows, text_of, unused
 
 #: Rows that a group of the last refinement may have before it is grouped by single strings.
 GROUP_ROWS = 20_000
@@ -398,11 +398,12 @@ def kept_parts(raw: bytes, starts, stops) -> tuple[bytes, int, int]:
     return np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
-def with_spans(docs: DataFrame, scratch: Scratch, depth: Depth = Depth()) -> DataFrame:
-    """Every row of docs with arrays _starts and _stops of what to remove, null if nothing."""
-    spans = repeated_spans(docs, scratch, depth).groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list(F.struct("start", "stop")).alias("s"))
-    spans = spans.select("_of", F.col("s.start").alias("_starts"), F.col("s.stop").alias("_stops"))
-    return docs.drop("_starts", "_stops").join(spans, F.col("doc_id") == F.col("_of"), "left").drop("_of")
+def with_spans(docs: DataFrame, scratch: Scratch, depth: Depth = Depth()) -> tuple[DataFrame, str, str]:
+    """Every row of docs with two arrays, where to begin and to stop removing, null if nothing; and the names of these columns, which no other has."""
+    owner, starts, stops = unused(docs, "spans_of", "starts", "stops")
+    spans = repeated_spans(docs, scratch, depth).groupBy(F.col("doc_id").alias(owner)).agg(F.collect_list(F.struct("start", "stop")).alias("s"))
+    spans = spans.select(owner, F.col("s.start").alias(starts), F.col("s.stop").alias(stops))
+    return docs.join(spans, F.col("doc_id") == F.col(owner), "left").drop(owner), starts, stops
 
 
 def dedup_digests(docs: DataFrame, scratch: Scratch, depth: Depth = Depth()) -> DataFrame:
@@ -419,13 +420,14 @@ def dedup_digests(docs: DataFrame, scratch: Scratch, depth: Depth = Depth()) ->
     def digest(frames):
         for frame in frames:
             out = []
-            for doc_id, text, starts, stops in frame[["doc_id", "text", "_starts", "_stops"]].itertuples(index=False):
+            for doc_id, text, starts, stops in frame[["doc_id", "text", "starts", "stops"]].itertuples(index=False):
                 raw = text.encode()
                 kept, removed, spans = kept_parts(raw, starts, stops)
                 out.append((doc_id, len(raw), removed, spans, hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
 
-    return with_spans(text_of(docs), scratch, depth).mapInPandas(digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    rows, *_ = with_spans(text_of(docs), scratch, depth)
+    return rows.mapInPandas(digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, scratch: Scratch, depth: Depth = Depth()) -> DataFrame:
@@ -435,5 +437,5 @@ def without_repeats(docs: DataFrame, scratch: Scratch, depth: Depth = Depth()) -
     def left(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
         return pd.Series([kept_parts(t.encode(), a, b)[0].decode(errors="ignore") for t, a, b in zip(texts, starts, stops, strict=True)])
 
-    rows = with_spans(docs.withColumn("text", F.coalesce("text", F.lit(""))), scratch, depth)
-    return rows.withColumn("text", F.when(F.col("_starts").isNull(), F.col("text")).otherwise(left("text", "_starts", "_stops"))).drop("_starts", "_stops")
+    rows, starts, stops = with_spans(docs.withColumn("text", F.coalesce("text", F.lit(""))), scratch, depth)
+    return rows.withColumn("text", F.when(F.col(starts).isNull(), F.col("text")).otherwise(left("text", starts, stops))).drop(starts, stops)

@@ -57,12 +57,30 @@ def empty(spark):
 
 
 def test_lines(spark, docs, frame, empty):
-    found = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in line_runs.dedup_lines(frame.drop("_lost"), Scratch(spark, "t")).collect()}
+    found = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in line_runs.dedup_lines(frame, Scratch(spark, "t")).collect()}
     assert found == brute.line_dedup(docs)
     assert sum(n for _, n, _ in found.values()) > 10
     assert line_runs.dedup_lines(empty, Scratch(spark, "t")).count() == 0
 
 
+def test_columns_of_any_name_stay(spark, docs):
+    """Columns named like those that operators make on their way are the documents' own."""
+    names = ["lost_in", "LOST", "left", "_lost", "_lost_in", "_kept", "_of", "_starts", "_stops", "starts", "Stops", "spans_of", "s", "start", "drop", "h1", "batch", "top", "n"]
+    frame = spark.createDataFrame([(i, t, *range(len(names))) for i, t in docs.items()], "doc_id bigint, text string, " + ", ".join(f"{c} int" for c in names))
+    plain = frame.select("doc_id", "text")
+    for operator in (line_runs.dedup_lines, suffixes.without_repeats):
+        found = {r["doc_id"]: r for r in operator(frame, Scratch(spark, "t")).collect()}
+        expected = {r["doc_id"]: r["text"] for r in operator(plain, Scratch(spark, "t")).collect()}
+        assert {i: r["text"] for i, r in found.items()} == expected
+        assert all([r[c] for c in names] == list(range(len(names))) for r in found.values())
+
+
+def test_batches_stay_few(spark):
+    """Every batch reads the runs before it, so (batches - 1) / 2 times the corpus is read: bounded, whatever its size."""
+    assert [line_runs.batches_of(n) for n in (0, 10**6, 5 * 10**6, 10**7, 10**9, 10**12)] == [4, 4, 5, 10, 16, 16]
+    assert line_runs.batches_of(10, 9) == 9
+
+
 def test_lines_with_many_batches_and_repeated_or_null_ids(spark, docs):
     rows = [(i, t) for i, t in docs.items() for _ in range(1 + (i == 20))] + [(None, docs[13]), (None, docs[13])]
     out = line_runs.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), Scratch(spark, "t"), batches=9)
