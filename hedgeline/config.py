@@ -23,11 +23,14 @@ class FeeRates:
 
 @dataclass(frozen=True)
 class MatchRules:
-    limit: int = 300
+    limit: int | None = 300
     per_market: int = 3
     min_similarity: float = 0.5
     markets_per_batch: int = 15
     concurrent_batches: int = 3
+    batches_per_wave: int = 60
+    answer_seconds: float = 120.0
+    tries: int = 2
     min_confidence: float = 0.6
     consensus_share: float = 0.6
     rules_chars: int = 400

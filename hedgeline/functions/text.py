@@ -58,11 +58,17 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
-def weighted_jaccard(a: Column, b: Column, frequency: Column) -> Column:
-    """Jaccard with weights ln(1 + 1/df) from a map of document frequencies; an unknown token counts as found once."""
-    weight = lambda t: F.log1p(1 / F.coalesce(F.try_element_at(frequency, t), F.lit(1)))
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, t: s + weight(t))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(total(F.array_intersect(a, b)) / total(F.array_union(a, b)))
+def weighted_jaccard(pairs: DataFrame, frequencies: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
+    """keys and score: Jaccard of the token sets in columns a and b, each token with the weight ln(1 + 1/df); 0 if either is empty.
+
+    frequencies: token, df; a token that isn't there counts as found once. Joined token by token, as the frequencies
+    of a large corpus are no map to carry along.
+    """
+    sides = [pairs.select(*keys, F.explode_outer(c).alias("token"), F.lit(c).alias("_side")) for c in (a, b)]
+    met = sides[0].union(sides[1]).groupBy(*keys, "token").agg(F.count_distinct("_side").alias("_sides")).join(frequencies, "token", "left")
+    weight = F.when(F.col("token").isNotNull(), F.log1p(1 / F.coalesce("df", F.lit(1))))
+    total, empty = F.sum(weight), F.max(F.col("token").isNull())
+    return met.groupBy(*keys).agg(F.when(empty, 0.0).otherwise(F.sum(F.when(F.col("_sides") == 2, weight).otherwise(0.0)) / total).alias("score"))
 
 
 def phrases(text: Column, n: int = 2) -> Column:

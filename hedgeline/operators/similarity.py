@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from functools import partial
 from typing import Protocol
 
 import numpy as np
@@ -14,9 +16,13 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions.parse import blank_to_null
 from ..functions.text import tokens
+from ..sources.landing import shared_folder
 
-#: Bytes of vectors that a task holds of each side.
+#: Rows of a block, of either side, that a task multiplies at a time.
 BLOCK_ROWS = 2_000
+#: Pivots, and the vectors of b that they are chosen from.
+PIVOTS, SAMPLE = 64, 4_096
+PLACED = "id bigint, size int, pivot int, near double, norm double, vector binary"
 
 
 def text_a(title: Column, ticker: Column, label: Column) -> Column:
@@ -63,36 +69,153 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), total).otherwise(0.0)
 
 
+class Pivots:
+    """Points of one length around which vectors are gathered, and how far each group reaches."""
+
+    def __init__(self, points: np.ndarray):
+        self.points = points
+        self.squares = (points * points).sum(axis=1)
+        self.reach, self.longest, self.rows = np.zeros(len(points)), np.zeros(len(points)), np.zeros(len(points), np.int64)
+
+    @classmethod
+    def chosen(cls, sample: np.ndarray, most: int) -> Pivots:
+        """Points far from each other: the next is always the one farthest from those so far."""
+        found, far = [0], ((sample - sample[0]) ** 2).sum(axis=1)
+        while len(found) < min(most, len(sample)) and far.max() > 0:
+            found.append(int(far.argmax()))
+            far = np.minimum(far, ((sample - sample[found[-1]]) ** 2).sum(axis=1))
+        return cls(sample[found])
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row the nearest pivot and its distance."""
+        squares = (x * x).sum(axis=1)[:, None] - 2 * x @ self.points.T + self.squares
+        best = squares.argmin(axis=1)
+        return best, np.sqrt(((x - self.points[best]) ** 2).sum(axis=1))
+
+    def bounds(self, x: np.ndarray) -> np.ndarray:
+        """No product of a row with a vector of a group is larger: x y = x p + x (y - p), and both x (y - p) and x y are bounded by their lengths."""
+        lengths = np.sqrt((x * x).sum(axis=1))[:, None]
+        found = np.minimum(x @ self.points.T + lengths * self.reach, lengths * self.longest)
+        return np.where(self.rows > 0, found + 1e-9 * (1 + np.abs(found)), -np.inf)
+
+
+def matrix(raw, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), dtype=np.float64).reshape(-1, size)
+
+
+def gathered(rows: DataFrame, pivots: dict[int, Pivots]) -> DataFrame:
+    """id, size, pivot (the nearest), near (how near) and vector as bytes; vectors of a length without pivots have the pivot 0."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for size, part in frame.groupby(frame["vector"].map(len)):
+                x = np.array(part["vector"].tolist(), dtype=np.float64)
+                pivot, near = pivots[size].nearest(x) if size in pivots else (np.zeros(len(x), int), np.zeros(len(x)))
+                yield pd.DataFrame({"id": part["id"], "size": size, "pivot": pivot, "near": near, "norm": np.sqrt((x * x).sum(axis=1)), "vector": [v.tobytes() for v in x]})
+
+    usable = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    picked = rows.select(F.col("id").cast("bigint").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where((F.size("vector") > 0) & usable)
+    return picked.mapInPandas(run, PLACED)
+
+
+def best_of(one: pd.DataFrame, two: pd.DataFrame, k: int, min_score: float, digits: int | None) -> pd.DataFrame:
+    """The k best of a block of b for each row of a block of a."""
+    empty = pd.DataFrame({"a_id": [], "b_id": [], "score": []}).astype({"a_id": "int64", "b_id": "int64"})
+    if not len(one) or not len(two):
+        return empty
+    two, size = two.sort_values("id"), int(two["size"].iloc[0])
+    scores = matrix(one["vector"], size) @ matrix(two["vector"], size).T
+    scores = scores.round(digits) if digits is not None else scores
+    order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    found = np.take_along_axis(scores, order, axis=1)
+    i, j = np.nonzero(found >= min_score)
+    return pd.DataFrame({"a_id": one["id"].to_numpy()[i], "b_id": two["id"].to_numpy()[order[i, j]], "score": found[i, j]})
+
+
+class TopK:
+    """For each row of a the k rows of b with the largest inner product, without looking at groups of b that can't hold one.
+
+    b is gathered around pivots, and of each group it is known how far it
+    reaches from its pivot and how long its longest vector is. A row of a first
+    visits a block of the group whose pivot it is nearest to; the k-th score there
+    is a floor, and then it visits only groups whose bound reaches the floor.
+    Groups are cut into blocks by id, and so are the visitors of a block, so a task
+    multiplies at most BLOCK_ROWS by BLOCK_ROWS whatever the size of a group.
+    Pivots come from a bounded sample of b; what depends on it is how much is
+    skipped, not the result. visits: which blocks each row went to.
+    """
+
+    def __init__(self, a: DataFrame, b: DataFrame, k: int, min_score: float, digits: int | None = None, pivots: int = PIVOTS):
+        spark = a.sparkSession
+        self.k, self.min_score, self.digits = k, min_score, digits
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/topk-{uuid.uuid4().hex[:12]}"
+        sample = b.where(F.size("vector") > 0).orderBy(F.xxhash64("id")).limit(SAMPLE).select(F.col("vector").cast("array<double>").alias("v")).where(F.forall("v", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))).collect()  # a bounded sample
+        by_size: dict[int, list] = {}
+        for row in sample:
+            by_size.setdefault(len(row["v"]), []).append(row["v"])
+        self.pivots = {size: Pivots.chosen(np.array(rows), max(1, min(pivots, len(rows) // 64))) for size, rows in by_size.items()}
+        self.b = self._keep(gathered(b, self.pivots), "b")
+        for r in self.b.groupBy("size", "pivot").agg(F.max("near").alias("reach"), F.max("norm").alias("longest"), F.count("*").alias("n")).collect():  # a row for each pivot
+            if r["size"] in self.pivots:
+                of = self.pivots[r["size"]]
+                of.reach[r["pivot"]], of.longest[r["pivot"]], of.rows[r["pivot"]] = r["reach"], r["longest"], r["n"]
+        counts = self.b.groupBy("size", "pivot").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+        self.blocks = self._keep(counts, "blocks")  # a row for each pivot and length
+        self.a = self._keep(gathered(a, self.pivots), "a")
+
+    def _keep(self, rows: DataFrame, name: str) -> DataFrame:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{name}")
+
+    def _met(self, visits: DataFrame, name: str) -> DataFrame:
+        """a_id, b_id, score of the k best of each visit (id, size, pivot, block)."""
+        key = ["size", "pivot", "block"]
+        visits = self._keep(visits, f"visits-{name}")
+        crowds = visits.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+        block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        right = self.b.join(self.blocks, ["size", "pivot"]).withColumn("block", block).join(crowds, key).select("id", "vector", *key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        left = visits.join(crowds, key).withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int")).join(self.a.select("id", "vector"), "id").select("id", "vector", *key, "part")
+        best = partial(best_of, k=self.k, min_score=self.min_score, digits=self.digits)
+        return left.groupBy(*key, "part").cogroup(right.groupBy(*key, "part")).applyInPandas(lambda one, two: best(one, two), "a_id bigint, b_id bigint, score double")
+
+    def found(self) -> DataFrame:
+        """a_id, b_id, score, place: ties go to the smaller b_id."""
+        first_block = F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")
+        near = self.a.join(self.blocks, ["size", "pivot"]).select("id", "size", "pivot", first_block.alias("block"))
+        seeds = self._keep(self._met(near, "first"), "seeds")
+        floors = seeds.groupBy("a_id").agg(F.when(F.count("*") >= self.k, F.min("score")).alias("floor"))
+        rows = self.a.join(near.select("id", "block"), "id", "left").join(floors, F.col("id") == F.col("a_id"), "left")
+        rows = rows.select("id", "size", "pivot", "vector", F.coalesce("block", F.lit(-1)).alias("seen"), "floor")
+        pivots, least, slack = self.pivots, self.min_score, 0.0 if self.digits is None else 10.0**-self.digits
+
+        def reached(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for size, part in frame.groupby("size"):
+                    if size in pivots:
+                        may = pivots[size].bounds(matrix(part["vector"], size)) >= np.fmax(part["floor"].to_numpy(), least)[:, None] - slack
+                    else:
+                        may = np.ones((len(part), 1), dtype=bool)
+                    i, group = np.nonzero(may)
+                    own = group == part["pivot"].to_numpy()[i]
+                    yield pd.DataFrame({"id": part["id"].to_numpy()[i], "size": size, "pivot": group, "seen": np.where(own, part["seen"].to_numpy()[i], -1)})
+
+        again = rows.mapInPandas(reached, "id bigint, size int, pivot int, seen int").join(self.blocks, ["size", "pivot"])
+        again = again.select("id", "size", "pivot", "seen", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).where("block <> seen").drop("seen")
+        every = seeds.unionByName(self._met(again, "then"))
+        place = F.row_number().over(W.partitionBy("a_id").orderBy(F.desc("score"), "b_id"))
+        return every.withColumn("place", place).where(F.col("place") <= self.k)
+
+    def compared(self) -> int:
+        """How many pairs were multiplied: of all visits the rows of their blocks."""
+        blocks = self.b.join(self.blocks, ["size", "pivot"]).groupBy("size", "pivot", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")).agg(F.count("*").alias("n"))
+        visits = [self.spark.read.parquet(f"{self.folder}/visits-{name}") for name in ("first", "then")]
+        return visits[0].unionByName(visits[1]).join(blocks, ["size", "pivot", "block"]).agg(F.sum("n")).first()[0] or 0
+
+
 def top_candidates(a: DataFrame, b: DataFrame, k: int = DEFAULTS.match.per_market, min_score: float = DEFAULTS.match.min_similarity, digits: int | None = None) -> DataFrame:
     """For each row of a (id, vector) the k rows of b with the largest inner product of at least min_score: a_id, b_id, score, place.
 
-    Both sides are dealt out as a grid of blocks, so that each task multiplies
-    one block by another and keeps the k best for each row; a side is repeated
-    once for each block of the other. The reference run has 300 rows a side,
-    one block each. Ties go to the smaller b_id. digits: round scores first.
+    Ties go to the smaller b_id. Vectors of different lengths don't meet; null and empty vectors and those with
+    components that are null or not finite take no part. digits: round scores first.
     """
-    blocks_a, blocks_b = (max(1, -(-side.count() // BLOCK_ROWS)) for side in (a, b))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = a.select(F.col("id").cast("bigint").alias("id"), "vector", block(blocks_a).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(blocks_b - 1))).alias("q"))
-    right = b.select(F.col("id").cast("bigint").alias("id"), "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks_a - 1))).alias("p"), block(blocks_b).alias("q"))
-
-    def best(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(one) and len(two):
-            two = two.sort_values("id")
-            sizes = two["vector"].map(len).to_numpy()
-            for size, rows in one.groupby(one["vector"].map(len)):
-                there = two[sizes == size]
-                if not len(there) or not size:
-                    continue
-                scores = np.array(rows["vector"].tolist(), dtype=np.float64) @ np.array(there["vector"].tolist(), dtype=np.float64).T
-                scores = scores.round(digits) if digits is not None else scores
-                order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                found = np.take_along_axis(scores, order, axis=1)
-                i, j = np.nonzero(found >= min_score)
-                out.append(pd.DataFrame({"a_id": rows["id"].to_numpy()[i], "b_id": there["id"].to_numpy()[order[i, j]], "score": found[i, j]}))
-        return pd.concat(out) if out else pd.DataFrame({"a_id": [], "b_id": [], "score": []}).astype({"a_id": "int64", "b_id": "int64"})
-
-    found = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(best, "a_id bigint, b_id bigint, score double")
-    place = F.row_number().over(W.partitionBy("a_id").orderBy(F.desc("score"), "b_id"))
-    return found.withColumn("place", place).where(F.col("place") <= k)
+    return TopK(a, b, k, min_score, digits).found()

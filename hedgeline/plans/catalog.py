@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import MatchRules
 from ..functions import display, quality, text
-from ..operators import batching, consensus, listing, match, normalize, similarity, stats, store, trace
+from ..operators import batching, consensus, judges, listing, match, normalize, paging, similarity, stats, store, trace, trigrams
+from ..sources.buckets import BucketedTable
 from ..sources.fixtures import AS_OF, Tables, oracle
-from ..sources.landing import shared_folder, snapshot
+from ..sources.landing import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,13 +27,13 @@ def on(template: str, column: str) -> str:
     return template.replace("{0}", column)
 
 
-def query(sql: str | None = None):
-    """Register a function of Tables under its name, with the SQL that it must equal."""
+def query(sql: str | None = None, whole: bool = False):
+    """Register a function of Tables under its name, with the SQL that it must equal; whole: it has the fixtures in it already."""
 
     def register(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
-            ORACLES[f.__name__] = oracle(sql)
+            ORACLES[f.__name__] = sql if whole else oracle(sql)
         return f
 
     return register
@@ -151,12 +153,11 @@ def q51_sweep_state(t):
     from ..streaming import sweeps
 
     root, later = f"{shared_folder(t.spark)}/state-{uuid.uuid4().hex[:12]}", F.expr(LATER)
-    folder = sweeps.venue_folder(root, "a")
     sweeps.apply_sweep(t.spark, root, "a", t.venue("a"), now(), True, t.spark.createDataFrame([], "id bigint"))
-    referenced = snapshot(t.spark, folder).join(t.pairs().select(F.col("a_ticker").alias("ticker")).distinct(), "ticker", "left_semi")
+    referenced = sweeps.state_of(t.spark, root, "a").join(t.pairs().select(F.col("a_ticker").alias("ticker")).distinct(), "ticker", "left_semi")
     sweeps.apply_sweep(t.spark, root, "a", t.venue("a").withColumn("price", F.coalesce("yes_bid", "price")), later, True, referenced.select("id"))
     changes = sweeps.history_of(t.spark, root, "a").groupBy("ticker").agg(F.count("*").cast("int").alias("n_history"))
-    return snapshot(t.spark, folder).select("ticker", "price", (F.col("updated_at") == later).alias("touched")).join(changes, "ticker")
+    return sweeps.state_of(t.spark, root, "a").select("ticker", "price", (F.col("updated_at") == later).alias("touched")).join(changes, "ticker")
 
 
 # Lists
@@ -401,12 +402,8 @@ def q35_jaccard(t):
  both_sides AS (SELECT a_id, b_id, unnest(list_distinct(list_concat({TA}, {TB}))) AS token, list_intersect({TA}, {TB}) AS common FROM titles)
  SELECT a_id, b_id, round(sum(CASE WHEN list_contains(common, b.token) THEN ln(1 + 1.0 / n) ELSE 0 END) / sum(ln(1 + 1.0 / n)), 6) AS score FROM both_sides b JOIN df ON df.token = b.token GROUP BY a_id, b_id""")
 def q36_weighted_jaccard(t):
-    pairs, df = _titles(t), text.document_frequency(_texts(t), "text")
-    a, b = (pairs.select("a_id", "b_id", F.explode(f"{side}_tokens").alias("token"), F.lit(side).alias("side")) for side in "ab")
-    # Joined token by token: the frequencies of a large corpus are no map to carry along.
-    met = a.union(b).groupBy("a_id", "b_id", "token").agg(F.count_distinct("side").alias("sides")).join(df, "token", "left")
-    weight = F.log1p(1 / F.coalesce("df", F.lit(1)))
-    return met.groupBy("a_id", "b_id").agg(F.round(F.sum(F.when(F.col("sides") == 2, weight).otherwise(0.0)) / F.sum(weight), 6).alias("score"))
+    scores = text.weighted_jaccard(_titles(t), text.document_frequency(_texts(t), "text"), "a_tokens", "b_tokens", "a_id", "b_id")
+    return scores.withColumn("score", F.round("score", 6))
 
 
 @query(f"{TITLES} SELECT a_id, b_id, round(1 - CAST(levenshtein(a_text, b_text) AS DOUBLE) / greatest(length(a_text), length(b_text)), 6) AS score FROM titles")
@@ -471,12 +468,64 @@ def q44_agent_totals(t):
 @query(PRICED + """ SELECT (SELECT count(*) FROM pairs) AS candidate_pairs, count(*) FILTER (WHERE (a_id * 7 + b_id) % 5 < 2) AS reused, count(*) FILTER (WHERE (a_id * 7 + b_id) % 5 >= 2) AS judged,
  count(*) FILTER (WHERE (a_id + b_id) % 2 = 0) AS matched, count(*) FILTER (WHERE (a_id + b_id) % 2 = 0 AND hedge IS NOT NULL) AS priced, count(*) FILTER (WHERE (a_id + b_id) % 2 = 0 AND net_edge > 0) AS profitable FROM priced""")
 def q45_run_stats(t):
+    run = match.run_match(*_run_of_pairs(t))
+    return t.spark.createDataFrame([run.stats], ", ".join(f"{c} bigint" for c in run.stats))
+
+
+def _verdicts_of(pairs: DataFrame) -> DataFrame:
+    """What a deterministic judge says of pairs."""
+    return pairs.select("a_ticker", "b_ticker", F.expr("(a_id + b_id) % 2 = 0").alias("is_match"), F.lit("exact").alias("similarity"), "direction", F.lit(0.9).alias("confidence"), F.lit("").alias("reasoning"))
+
+
+def _stored(t: Tables) -> BucketedTable:
+    """A table of the verdicts on two of five pairs."""
+    table = match.verdict_table(t.spark, f"{shared_folder(t.spark)}/verdicts-{uuid.uuid4().hex[:12]}")
+    table.write(_verdicts_of(t.pairs().where("(a_id * 7 + b_id) % 5 < 2")).withColumn("created_at", now()))
+    return table
+
+
+def _judge(t: Tables) -> match.Judge:
+    answers = _verdicts_of(t.pairs())
+    return judges.by_rows(lambda todo: todo.select("a_ticker", "b_ticker").join(answers, ["a_ticker", "b_ticker"]))
+
+
+def _run_of_pairs(t: Tables) -> tuple:
     a = t.venue("a").withColumn("no_ask", normalize.complement(F.col("yes_bid")))
-    verdict = lambda df: df.select("a_ticker", "b_ticker", F.expr("(a_id + b_id) % 2 = 0").alias("is_match"), F.lit("exact").alias("similarity"), "direction", F.lit(0.9).alias("confidence"), F.lit("").alias("reasoning"))
-    answers = verdict(t.pairs())
-    judge = lambda todo: todo.select("a_ticker", "b_ticker").join(answers, ["a_ticker", "b_ticker"])
-    known = verdict(t.pairs().where("(a_id * 7 + b_id) % 5 < 2")).withColumn("created_at", now())
-    return match.run_match(a, t.venue("b"), t.pairs().select("a_ticker", "b_ticker"), known, judge, now()).stats
+    told = trace.Trace(t.spark, f"{shared_folder(t.spark)}/run-{uuid.uuid4().hex[:12]}")
+    pairs, counts = told.keep(t.pairs().select("a_id", "b_id", "a_ticker", "b_ticker", F.col("b_id").alias("place")), "pairs", candidates=F.count("*"))
+    told.stage("embed", "done", **counts)
+    return a, t.venue("b"), pairs, _stored(t), _judge(t), now(), told
+
+
+LOADED = f"""loaded AS (SELECT * FROM markets WHERE {OPEN} AND volume > 0 AND (yes_ask IS NOT NULL OR no_ask IS NOT NULL)),
+ taken AS (SELECT p.*, (p.a_id * 7 + p.b_id) % 5 < 2 AS stored FROM priced p JOIN loaded a ON a.id = p.a_id JOIN loaded b ON b.id = p.b_id)"""
+
+
+def _whole_run(t: Tables) -> match.MatchRun:
+    """A run over all markets that are open and tradable, candidates by equal titles."""
+    a = t.venue("a").withColumn("no_ask", normalize.complement(F.col("yes_bid")))
+
+    def same_title(left: DataFrame, right: DataFrame) -> DataFrame:
+        side = lambda rows, name: rows.select(F.col("id").alias(f"{name}_id"), F.col("ticker").alias(f"{name}_ticker"))
+        return t.pairs().select("a_id", "b_id").join(side(left, "a"), "a_id").join(side(right, "b"), "b_id").withColumn("place", F.col("b_id"))
+
+    return match.find_matches(a, t.venue("b"), _stored(t), same_title, _judge(t), now(), rules=MatchRules(limit=None))
+
+
+@query(PRICED + f""", {LOADED} SELECT a_id, b_id, direction, stored, coalesce(hedge, 0) AS hedge, net_edge FROM taken WHERE (a_id + b_id) % 2 = 0""")
+def q52_match_run(t):
+    run = _whole_run(t)
+    new = run.new_verdicts.select(F.col("a_ticker").alias("_a"), F.col("b_ticker").alias("_b"), F.lit(False).alias("_stored"))
+    rows = run.matches.join(new, (F.col("a.ticker") == F.col("_a")) & (F.col("b.ticker") == F.col("_b")), "left")
+    return rows.select("a_id", "b_id", "direction", F.coalesce("_stored", F.lit(True)).alias("stored"), F.coalesce("arbitrage.hedge", F.lit(0)).alias("hedge"), F.round("arbitrage.net_edge", 6).alias("net_edge"))
+
+
+@query(PRICED + f""", {LOADED}, counts AS (SELECT (SELECT count(*) FROM loaded) AS loaded, count(*) AS candidates, count(*) FILTER (WHERE stored) AS reused, count(*) FILTER (WHERE NOT stored) AS judged,
+  count(*) FILTER (WHERE (a_id + b_id) % 2 = 0) AS matched, count(*) FILTER (WHERE (a_id + b_id) % 2 = 0 AND hedge IS NOT NULL) AS priced, count(*) FILTER (WHERE (a_id + b_id) % 2 = 0 AND net_edge > 0) AS profitable FROM taken)
+ SELECT CAST(place AS INT) AS place, ['loaded', 'candidates', 'reused', 'judged', 'matched', 'priced', 'profitable'][place] AS step, [loaded, candidates, reused, judged, matched, priced, profitable][place] AS n FROM counts CROSS JOIN range(1, 8) r(place)""")
+def q53_run_funnel(t):
+    """The funnel of a run from the events that it told."""
+    return trace.funnel(_whole_run(t).trace.frame())
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -513,3 +562,35 @@ def q49_display(t):
 def q50_consensus_statistics(t):
     s = consensus.statistics(consensus.agreed(t.votes(), F.lit(3)).withColumn("avg_confidence", F.round("avg_confidence", 6)))
     return s.withColumns({c: F.round(c, 6) for c in ("avg_score", "avg_confidence")})
+
+
+@query(ORACLES["q19_activity_24h"], whole=True)
+def q54_activity_stream(t):
+    """The day's hours after the events have come as a stream, in three parts by time."""
+    from ..streaming import activity
+
+    root = f"{shared_folder(t.spark)}/activity-{uuid.uuid4().hex[:12]}"
+    events = t.table("events").select("event_type", "ts")
+    for part, (start, stop) in enumerate((("2000-01-01", "2024-01-10"), ("2024-01-10", "2024-01-14 18:00:00"), ("2024-01-14 18:00:00", "2100-01-01"))):
+        events.where((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") < F.lit(stop).cast("timestamp_ntz"))).write.parquet(f"{root}/landing/part={part}")
+        landed = t.spark.readStream.schema(events.schema).parquet(f"{root}/landing/part=*")
+        activity.activity_stream(landed, root, "event_type", "ts").awaitTermination()
+    return activity.rolling(activity.activity_table(t.spark, root).read(), now()).withColumnRenamed("kind", "event_type")
+
+
+@query(ORACLES["q10_list_filtered_page"], whole=True)
+def q55_trigram_search(t):
+    """The same page, of the rows that the postings of the search give."""
+    table = trigrams.posting_table(t.spark, f"{shared_folder(t.spark)}/grams-{uuid.uuid4().hex[:12]}")
+    table.write(trigrams.postings(t.markets()))
+    q = listing.ListQuery(search="gear", min_volume=1000, min_price=0.1, max_price=0.9, tradable=True, closing_days=30, limit=20, offset=20)
+    return listing.page(trigrams.like(t.markets(), table, q.search), q, now()).select("id", "ticker", "volume", "total_count")
+
+
+@query("SELECT event_id, round(value, 6) AS value, count(*) OVER () AS total_count FROM events ORDER BY value DESC, event_id LIMIT 100 OFFSET (SELECT count(*) // 2 FROM events)")
+def q56_deep_page(t):
+    """A page in the middle of all events by their value, found by counting ranges of it."""
+    events = t.table("events").select("event_id", "value")
+    half = events.count() // 2
+    part = paging.slice_of(events, -F.col("value"), "event_id", 100, half)
+    return part.rows.orderBy(F.desc("value"), "event_id").offset(half - part.before).limit(100).select("event_id", F.round("value", 6).alias("value"), F.lit(part.total).cast("bigint").alias("total_count"))

@@ -1,4 +1,4 @@
-"""Landing zone, snapshots and manifests: where catalogue pages arrive and state is kept."""
+"""Where catalogue pages arrive, and how a sweep walks through them."""
 
 from __future__ import annotations
 
@@ -6,11 +6,9 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..config import DEFAULTS
-from ..schemas import CATALOGUE_A, CATALOGUE_B, STATE, conform
+from ..schemas import CATALOGUE_A, CATALOGUE_B
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,28 +28,6 @@ def landed(spark: SparkSession, path: str, venue: str, stream: bool = False) ->
     return reader.schema(CATALOGUE_A if venue == "a" else CATALOGUE_B).json(path)
 
 
-def snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """The current state: the newest snapshot that the pointer names, or an empty one."""
-    current = latest_version(spark, root)
-    if current is None:
-        return spark.createDataFrame([], STATE)
-    return conform(spark.read.parquet(f"{root}/state/v={current}"), STATE)
-
-
-def latest_version(spark: SparkSession, root: str) -> int | None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(f"{root}/pointer")
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        return None
-    return spark.read.parquet(f"{root}/pointer").agg(F.max("version")).first()[0]
-
-
-def write_snapshot(state: DataFrame, root: str, version: int) -> None:
-    """Write a new snapshot and then name it; the one that is being read is never written over."""
-    conform(state, STATE).write.mode("overwrite").parquet(f"{root}/state/v={version}")
-    state.sparkSession.range(1).select(F.lit(version).cast("bigint").alias("version")).write.mode("append").parquet(f"{root}/pointer")
-
-
 #: A page by its cursor: rows as JSON strings, and the next cursor or None.
 FetchPage = Callable[[str | None], tuple[list[str], str | None]]
 
@@ -82,33 +58,3 @@ def sorted_or_plain(fetch_sorted: FetchPage, fetch_plain: FetchPage) -> FetchPag
         return fetch_plain(cursor)
 
     return fetch
-
-
-class CatalogueSource(DataSource):
-    """spark.read.format("venue_catalogue"): a paged catalogue as (page, complete, row), by a fetcher named in the options as module:function."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "venue_catalogue"
-
-    def schema(self) -> str:
-        return "page int, complete boolean, row string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return CatalogueReader(self.options)
-
-
-class CatalogueReader(DataSourceReader):
-    def __init__(self, options):
-        self.fetcher, self.max_pages = options["fetcher"], int(options.get("max_pages", DEFAULTS.max_pages))
-
-    def partitions(self):
-        return [InputPartition(0)]  # a cursor leads from page to page, so one task follows it
-
-    def read(self, partition):
-        import importlib
-
-        module, _, name = self.fetcher.partition(":")
-        for page, (rows, complete) in enumerate(sweep_pages(getattr(importlib.import_module(module), name), self.max_pages)):
-            for row in rows:
-                yield page, complete, row

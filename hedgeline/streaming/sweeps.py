@@ -8,15 +8,17 @@ from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..config import DEFAULTS
 from ..functions import quality
 from ..operators import normalize, store
-from ..schemas import HISTORY, MARKET, conform
-from ..sources.landing import latest_version, shared_folder, snapshot, write_snapshot
+from ..schemas import HISTORY, MARKET, STATE, conform
+from ..sources.buckets import BucketedTable
+from ..sources.catalogue import NAME, register
+from ..sources.landing import shared_folder
 
 
 TICK = "ticker string, event_id bigint, price double"
@@ -79,34 +81,53 @@ def venue_folder(root: str, venue: str) -> str:
     return f"{root}/venue={venue}"
 
 
+def state_table(spark: SparkSession, root: str, venue: str) -> BucketedTable:
+    """A venue's current state, by ticker."""
+    return BucketedTable(spark, f"{venue_folder(root, venue)}/state", STATE, ("ticker",))
+
+
 def apply_sweep(spark: SparkSession, root: str, venue: str, incoming: DataFrame, now: Column, complete: bool, referenced: DataFrame) -> dict[str, int]:
-    """One sweep of a venue: keep good rows, append price changes, upsert, prune if the sweep is complete, then flip to the new snapshot.
+    """One sweep of a venue: keep good rows, append price changes, add what changed to the state, and prune if the sweep is complete.
 
-    incoming: market rows with the quality signals, the first of a ticker counts. referenced: id of rows that saved matches hold,
-    which are never pruned. The rows are written once and read from there, so that history and state agree. Versions follow
-    the pointer, so a restart goes on from what is there; a sweep that is run again changes no price and so adds no history.
+    incoming: market rows with the quality signals. referenced: id of rows that saved matches hold, which are never pruned.
+    A ticker's first row counts. Venue a's pages move while they are read, so there repeats go before rows are judged, and
+    a ticker whose first row is rejected stays out; venue b has none, and all its rows are judged.
+
+    The rows are written once and read from there, so that history and state agree. The state gets a delta of what the
+    sweep changes; the version that it commits is the one that the history has been written under, so nothing of a sweep
+    that stops before its end is seen, and the next one writes over it. A sweep that is run again changes no price and so adds no history.
     Returns how many rows were kept, pruned and, as rejected_REASON, left out.
     """
-    where = venue_folder(root, venue)
-    version, state = (latest_version(spark, where) or 0) + 1, snapshot(spark, where)
-    rows = incoming.where(F.col("venue") == venue).withColumn("_reason", quality.reject_reason(now)).withColumn("_turn", F.monotonically_increasing_id())
-    rows.write.mode("overwrite").parquet(f"{where}/swept/v={version}")
-    rows = spark.read.schema(rows.schema).parquet(f"{where}/swept/v={version}")
+    where, table = venue_folder(root, venue), state_table(spark, root, venue)
+    at = table.manifest()
+    rows, state = incoming.where(F.col("venue") == venue).withColumn("_turn", F.monotonically_increasing_id()), table.read(at=at)
+    if venue == "a":
+        rows = normalize.first_seen(rows, "ticker", "_turn")
+    rows = rows.withColumn("_reason", quality.reject_reason(now))
+    rows.write.mode("overwrite").parquet(f"{where}/swept/v={at.version + 1}")
+    rows = spark.read.schema(rows.schema).parquet(f"{where}/swept/v={at.version + 1}")
+    counts = {f"rejected_{r['_reason']}" if r["_reason"] else "kept": r["count"] for r in rows.groupBy("_reason").count().collect()}  # a row for each reason
     first = normalize.first_seen(rows.where("_reason IS NULL"), "ticker", "_turn").drop("_reason", "_turn")
     history = store.changed_prices(conform(first, MARKET), state, "ticker", "venue", "price", "volume", "timestamp").withColumn("recorded_at", now)
-    history.write.mode("overwrite").parquet(f"{where}/history/v={version}")
-    counts = {f"rejected_{r['_reason']}" if r["_reason"] else "kept": r["count"] for r in rows.groupBy("_reason").count().collect()}  # a row for each reason
-    merged = store.upsert(state, conform(first, MARKET), now)
-    gone = store.stale(merged, now, referenced, complete, DEFAULTS.prune_stale, counts.get("kept", 0))
-    write_snapshot(store.without(merged, gone), where, version)
-    before = state.join(first.select("ticker"), "ticker", "left_anti").count()
-    left = snapshot(spark, where).where(F.col("updated_at") < now).count()
-    return {"kept": 0, **counts, "pruned": before - left}
+    history.write.mode("overwrite").parquet(f"{where}/history/v={at.version + 1}")
+    tickers, top = first.select("ticker"), state.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    merged = store.upsert(state.join(tickers, "ticker", "left_semi").select(*state.columns), conform(first, MARKET), now, top)
+    gone = store.stale(state.join(tickers, "ticker", "left_anti"), now, referenced, complete, DEFAULTS.prune_stale, counts.get("kept", 0))
+    seen = Observation()
+    table.write(merged, gone.select("ticker").observe(seen, F.count("*").alias("pruned")))
+    return {"kept": 0, **counts, "pruned": seen.get.get("pruned") or 0}
+
+
+def state_of(spark: SparkSession, root: str, venue: str) -> DataFrame:
+    """A venue's markets now."""
+    return state_table(spark, root, venue).read()
 
 
 def history_of(spark: SparkSession, root: str, venue: str) -> DataFrame:
-    """The whole price history of a venue."""
-    return spark.read.schema(HISTORY).parquet(f"{venue_folder(root, venue)}/history/v=*")
+    """The price history of a venue, up to the last sweep that has come to its end."""
+    version = state_table(spark, root, venue).manifest().version
+    rows = spark.read.schema(f"{HISTORY}, v bigint").parquet(f"{venue_folder(root, venue)}/history") if version else spark.createDataFrame([], f"{HISTORY}, v bigint")
+    return rows.where(F.col("v") <= version).drop("v")
 
 
 @dataclass
@@ -164,3 +185,30 @@ class Ingestion:
 
     def status(self) -> dict[str, dict]:
         return {venue: {"running": venue in self.queries and self.queries[venue].isActive, "sweeps": s.sweeps, "counts": s.counts, "error": s.error} for venue, s in self.states.items()}
+
+
+def catalogue_stream(spark: SparkSession, root: str, venue: str, fetcher: str, normalise: Callable[[DataFrame, Column], DataFrame], referenced: Callable[[SparkSession], DataFrame], clock: Callable[[], datetime] = lambda: datetime.now(UTC), status: Status | None = None, seconds: int | None = None, **options) -> StreamingQuery:
+    """Sweeps of a paged catalogue, page by page: the source lands pages, and when a sweep's last page has come the sweep is applied.
+
+    fetcher: module:function, as in sources.catalogue. normalise gets the rows as JSON in column `row`. Whether a
+    sweep is complete is what its pages say; one that the page cap cuts short prunes nothing. A query that is
+    started again goes on behind the last page that landed.
+    """
+    register(spark)
+    status, landing = status or Status(), f"{venue_folder(root, venue)}/pages"
+    options = {"landing": landing, "fetcher": fetcher, **{k: str(v) for k, v in options.items()}}
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        ended = batch.where("last").select("sweep", "complete").distinct().orderBy("sweep").collect()  # a row for each sweep
+        for sweep in ended:
+            rows = spark.read.format(NAME).option("landing", landing).option("sweep", str(sweep["sweep"])).load()
+            now = F.lit(clock())
+            try:
+                status.done(apply_sweep(spark, root, venue, normalise(rows.where("row IS NOT NULL").orderBy("page", "place"), now), now, sweep["complete"], referenced(spark)))
+            except Exception as error:
+                status.failed(error)
+                raise
+
+    source = spark.readStream.format(NAME).options(**options).load()
+    writer = source.writeStream.foreachBatch(save).option("checkpointLocation", f"{venue_folder(root, venue)}/progress")
+    return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()

@@ -1,0 +1,99 @@
+"""Small parts that no query shows: displays, alerts, dashboards, orders, fallbacks."""
+
+from __future__ import annotations
+
+import datetime as dt
+import logging
+
+import pytest
+from pyspark.sql import functions as F
+
+from hedgeline.functions import display, text
+from hedgeline.operators import listing, match, normalize, stats
+from hedgeline.schemas import CATALOGUE_A, MATCHED
+from hedgeline.sources import alerts
+
+from .test_operators import NOW, markets
+
+AT = dt.datetime(2024, 1, 15)
+
+
+def column(spark, schema, values, make):
+    return [r[0] for r in spark.createDataFrame([(v,) for v in values], f"v {schema}").select(make(F.col("v"))).collect()]
+
+
+def test_displays(spark):
+    assert column(spark, "double", [999.4, 1234.0, 5_600_000.0, 1e9, 0.5], display.compact) == ["999", "1.2k", "5.6M", "1.0B", "1"]
+    assert column(spark, "double", [0.456, None, 0.0525], display.cents) == ["45.6¢", "—", "5.3¢"]
+    hours = lambda h: AT + dt.timedelta(hours=h)
+    assert column(spark, "timestamp_ntz", [None, hours(-1), hours(0.2), hours(5.6), hours(30), hours(24 * 59), hours(24 * 61)], lambda c: display.closes_in(c.cast("timestamp"), F.lit(AT))) == ["—", "closed", "1h", "6h", "1d", "59d", "2024-03-16"]
+    assert column(spark, "double", [0.4, 59.0, 61.0, 200.0], display.ago) == ["0s ago", "59s ago", "1m ago", "3m ago"]
+    assert column(spark, "double", [0.9, 0.89, 0.4, 0.1], display.confidence_band) == ["very high", "high", "medium", "low"]
+
+
+@pytest.mark.parametrize(("value", "top"), [(0.0, 1), (-3.0, 1), (1.0, 1), (1.2, 2), (3.0, 5), (7.0, 10), (10.0, 10), (0.03, 0.05), (4321.0, 5000)])
+def test_ends_of_axes(spark, value, top):
+    assert column(spark, "double", [value], display.nice_max)[0] == pytest.approx(top)
+
+
+def test_price_bands_are_ranges_of_the_list(spark):
+    rows = markets(spark, "a", *((f"T{i}", "t", 1.0, 0.5, 0.5, None) for i in range(5))).withColumn("price", F.element_at(F.array(*map(F.lit, (0.05, 0.1, 0.5, 0.9, 0.95))), F.col("id").cast("int")))
+    found = {}
+    for name, (low, high) in display.PRICE_BANDS.items():
+        found[name] = sorted(r["price"] for r in listing.matching(rows, listing.ListQuery(min_price=low, max_price=high), F.lit(NOW)).collect())
+    assert found == {"longshot": [0.05, 0.1], "contested": [0.1, 0.5, 0.9], "favourite": [0.9, 0.95]}
+
+
+def test_volumes_fall_back(spark):
+    raw = [("A", '["Yes","No"]', n, v) for n, v in (("5", "7"), (None, "7"), ("x", "2.5"), (None, None))]
+    names = [c.split()[0] for c in CATALOGUE_A.split(", ")]
+    rows = spark.createDataFrame([tuple({"conditionId": t, "outcomes": o, "outcomePrices": '["0.5"]', "volumeNum": n, "volume": v}.get(c) for c in names) for t, o, n, v in raw], CATALOGUE_A)
+    assert [r["volume"] for r in normalize.markets_a(rows, F.lit(0)).collect()] == [5.0, 7.0, 2.5, 0.0]
+
+
+def test_alerts(spark, caplog):
+    rows = [(0.0525, "A1", "B1", 10.0, 5.0), (0.2, "A2", "B2", 3.0, 9.0)]
+    found = spark.createDataFrame(rows, "net_edge double, at string, bt string, av double, bv double").select(F.struct(F.col("at").alias("ticker"), F.col("av").alias("volume")).alias("a"), F.struct(F.col("bt").alias("ticker"), F.col("bv").alias("volume")).alias("b"), F.struct("net_edge").alias("arbitrage"))
+    sent = []
+
+    def send(row):
+        sent.append(row)
+        if row["a_ticker"] == "A2":
+            raise OSError("no hook")
+
+    with caplog.at_level(logging.ERROR):
+        alerts.alert_sink(send)(found, 4)
+    assert sent == [{"a_ticker": "A2", "b_ticker": "B2", "profit_percent": 20.0, "min_liquidity": 3.0}, {"a_ticker": "A1", "b_ticker": "B1", "profit_percent": 5.25, "min_liquidity": 5.0}]
+    assert "alert of batch 4 failed" in caplog.text
+    assert alerts.alert_sink(None)(found, 1) is None and len(sent) == 2
+
+
+def test_dashboards(spark):
+    rows = markets(spark, "a", ("T1", "t", 10.0, 0.5, 0.5, None), ("T2", "t", 30.0, 0.5, 0.5, 1)).withColumn("price", F.lit(0.55))
+    history = spark.createDataFrame([("a", AT - dt.timedelta(hours=h)) for h in (1, 2, 30)], "venue string, recorded_at timestamp_ntz")
+    saved = spark.createDataFrame([(i, i, i, "t", "c", None, 0.1, 0.2, 1.0, 2.0, True, AT + dt.timedelta(days=i) if i < 3 else None) for i in range(1, 5)], MATCHED.replace("timestamp", "timestamp_ntz")).withColumn("price_spread", F.col("id") / 10).withColumn("total_combined_volume", F.lit(3.0))
+    found = stats.overview(rows, history, saved, F.lit(AT))
+    assert tuple(found["summary"].first())[:4] == ("a", 2, 1, 10.0) and [r["n"] for r in found["histogram"].orderBy("bucket").collect()] == [0] * 5 + [1] + [0] * 4
+    assert [r["ticker"] for r in found["top"].collect()] == ["T1"] and sum(r["n"] for r in found["activity"].collect()) == 2
+    assert [r["id"] for r in found["matches"].collect()] == [2, 1, 3, 4] and [r["id"] for r in stats.scatter_feed(saved, 2).collect()] == [2, 1]
+    board = stats.dashboard(found["activity"], saved.withColumn("confidence", F.lit(0.5)), spark.createDataFrame([(0.1,), (None,), (0.3,)], "net_edge double")).first()
+    assert tuple(board) == (2, 0.25, 0.5, 0.3)
+    assert tuple(stats.dashboard(found["activity"].limit(0), saved.limit(0), spark.createDataFrame([], "net_edge double")).first()) == (0, 0.0, 0.0, None)
+
+
+def test_pages_and_matches_come_in_order(spark):
+    rows = markets(spark, "a", *((f"T{i}", "t", float(i % 3), 0.5, 0.5, None) for i in range(1, 7))).withColumn("updated_at", F.timestamp_seconds(F.col("id") % 2))
+    page = lambda **more: [r["id"] for r in listing.page(rows, listing.ListQuery(sort="updated_at", **more), F.lit(NOW)).collect()]
+    assert page() == [1, 3, 5, 2, 4, 6] and page(limit=2, offset=2) == [5, 2] and page(ascending=True, limit=1) == [2]
+    made = spark.createDataFrame([(0.5, "A1", "B2"), (0.9, "A2", "B1"), (0.5, "A1", "B1"), (0.5, "A0", "B9")], "confidence double, at string, bt string").select("confidence", F.struct(F.col("at").alias("ticker")).alias("a"), F.struct(F.col("bt").alias("ticker")).alias("b"))
+    assert [(r["a"]["ticker"], r["b"]["ticker"]) for r in match.sorted_matches(made).collect()] == [("A2", "B1"), ("A0", "B9"), ("A1", "B1"), ("A1", "B2")]
+
+
+def test_weighted_likeness_of_tokens(spark):
+    pairs = spark.createDataFrame([(1, ["x", "y"], ["x", "z"]), (2, ["x"], ["y"]), (3, [], ["x"]), (4, ["new"], ["new"])], "k int, l array<string>, r array<string>")
+    df = spark.createDataFrame([("x", 1), ("y", 10), ("z", 10)], "token string, df bigint")
+    found = {r["k"]: r["score"] for r in text.weighted_jaccard(pairs, df, "l", "r", "k").collect()}
+    import math
+
+    x, y = math.log1p(1), math.log1p(0.1)
+    assert found == {1: pytest.approx(x / (x + 2 * y)), 2: 0.0, 3: 0.0, 4: 1.0}
