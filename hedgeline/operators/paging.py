@@ -39,38 +39,53 @@ def slice_of(rows: DataFrame, key: Column, tie: str, limit: int, offset: int, pi
     """The rows among which a page lies, by counting ranges of the key and then, where one key has very many rows, of the tie-breaker.
 
     Nulls of the key come last. Each pass counts all rows that are left, and
-    leaves one range of them; it ends when at most `most` rows are, or nothing more can be told apart.
+    leaves the ranges that the page reaches into; it ends when at most `most` rows are, or nothing more can be told apart.
     """
-    before, total, values = 0, None, [key, F.col(tie)]
-    while True:
-        ends, counts, nulls = counted(rows, values[0], pieces)
-        size = sum(counts) + nulls
-        total = size if total is None else total
-        if offset >= total or not size:
-            return Slice(rows.where(F.lit(False)), 0, total)
-        sums = [0]
-        for n in [*counts, nulls]:
-            sums.append(sums[-1] + n)
-        want = offset - before, min(offset + limit, before + size) - before
-        first = next(i for i in range(len(sums) - 1) if sums[i + 1] > want[0])
-        last = next(i for i in range(first, len(sums) - 1) if sums[i + 1] >= want[1])
-        hit = F.lit(True)
-        if first <= len(ends) and first:
-            hit = hit & (values[0] > ends[first - 1])
-        if last < len(ends):
-            hit = hit & (values[0] <= ends[last])
-        if first > len(ends):
-            hit = values[0].isNull()
-        elif last > len(ends):
-            hit = (values[0] > ends[first - 1] if first else F.lit(True)) | values[0].isNull()
-        left = sums[last + 1] - sums[first]
-        rows, before = rows.where(hit), before + sums[first]
-        if left <= most:
-            return Slice(rows, before, total)
-        if left == size or left > size * 0.9:  # hardly a range was told apart: one key has nearly all rows
-            if len(values) == 1:
-                return Slice(rows, before, total)
-            one = rows.agg(F.count_distinct(values[0]).alias("n"), F.count_if(values[0].isNull()).alias("nulls")).first()
-            if one["n"] + (one["nulls"] > 0) > 1:
-                return Slice(rows, before, total)
-            values = values[1:]
+    total = rows.count()
+    if offset >= total:
+        return Slice(rows.where(F.lit(False)), 0, total)
+    found, before = narrowed(rows, [key, F.col(tie)], offset, min(offset + limit, total), pieces, most)
+    return Slice(found, before, total)
+
+
+def narrowed(rows: DataFrame, values: list[Column], start: int, stop: int, pieces: int, most: int) -> tuple[DataFrame, int]:
+    """Rows that hold those from start to stop, in the order of the values, and how many lie before them."""
+    value = values[0]
+    ends, counts, nulls = counted(rows, value, pieces)
+    sums = [0]
+    for n in [*counts, nulls]:
+        sums.append(sums[-1] + n)
+    if sums[-1] <= most:
+        return rows, 0
+    first = next(i for i in range(len(sums) - 1) if sums[i + 1] > start)
+    last = next(i for i in range(first, len(sums) - 1) if sums[i + 1] >= stop)
+    left = sums[last + 1] - sums[first]
+    if left <= 0.5 * sums[-1] or left <= most:
+        part = rows.where(within(value, ends, first, last))
+        found, before = (part, 0) if left <= most else narrowed(part, values, start - sums[first], stop - sums[first], pieces, most)
+        return found, before + sums[first]
+    # One value has a great part of the rows: what is less, equal, greater and null is taken for itself.
+    heavy = max(range(first, last + 1), key=lambda i: sums[i + 1] - sums[i])
+    split = F.lit(ends[heavy]) if heavy < len(ends) else F.lit(rows.agg(F.max(value).alias("v")).first()["v"])
+    tests = [value < split, value == split, value > split, value.isNull()]
+    sizes = rows.agg(*(F.count_if(t).alias(f"n{i}") for i, t in enumerate(tests))).first()
+    out, begins, at = None, 0, 0
+    for i, test in enumerate(tests):
+        size = sizes[f"n{i}"]
+        if size and start < at + size and stop > at:
+            inner = values[1:] if i in (1, 3) else values
+            whole = size <= most or not inner or size == sums[-1] and inner == values
+            part, before = (rows.where(test), 0) if whole else narrowed(rows.where(test), inner, max(0, start - at), min(size, stop - at), pieces, most)
+            begins = at + before if out is None else begins
+            out = part if out is None else out.unionByName(part)
+        at += size
+    return out, begins
+
+
+def within(value: Column, ends: list, first: int, last: int) -> Column:
+    """Whether a value lies in one of the ranges from first to last; behind the open range come nulls."""
+    if first > len(ends):
+        return value.isNull()
+    above = value > ends[first - 1] if first else value.isNotNull()
+    below = value <= ends[last] if last < len(ends) else F.lit(True)
+    return above & below | value.isNull() if last > len(ends) else above & below

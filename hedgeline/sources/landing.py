@@ -22,6 +22,12 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def deleted(spark: SparkSession, path: str) -> bool:
+    """Take a folder away, on whatever file system it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def landed(spark: SparkSession, path: str, venue: str, stream: bool = False) -> DataFrame:
     """Catalogue pages as lines of JSON, all at once or as a stream."""
     reader = spark.readStream.option("maxFilesPerTrigger", 1) if stream else spark.read

@@ -32,6 +32,9 @@ CHUNK = 1_000
 
 @dataclass
 class Written(WriterCommitMessage):
+    """A task's file, where it is staged, and how many records it holds."""
+
+    staging: str
     name: str
     rows: int
 
@@ -64,12 +67,14 @@ class Commits:
             for line, n in lines_of(iterator, self.chunk):
                 out.write(line)
                 rows += n
-        return Written(name, rows)
+        return Written(self.staging, name, rows)
 
     def publish(self, messages: list[Written | None], target: str) -> None:
         system, base = file_system(self.path)
         from pyarrow import fs
 
+        for message in filter(None, messages):
+            self.staging = message.staging  # a stream's commits are made by a writer of their own
         staged = f"{base}/.{self.staging}"
         if system.get_file_info(f"{base}/{target}").type != fs.FileType.NotFound:
             self.discard()
@@ -81,7 +86,9 @@ class Commits:
                 system.delete_file(info.path)
         system.move(staged, f"{base}/{target}")
 
-    def discard(self) -> None:
+    def discard(self, messages: list[Written | None] = ()) -> None:
+        for message in filter(None, messages):
+            self.staging = message.staging
         system, base = file_system(self.path)
         from pyarrow import fs
 
@@ -94,7 +101,7 @@ class BatchWriter(Commits, DataSourceArrowWriter):
         self.publish(messages, f"batch={next_batch(self.path):08d}")
 
     def abort(self, messages: list[Written | None]) -> None:
-        self.discard()
+        self.discard(messages)
 
 
 class StreamWriter(Commits, DataSourceStreamArrowWriter):
@@ -102,7 +109,7 @@ class StreamWriter(Commits, DataSourceStreamArrowWriter):
         self.publish(messages, f"batch={batchId:08d}")
 
     def abort(self, messages: list[Written | None], batchId: int) -> None:
-        self.discard()
+        self.discard(messages)
 
 
 def batches(path: str) -> list[str]:

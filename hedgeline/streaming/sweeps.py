@@ -18,7 +18,7 @@ from ..operators import normalize, store
 from ..schemas import HISTORY, MARKET, STATE, conform
 from ..sources.buckets import BucketedTable
 from ..sources.catalogue import NAME, register
-from ..sources.landing import shared_folder
+from ..sources.landing import deleted, shared_folder
 
 
 TICK = "ticker string, event_id bigint, price double"
@@ -110,12 +110,18 @@ def apply_sweep(spark: SparkSession, root: str, venue: str, incoming: DataFrame,
     first = normalize.first_seen(rows.where("_reason IS NULL"), "ticker", "_turn").drop("_reason", "_turn")
     history = store.changed_prices(conform(first, MARKET), state, "ticker", "venue", "price", "volume", "timestamp").withColumn("recorded_at", now)
     history.write.mode("overwrite").parquet(f"{where}/history/v={at.version + 1}")
-    tickers, top = first.select("ticker"), state.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    merged = store.upsert(state.join(tickers, "ticker", "left_semi").select(*state.columns), conform(first, MARKET), now, top)
+    tickers, new = first.select("ticker"), Observation()
+    merged = store.merge(state.join(tickers, "ticker", "left_semi").select(*state.columns), conform(first, MARKET), now)
+    merged.observe(new, F.count_if(F.col("id").isNull()).alias("n")).write.mode("overwrite").parquet(f"{where}/merged/v={at.version + 1}")
+    merged = spark.read.schema(STATE).parquet(f"{where}/merged/v={at.version + 1}")
+    if new.get.get("n"):
+        merged = store.give_ids(merged, store.top_id(state))
     gone = store.stale(state.join(tickers, "ticker", "left_anti"), now, referenced, complete, DEFAULTS.prune_stale, counts.get("kept", 0))
-    seen = Observation()
-    table.write(merged, gone.select("ticker").observe(seen, F.count("*").alias("pruned")))
-    return {"kept": 0, **counts, "pruned": seen.get.get("pruned") or 0}
+    pruned = Observation()
+    table.write(merged, gone.select("ticker").observe(pruned, F.count("*").alias("n")))
+    for name in ("swept", "merged"):
+        deleted(spark, f"{where}/{name}/v={at.version + 1}")
+    return {"kept": 0, **counts, "pruned": pruned.get.get("n") or 0}
 
 
 def state_of(spark: SparkSession, root: str, venue: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hedgeline.operators import listing, paging, trigrams
 
-NOW = F.lit(dt.datetime(2024, 1, 15, tzinfo=dt.UTC))
+NOW = dt.datetime(2024, 1, 15, tzinfo=dt.UTC)
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +26,7 @@ def many(spark):
 @pytest.mark.parametrize("sort", ["volume", "close_time", "spread"])
 def test_deep_pages_hold_the_same_rows(spark, many, sort, ascending, monkeypatch):
     q = lambda offset: listing.ListQuery(sort=sort, ascending=ascending, limit=40, offset=offset)
-    plain = {offset: [(r["id"], r["total_count"]) for r in listing.page(many, q(offset), NOW).collect()] for offset in (0, 20_000, 44_990, 49_980, 60_000)}
+    plain = {offset: [(r["id"], r["total_count"]) for r in listing.page(many, q(offset), F.lit(NOW)).collect()] for offset in (0, 20_000, 44_990, 49_980, 60_000)}
     monkeypatch.setattr(listing, "DEEP", 0)
     monkeypatch.setattr(paging, "slice_of", lambda *a, **k: bounded(*a, **k))
     original, sorted_rows = SLICE, []
@@ -37,7 +37,7 @@ def test_deep_pages_hold_the_same_rows(spark, many, sort, ascending, monkeypatch
         return part
 
     for offset, expected in plain.items():
-        assert [(r["id"], r["total_count"]) for r in listing.page(many, q(offset), NOW).collect()] == expected, offset
+        assert [(r["id"], r["total_count"]) for r in listing.page(many, q(offset), F.lit(NOW)).collect()] == expected, offset
     assert max(sorted_rows) <= 2_500 and sorted_rows[-1] == 0
 
 
@@ -65,9 +65,9 @@ def searched(spark, tmp_path_factory):
 @pytest.mark.parametrize("search", ["abc", "ABC", "ab", "é", "a_c", "a%c", "abca_b", "%%%", "___", "T-10", "T-1_", r"0\%\_s", r"abc\\d", "ΟΔΟΣ", "οδοσ", "nothing like it", "cab%abc", "bca cab"])
 def test_searches_find_the_same_rows(searched, search):
     markets, table = searched
-    plain = lambda rows: {r["id"] for r in listing.matching(rows, listing.ListQuery(search=search), NOW).collect()}
+    plain = lambda rows: {r["id"] for r in listing.matching(rows, listing.ListQuery(search=search), F.lit(NOW)).collect()}
     assert plain(trigrams.like(markets, table, search)) == plain(markets)
-    ahead = lambda rows: [r["id"] for r in listing.typeahead(rows, search, NOW, 1000).collect()]
+    ahead = lambda rows: [r["id"] for r in listing.typeahead(rows, search, F.lit(NOW), 1000).collect()]
     assert ahead(trigrams.holding(markets, table, search)) == ahead(markets)
 
 

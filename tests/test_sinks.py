@@ -39,7 +39,7 @@ def test_what_a_lost_attempt_left_is_taken_away(spark, tmp_path):
     staged.mkdir()
     for name in ("part-00000-1.jsonl", "part-00000-2.jsonl"):
         (staged / name).write_text(f"{name}\n")
-    writer.commit([sinks.Written("part-00000-2.jsonl", 1), None])
+    writer.commit([sinks.Written(writer.staging, "part-00000-2.jsonl", 1), None])
     assert list(sinks.committed(str(tmp_path))) == ["part-00000-2.jsonl"] and not staged.exists()
 
 
