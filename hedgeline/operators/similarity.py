@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from functools import partial
 from typing import Protocol
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions.parse import blank_to_null
 from ..functions.text import tokens
-from ..sources.landing import shared_folder
+from ..sources.landing import scratch_folder
 
 #: Rows of a block, of either side, that a task multiplies at a time.
 BLOCK_ROWS = 2_000
@@ -148,7 +147,7 @@ class TopK:
     def __init__(self, a: DataFrame, b: DataFrame, k: int, min_score: float, digits: int | None = None, pivots: int = PIVOTS):
         spark = a.sparkSession
         self.k, self.min_score, self.digits = k, min_score, digits
-        self.spark, self.folder = spark, f"{shared_folder(spark)}/topk-{uuid.uuid4().hex[:12]}"
+        self.spark, self.folder = spark, scratch_folder(spark, "topk")
         sample = b.where(F.size("vector") > 0).orderBy(F.xxhash64("id")).limit(SAMPLE).select(F.col("vector").cast("array<double>").alias("v")).where(F.forall("v", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))).collect()  # a bounded sample
         by_size: dict[int, list] = {}
         for row in sample:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +12,7 @@ from ..functions import display, quality, text
 from ..operators import batching, consensus, judges, listing, match, normalize, paging, similarity, stats, store, trace, trigrams
 from ..sources.buckets import BucketedTable
 from ..sources.fixtures import AS_OF, Tables, oracle
-from ..sources.landing import shared_folder
+from ..sources.landing import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -152,7 +151,7 @@ def q51_sweep_state(t):
     """Two sweeps, of which the later one no longer holds what has expired; what a pair refers to stays."""
     from ..streaming import sweeps
 
-    root, later = f"{shared_folder(t.spark)}/state-{uuid.uuid4().hex[:12]}", F.expr(LATER)
+    root, later = scratch_folder(t.spark, "state"), F.expr(LATER)
     sweeps.apply_sweep(t.spark, root, "a", t.venue("a"), now(), True, t.spark.createDataFrame([], "id bigint"))
     referenced = sweeps.state_of(t.spark, root, "a").join(t.pairs().select(F.col("a_ticker").alias("ticker")).distinct(), "ticker", "left_semi")
     sweeps.apply_sweep(t.spark, root, "a", t.venue("a").withColumn("price", F.coalesce("yes_bid", "price")), later, True, referenced.select("id"))
@@ -479,7 +478,7 @@ def _verdicts_of(pairs: DataFrame) -> DataFrame:
 
 def _stored(t: Tables) -> BucketedTable:
     """A table of the verdicts on two of five pairs."""
-    table = match.verdict_table(t.spark, f"{shared_folder(t.spark)}/verdicts-{uuid.uuid4().hex[:12]}")
+    table = match.verdict_table(t.spark, scratch_folder(t.spark, "verdicts"))
     table.write(_verdicts_of(t.pairs().where("(a_id * 7 + b_id) % 5 < 2")).withColumn("created_at", now()))
     return table
 
@@ -491,7 +490,7 @@ def _judge(t: Tables) -> match.Judge:
 
 def _run_of_pairs(t: Tables) -> tuple:
     a = t.venue("a").withColumn("no_ask", normalize.complement(F.col("yes_bid")))
-    told = trace.Trace(t.spark, f"{shared_folder(t.spark)}/run-{uuid.uuid4().hex[:12]}")
+    told = trace.Trace(t.spark, scratch_folder(t.spark, "run"))
     pairs, counts = told.keep(t.pairs().select("a_id", "b_id", "a_ticker", "b_ticker", F.col("b_id").alias("place")), "pairs", candidates=F.count("*"))
     told.stage("embed", "done", **counts)
     return a, t.venue("b"), pairs, _stored(t), _judge(t), now(), told
@@ -569,7 +568,7 @@ def q54_activity_stream(t):
     """The day's hours after the events have come as a stream, in three parts by time."""
     from ..streaming import activity
 
-    root = f"{shared_folder(t.spark)}/activity-{uuid.uuid4().hex[:12]}"
+    root = scratch_folder(t.spark, "activity")
     events = t.table("events").select("event_type", "ts")
     for part, (start, stop) in enumerate((("2000-01-01", "2024-01-10"), ("2024-01-10", "2024-01-14 18:00:00"), ("2024-01-14 18:00:00", "2100-01-01"))):
         events.where((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") < F.lit(stop).cast("timestamp_ntz"))).write.parquet(f"{root}/landing/part={part}")
@@ -581,7 +580,7 @@ def q54_activity_stream(t):
 @query(ORACLES["q10_list_filtered_page"], whole=True)
 def q55_trigram_search(t):
     """The same page, of the rows that the postings of the search give."""
-    table = trigrams.posting_table(t.spark, f"{shared_folder(t.spark)}/grams-{uuid.uuid4().hex[:12]}")
+    table = trigrams.posting_table(t.spark, scratch_folder(t.spark, "grams"))
     table.write(trigrams.postings(t.markets()))
     q = listing.ListQuery(search="gear", min_volume=1000, min_price=0.1, max_price=0.9, tradable=True, closing_days=30, limit=20, offset=20)
     return listing.page(trigrams.like(t.markets(), table, q.search), q, now()).select("id", "ticker", "volume", "total_count")

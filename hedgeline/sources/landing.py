@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, for what nobody wants after this session; it goes when the session's JVM ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return folder
+
+
 def deleted(spark: SparkSession, path: str) -> bool:
     """Take a folder away, on whatever file system it is."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
@@ -18,7 +17,7 @@ from ..operators import normalize, store
 from ..schemas import HISTORY, MARKET, STATE, conform
 from ..sources.buckets import BucketedTable
 from ..sources.catalogue import NAME, register
-from ..sources.landing import deleted, shared_folder
+from ..sources.landing import deleted, scratch_folder
 
 
 TICK = "ticker string, event_id bigint, price double"
@@ -66,7 +65,7 @@ def price_change_stream(ticks: DataFrame, root: str, ranges: int = 16) -> Stream
 
 def stream_price_changes(spark: SparkSession, ticks: DataFrame, sweeps: int = 4) -> DataFrame:
     """Land the ticks sweep by sweep in their order, take in each as it has landed, and return the history that comes out."""
-    base = f"{shared_folder(spark)}/sweeps-{uuid.uuid4().hex[:12]}"
+    base = scratch_folder(spark, "sweeps")
     ticks = ticks.select("ticker", "event_id", "price")
     ticks.withColumn("sweep", cuts_of(ticks, sweeps)).write.partitionBy("sweep").parquet(f"{base}/sorted")
     for sweep in range(sweeps):
