@@ -50,7 +50,7 @@ class Index:
 
     tables: int = 6
     success: float = 0.91
-    rows: int = 12
+    rows: int = 3
     fit_rows: int = 4_000
     shard_rows: int = 8_192
     seed: int = 11
