@@ -496,7 +496,7 @@ def _run_of_pairs(t: Tables) -> tuple:
     return a, t.venue("b"), pairs, _stored(t), _judge(t), now(), told
 
 
-LOADED = f"""loaded AS (SELECT * FROM markets WHERE {OPEN} AND volume > 0 AND (yes_ask IS NOT NULL OR no_ask IS NOT NULL)),
+LOADED = f"""loaded AS (SELECT * FROM markets WHERE {OPEN} AND volume > 0 AND (yes_ask IS NOT NULL OR CASE WHEN venue = 'a' THEN yes_bid ELSE no_ask END IS NOT NULL)),
  taken AS (SELECT p.*, (p.a_id * 7 + p.b_id) % 5 < 2 AS stored FROM priced p JOIN loaded a ON a.id = p.a_id JOIN loaded b ON b.id = p.b_id)"""
 
 

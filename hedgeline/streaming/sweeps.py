@@ -14,6 +14,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..config import DEFAULTS
 from ..functions import quality
 from ..operators import normalize, store
+from ..operators.trace import observed
 from ..schemas import HISTORY, MARKET, STATE, conform
 from ..sources.buckets import BucketedTable
 from ..sources.catalogue import NAME, register
@@ -113,14 +114,14 @@ def apply_sweep(spark: SparkSession, root: str, venue: str, incoming: DataFrame,
     merged = store.merge(state.join(tickers, "ticker", "left_semi").select(*state.columns), conform(first, MARKET), now)
     merged.observe(new, F.count_if(F.col("id").isNull()).alias("n")).write.mode("overwrite").parquet(f"{where}/merged/v={at.version + 1}")
     merged = spark.read.schema(STATE).parquet(f"{where}/merged/v={at.version + 1}")
-    if new.get.get("n"):
+    if observed(new, "n")["n"]:
         merged = store.give_ids(merged, store.top_id(state))
     gone = store.stale(state.join(tickers, "ticker", "left_anti"), now, referenced, complete, DEFAULTS.prune_stale, counts.get("kept", 0))
     pruned = Observation()
     table.write(merged, gone.select("ticker").observe(pruned, F.count("*").alias("n")))
     for name in ("swept", "merged"):
         deleted(spark, f"{where}/{name}/v={at.version + 1}")
-    return {"kept": 0, **counts, "pruned": pruned.get.get("n") or 0}
+    return {"kept": 0, **counts, "pruned": observed(pruned, "n")["n"]}
 
 
 def state_of(spark: SparkSession, root: str, venue: str) -> DataFrame:
