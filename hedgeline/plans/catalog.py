@@ -471,20 +471,23 @@ def q45_run_stats(t):
     return t.spark.createDataFrame([run.stats], ", ".join(f"{c} bigint" for c in run.stats))
 
 
-def _verdicts_of(pairs: DataFrame) -> DataFrame:
+EVEN, AGREES = "(a_id + b_id) % 2 = 0", "(a_id + b_id) % 5 <> 0"
+
+
+def _verdicts_of(pairs: DataFrame, hit: str) -> DataFrame:
     """What a deterministic judge says of pairs."""
-    return pairs.select("a_ticker", "b_ticker", F.expr("(a_id + b_id) % 2 = 0").alias("is_match"), F.lit("exact").alias("similarity"), "direction", F.lit(0.9).alias("confidence"), F.lit("").alias("reasoning"))
+    return pairs.select("a_ticker", "b_ticker", F.expr(hit).alias("is_match"), F.lit("exact").alias("similarity"), "direction", F.lit(0.9).alias("confidence"), F.lit("").alias("reasoning"))
 
 
-def _stored(t: Tables) -> BucketedTable:
+def _stored(t: Tables, hit: str) -> BucketedTable:
     """A table of the verdicts on two of five pairs."""
     table = match.verdict_table(t.spark, scratch_folder(t.spark, "verdicts"))
-    table.write(_verdicts_of(t.pairs().where("(a_id * 7 + b_id) % 5 < 2")).withColumn("created_at", now()))
+    table.write(_verdicts_of(t.pairs().where("(a_id * 7 + b_id) % 5 < 2"), hit).withColumn("created_at", now()))
     return table
 
 
-def _judge(t: Tables) -> match.Judge:
-    answers = _verdicts_of(t.pairs())
+def _judge(t: Tables, hit: str) -> match.Judge:
+    answers = _verdicts_of(t.pairs(), hit)
     return judges.by_rows(lambda todo: todo.select("a_ticker", "b_ticker").join(answers, ["a_ticker", "b_ticker"]))
 
 
@@ -493,7 +496,7 @@ def _run_of_pairs(t: Tables) -> tuple:
     told = trace.Trace(t.spark, scratch_folder(t.spark, "run"))
     pairs, counts = told.keep(t.pairs().select("a_id", "b_id", "a_ticker", "b_ticker", F.col("b_id").alias("place")), "pairs", candidates=F.count("*"))
     told.stage("embed", "done", **counts)
-    return a, t.venue("b"), pairs, _stored(t), _judge(t), now(), told
+    return a, t.venue("b"), pairs, _stored(t, EVEN), _judge(t, EVEN), now(), told
 
 
 LOADED = f"""loaded AS (SELECT * FROM markets WHERE {OPEN} AND volume > 0 AND (yes_ask IS NOT NULL OR CASE WHEN venue = 'a' THEN yes_bid ELSE no_ask END IS NOT NULL)),
@@ -508,10 +511,10 @@ def _whole_run(t: Tables) -> match.MatchRun:
         side = lambda rows, name: rows.select(F.col("id").alias(f"{name}_id"), F.col("ticker").alias(f"{name}_ticker"))
         return t.pairs().select("a_id", "b_id").join(side(left, "a"), "a_id").join(side(right, "b"), "b_id").withColumn("place", F.col("b_id"))
 
-    return match.find_matches(a, t.venue("b"), _stored(t), same_title, _judge(t), now(), rules=MatchRules(limit=None))
+    return match.find_matches(a, t.venue("b"), _stored(t, AGREES), same_title, _judge(t, AGREES), now(), rules=MatchRules(limit=None))
 
 
-@query(PRICED + f""", {LOADED} SELECT a_id, b_id, direction, stored, coalesce(hedge, 0) AS hedge, net_edge FROM taken WHERE (a_id + b_id) % 2 = 0""")
+@query(PRICED + f""", {LOADED} SELECT a_id, b_id, direction, stored, coalesce(hedge, 0) AS hedge, net_edge FROM taken WHERE {AGREES}""")
 def q52_match_run(t):
     run = _whole_run(t)
     new = run.new_verdicts.select(F.col("a_ticker").alias("_a"), F.col("b_ticker").alias("_b"), F.lit(False).alias("_stored"))
@@ -520,7 +523,7 @@ def q52_match_run(t):
 
 
 @query(PRICED + f""", {LOADED}, counts AS (SELECT (SELECT count(*) FROM loaded) AS loaded, count(*) AS candidates, count(*) FILTER (WHERE stored) AS reused, count(*) FILTER (WHERE NOT stored) AS judged,
-  count(*) FILTER (WHERE (a_id + b_id) % 2 = 0) AS matched, count(*) FILTER (WHERE (a_id + b_id) % 2 = 0 AND hedge IS NOT NULL) AS priced, count(*) FILTER (WHERE (a_id + b_id) % 2 = 0 AND net_edge > 0) AS profitable FROM taken)
+  count(*) FILTER (WHERE {AGREES}) AS matched, count(*) FILTER (WHERE {AGREES} AND hedge IS NOT NULL) AS priced, count(*) FILTER (WHERE {AGREES} AND net_edge > 0) AS profitable FROM taken)
  SELECT CAST(place AS INT) AS place, ['loaded', 'candidates', 'reused', 'judged', 'matched', 'priced', 'profitable'][place] AS step, [loaded, candidates, reused, judged, matched, priced, profitable][place] AS n FROM counts CROSS JOIN range(1, 8) r(place)""")
 def q53_run_funnel(t):
     """The funnel of a run from the events that it told."""
