@@ -48,9 +48,10 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.concat(kept, *dates, _hits(text, r"\d+"), _hits(text, "[A-Z][a-z]+")))
 
 
-def document_frequency(rows: DataFrame, column: str) -> DataFrame:
-    """token and df, the number of rows whose text in the column has it."""
-    return rows.select(F.explode(tokens(F.col(column))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+def document_frequency(rows: DataFrame, column: str, times: str | None = None) -> DataFrame:
+    """token and df, the number of rows whose text in the column has it. times: a column that says how many rows a row stands for."""
+    found = rows.select(F.explode(tokens(F.col(column))).alias("token"), *([times] if times else []))
+    return found.groupBy("token").agg((F.sum(times) if times else F.count("*")).alias("df"))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import pairing
 
 #: The clock of all queries.
 AS_OF = "TIMESTAMP '2024-01-15 00:00:00'"
@@ -63,8 +66,12 @@ class Tables:
     def ticks(self) -> DataFrame:
         return self.spark.sql(TICKS, events=self.table("events"))
 
-    def pairs(self) -> DataFrame:
-        return self.spark.sql(PAIRS.replace("({markets})", "{markets}"), markets=self.markets())
+    def pairs(self, a: DataFrame | None = None, b: DataFrame | None = None) -> DataFrame:
+        """The rows of PAIRS. a, b: the sides with what else each pair is to carry of them."""
+        sides = {"a": self.venue("a").select("id", "ticker", "title") if a is None else a, "b": self.venue("b").select("id", "ticker", "title") if b is None else b}
+        named = (side.withColumnsRenamed({"id": f"{name}_id", "ticker": f"{name}_ticker"}) for name, side in sides.items())
+        direction = F.when((F.col("a_id") + F.col("b_id")) % 3 == 0, "inverted").otherwise("same")
+        return pairing.met(*named, "title").drop("title").withColumn("direction", direction)
 
     def votes(self) -> DataFrame:
         return self.spark.sql(VOTES, embeddings=self.table("embeddings"))
