@@ -72,6 +72,11 @@ class Tables:
         named = (side.withColumnsRenamed({"id": f"{name}_id", "ticker": f"{name}_ticker"}) for name, side in sides.items())
         return self.directed(pairing.met(*named, "title").drop("title"))
 
+    def paired(self, venue: str) -> DataFrame:
+        """The markets of a venue that stand in a pair, each once, without making the pairs."""
+        other = self.venue("b" if venue == "a" else "a")
+        return self.venue(venue).join(other.select("title").distinct(), "title", "left_semi")
+
     @staticmethod
     def directed(pairs: DataFrame) -> DataFrame:
         return pairs.withColumn("direction", F.when((F.col("a_id") + F.col("b_id")) % 3 == 0, "inverted").otherwise("same"))
