@@ -37,15 +37,21 @@ def _hits(text: Column, pattern: str) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Words of the normalised text longer than two characters."""
-    return F.filter(F.split(normalize(text), r"\s+"), lambda w: F.length(w) > 2)
+    """Words of the normalised text longer than two characters: what it puts spaces between are runs of word characters and hyphens."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\w-]{3,}"), F.lit(0))
 
 
 def tokens(text: Column) -> Column:
-    """Distinct words but stop words, then date expressions, digit runs and capitalised words of the raw text."""
-    kept = F.filter(words(text), lambda w: ~w.isin(STOP_WORDS))
-    dates = [_hits(text, whole_word(p)) for p in DATE_PATTERNS]
-    return F.array_distinct(F.concat(kept, *dates, _hits(text, r"\d+"), _hits(text, "[A-Z][a-z]+")))
+    """Distinct words but stop words, then date expressions, digit runs and capitalised words of the raw text.
+
+    Patterns share a pass where none can take what another would find: names of dates are whole words, so at most one text
+    stands in a place; runs of digits and capitalised words have no character in common. A year is a run of digits as well.
+    """
+    year, slashed, *names = DATE_PATTERNS
+    dates = F.when(F.contains(text, F.lit("/")), _hits(text, whole_word(slashed))).otherwise(F.array().cast("array<string>"))
+    named = whole_word("(?i)(?=[jfmasondqw])(?:" + "|".join(p.removeprefix("(?i)") for p in names) + ")")
+    kept = F.array_except(words(text), F.array(*map(F.lit, STOP_WORDS)))
+    return F.array_distinct(F.concat(kept, dates, _hits(text, named), _hits(text, r"\d+|[A-Z][a-z]+")))
 
 
 def document_frequency(rows: DataFrame, column: str, times: str | None = None) -> DataFrame:
