@@ -89,6 +89,17 @@ def phrases(text: Column, n: int = 2) -> Column:
     return F.element_at(F.transform(F.array(words(text)), runs), 1)  # bound once: an expression inside a function of elements is made anew for each
 
 
+def counted(found: Column) -> Column:
+    """value and n, how often it stands there, of each different element of an array without nulls."""
+
+    def runs(ordered: Column) -> Column:
+        starts = F.filter(F.transform(ordered, lambda x, i: F.when((i == 0) | (x != F.get(ordered, i - 1)), i)), lambda i: i.isNotNull())
+        lengths = lambda at: F.transform(at, lambda i, k: F.struct(F.get(ordered, i).alias("value"), (F.coalesce(F.get(at, k + 1), F.size(ordered)) - i).cast("bigint").alias("n")))
+        return F.get(F.transform(F.array(starts), lengths), F.lit(0))
+
+    return F.get(F.transform(F.array(F.sort_array(found)), runs), F.lit(0))
+
+
 def edit_similarity(a: Column, b: Column) -> Column:
     """1 - edit distance over the longer length; 0 if either is empty."""
     return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
