@@ -118,17 +118,24 @@ def gathered(rows: DataFrame, pivots: dict[int, Pivots]) -> DataFrame:
 
 
 def best_of(one: pd.DataFrame, two: pd.DataFrame, k: int, min_score: float, digits: int | None) -> pd.DataFrame:
-    """The k best of a block of b for each row of a block of a."""
+    """The k best of a block of b for each row of a block of a, without sorting what can't be among them. floor, if one has it: a score that k rows of b reach already."""
     empty = pd.DataFrame({"a_id": [], "b_id": [], "score": []}).astype({"a_id": "int64", "b_id": "int64"})
     if not len(one) or not len(two):
         return empty
-    two, size = two.sort_values("id"), int(two["size"].iloc[0])
+    size, slack = int(two["size"].iloc[0]), 0.0 if digits is None else 10.0**-digits
     scores = matrix(one["vector"], size) @ matrix(two["vector"], size).T
-    scores = scores.round(digits) if digits is not None else scores
-    order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-    found = np.take_along_axis(scores, order, axis=1)
-    i, j = np.nonzero(found >= min_score)
-    return pd.DataFrame({"a_id": one["id"].to_numpy()[i], "b_id": two["id"].to_numpy()[order[i, j]], "score": found[i, j]})
+    least = np.fmax(one["floor"].to_numpy(np.float64), min_score) if "floor" in one else np.full(len(one), min_score)
+    may = scores >= (least - slack)[:, None]
+    if len(two) > k and np.count_nonzero(may) > 64 * k * len(one):
+        edge = np.partition(np.where(may, scores, -np.inf), len(two) - k, axis=1)[:, len(two) - k]
+        may &= scores >= (edge - slack)[:, None]
+    i, j = np.nonzero(may)
+    score, b_id = scores[i, j], two["id"].to_numpy()[j]
+    score = score.round(digits) if digits is not None else score
+    order = np.lexsort((b_id, -score, i))
+    i, b_id, score = i[order], b_id[order], score[order]
+    kept = (np.arange(len(i)) - np.searchsorted(i, i) < k) & (score >= min_score)
+    return pd.DataFrame({"a_id": one["id"].to_numpy()[i[kept]], "b_id": b_id[kept], "score": score[kept]})
 
 
 class TopK:
@@ -167,13 +174,13 @@ class TopK:
         return self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{name}")
 
     def _met(self, visits: DataFrame, name: str) -> DataFrame:
-        """a_id, b_id, score of the k best of each visit (id, size, pivot, block)."""
+        """a_id, b_id, score of the k best of each visit (id, size, pivot, block, floor)."""
         key = ["size", "pivot", "block"]
         visits = self._keep(visits, f"visits-{name}")
         crowds = visits.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
         block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
         right = self.b.join(self.blocks, ["size", "pivot"]).withColumn("block", block).join(crowds, key).select("id", "vector", *key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        left = visits.join(crowds, key).withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int")).join(self.a.select("id", "vector"), "id").select("id", "vector", *key, "part")
+        left = visits.join(crowds, key).withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int")).join(self.a.select("id", "vector"), "id").select("id", "vector", "floor", *key, "part")
         best = partial(best_of, k=self.k, min_score=self.min_score, digits=self.digits)
         return left.groupBy(*key, "part").cogroup(right.groupBy(*key, "part")).applyInPandas(lambda one, two: best(one, two), "a_id bigint, b_id bigint, score double")
 
@@ -181,7 +188,7 @@ class TopK:
         """a_id, b_id, score, place: ties go to the smaller b_id."""
         first_block = F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")
         near = self.a.join(self.blocks, ["size", "pivot"]).select("id", "size", "pivot", first_block.alias("block"))
-        seeds = self._keep(self._met(near, "first"), "seeds")
+        seeds = self._keep(self._met(near.withColumn("floor", F.lit(None).cast("double")), "first"), "seeds")
         floors = seeds.groupBy("a_id").agg(F.when(F.count("*") >= self.k, F.min("score")).alias("floor"))
         rows = self.a.join(near.select("id", "block"), "id", "left").join(floors, F.col("id") == F.col("a_id"), "left")
         rows = rows.select("id", "size", "pivot", "vector", F.coalesce("block", F.lit(-1)).alias("seen"), "floor")
@@ -196,11 +203,11 @@ class TopK:
                         may = np.ones((len(part), 1), dtype=bool)
                     i, group = np.nonzero(may)
                     own = group == part["pivot"].to_numpy()[i]
-                    yield pd.DataFrame({"id": part["id"].to_numpy()[i], "size": size, "pivot": group, "seen": np.where(own, part["seen"].to_numpy()[i], -1)})
+                    yield pd.DataFrame({"id": part["id"].to_numpy()[i], "size": size, "pivot": group, "seen": np.where(own, part["seen"].to_numpy()[i], -1), "floor": part["floor"].to_numpy()[i]})
 
-        again = rows.mapInPandas(reached, "id bigint, size int, pivot int, seen int").join(self.blocks, ["size", "pivot"])
-        again = again.select("id", "size", "pivot", "seen", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).where("block <> seen").drop("seen")
-        every = seeds.unionByName(self._met(again, "then"))
+        again = rows.mapInPandas(reached, "id bigint, size int, pivot int, seen int, floor double").join(self.blocks, ["size", "pivot"])
+        again = again.select("id", "size", "pivot", "seen", "floor", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).where("block <> seen").drop("seen")
+        every = seeds.unionByName(self._keep(self._met(again, "then"), "rest"))  # written, as whoever numbers the result reads it more than once
         place = F.row_number().over(W.partitionBy("a_id").orderBy(F.desc("score"), "b_id"))
         return every.withColumn("place", place).where(F.col("place") <= self.k)
 

@@ -57,3 +57,30 @@ def test_vectors_of_all_kinds(spark, monkeypatch, least):
     assert found(search) == brute(a, b, 4, least)
     nothing = frame(spark, b).where(F.lit(False))
     assert similarity.top_candidates(nothing, frame(spark, b)).count() == 0 and similarity.top_candidates(frame(spark, a), nothing).count() == 0
+
+
+def test_a_block_is_not_sorted_and_ties_go_to_the_smaller_id(monkeypatch):
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    side = lambda at, x: pd.DataFrame({"id": rng.permutation(len(x)) + at, "size": x.shape[1], "vector": [v.tobytes() for v in x]})
+    monkeypatch.setattr(np, "argsort", None)  # a sort of every product
+    huge = np.vstack([np.full((3, 4), 1e200), np.full((3, 4), -1e200)])
+    huge[3:, 2:] *= -1
+    for x, y in ((rng.normal(size=(50, 4)), rng.normal(size=(400, 4))), (rng.integers(0, 3, (40, 4)).astype(float), rng.integers(0, 2, (900, 4)).astype(float)), (huge, huge)):
+        one, two = side(0, x), side(1000, y)
+        with np.errstate(all="ignore"):
+            scores, k = (x @ y.T).round(6), 3
+            expected = {}
+            for i, row in zip(one["id"], scores, strict=True):
+                expected[i] = sorted(((-s, j) for s, j in zip(row, two["id"], strict=True) if s >= 0.25))[:k]
+            for frame in (one, one.assign(floor=[-expected[i][-1][0] if len(expected[i]) == k else np.nan for i in one["id"]])):
+                got = similarity.best_of(frame, two, k, 0.25, 6)
+                assert {i: v for i, v in expected.items() if v} == {i: [(-s, j) for s, j in zip(g["score"], g["b_id"], strict=True)] for i, g in got.groupby("a_id")}
+
+
+def test_what_is_found_is_written_once(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8)) for i in range(300)]
+    search = TopK(frame(spark, rows), frame(spark, rows), 3, -5.0)
+    assert "FlatMapCoGroupsInPandas" not in search.found()._jdf.queryExecution().executedPlan().toString()
