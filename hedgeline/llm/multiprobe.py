@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import cached_property, partial
 from math import erf, log
 
 import numpy as np
@@ -98,27 +98,37 @@ class Tables:
         ends = np.concatenate([np.zeros((*below.shape[:3], 1)), below, np.ones((*below.shape[:3], 1))], axis=3)
         return np.log(np.maximum(np.diff(ends, axis=3), 1e-12))
 
-    def probes(self, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets of one table in the order of success, and how many of them each query needs. log_p: queries, projections, slots.
+    def likeliest(self, log_p: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Up to `most` buckets of one table for each query, in the order of success, and the success up to each. log_p: queries, projections, slots.
 
         A bucket among the `most` likeliest has its first slots among the
         `most` likeliest choices of first slots, so that others can be left
         out projection by projection.
         """
-        need, most = 1 - (1 - self.index.success) ** (1 / self.index.tables), 1024
-        while True:
-            bucket, total = np.zeros((len(log_p), 1), dtype=np.int64), np.zeros((len(log_p), 1))
-            for i in range(self.projections):
-                total = (total[:, :, None] + log_p[:, i, None, :]).reshape(len(log_p), -1)
-                bucket = (bucket[:, :, None] | np.arange(SLOTS) << SLOT_BITS * i).reshape(len(log_p), -1)
-                if total.shape[1] > most:
-                    best = np.argpartition(-total, most - 1, axis=1)[:, :most]
-                    total, bucket = np.take_along_axis(total, best, axis=1), np.take_along_axis(bucket, best, axis=1)
-            order = np.argsort(-total, axis=1, kind="stable")
-            reached = np.cumsum(np.exp(np.take_along_axis(total, order, axis=1)), axis=1)
-            if most >= SLOTS**self.projections or (reached[:, -1] >= need).all():
-                return np.take_along_axis(bucket, order, axis=1), (reached < need).sum(axis=1) + 1
-            most *= 4
+        bucket, total = np.zeros((len(log_p), 1), dtype=np.int64), np.zeros((len(log_p), 1))
+        for i in range(self.projections):
+            total = (total[:, :, None] + log_p[:, i, None, :]).reshape(len(log_p), -1)
+            bucket = (bucket[:, :, None] | np.arange(SLOTS) << SLOT_BITS * i).reshape(len(log_p), -1)
+            if total.shape[1] > most:
+                best = np.argpartition(-total, most - 1, axis=1)[:, :most]
+                total, bucket = np.take_along_axis(total, best, axis=1), np.take_along_axis(bucket, best, axis=1)
+        order = np.argsort(-total, axis=1)
+        return np.take_along_axis(bucket, order, axis=1), np.cumsum(np.exp(np.take_along_axis(total, order, axis=1)), axis=1)
+
+    def probes_of_each(self, log_p: np.ndarray, most: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Queries in groups: which they are, their buckets, and how many of them each needs. Only queries that `most` buckets don't suffice for are tried again with more."""
+        need, todo = 1 - (1 - self.index.success) ** (1 / self.index.tables), np.arange(len(log_p))
+        while len(todo):
+            bucket, reached = self.likeliest(log_p[todo], most)
+            done = (reached[:, -1] >= need) | (most >= SLOTS**self.projections)
+            yield todo[done], bucket[done], (reached[done] < need).sum(axis=1) + 1
+            todo, most = todo[~done], most * 4
+
+    def probes(self, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of one table, as many for each query as the one that needs most of them asks for, and how many each needs."""
+        most = max(bucket.shape[1] for who, bucket, _ in self.probes_of_each(log_p) if len(who))
+        (_, bucket, n), = self.probes_of_each(log_p, most)
+        return bucket, n
 
 
 def laid_out(table: np.ndarray, bucket: np.ndarray, count: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,15 +155,24 @@ class Layout:
     first: np.ndarray
     parts: np.ndarray
 
+    @cached_property
+    def places(self) -> np.ndarray:
+        """Of each table's buckets the number among all, -1 if it is empty; made where it is used."""
+        found = np.full((self.tables.index.tables, SLOTS**self.tables.projections), -1, dtype=np.int32)
+        found[self.table, self.bucket] = np.arange(len(self.bucket))
+        return found
+
+    @cached_property
+    def numbers(self) -> np.ndarray:
+        """Of each bucket the number in its shard, where each has a row or more."""
+        return (np.arange(len(self.first)) - np.searchsorted(self.first, self.first)).astype("<u2")
+
     def place(self, table: int, bucket: np.ndarray) -> np.ndarray:
         """The number of a bucket among all, -1 if it is empty."""
-        low, high = np.searchsorted(self.table, [table, table + 1])
-        at = np.minimum(np.searchsorted(self.bucket[low:high], bucket), high - low - 1)
-        return np.where(self.bucket[low:high][at] == bucket, low + at, -1)
+        return self.places[table][bucket]
 
     def within(self, place: np.ndarray) -> np.ndarray:
-        """The number of a bucket in its shard, where each has a row or more."""
-        return (place - np.searchsorted(self.first, self.first[place])).astype("<u2")
+        return self.numbers[place]
 
 
 ROWS = "shard bigint, query boolean, id bigint, vector binary, buckets binary"
@@ -187,18 +206,19 @@ def indexed(frames: Iterator[pd.DataFrame], layout) -> Iterator[pd.DataFrame]:
 
 def probed(frames: Iterator[pd.DataFrame], layout, enough: int) -> Iterator[pd.DataFrame]:
     """Each query once for each shard that it visits, with the buckets it visits there; in each table they hold `enough` vectors if there are so many."""
-    at = layout.value
+    at, most = layout.value, 1024
     for frame in frames:
         for i in range(0, len(frame), 128):
             part = frame.iloc[i : i + 128]
             x = matrix(part["vector"].tolist())
-            vectors, rows = narrow(x), []
+            vectors, ids, rows = narrow(x), part["vec_id"].to_numpy(), []
             for table, log_p in enumerate(at.tables.slot_success(x)):
-                buckets, n = at.tables.probes(log_p)
-                for k, vec_id in enumerate(part["vec_id"]):
-                    place = at.place(table, buckets[k])
+                tried = [(k, *of) for who, buckets, n in at.tables.probes_of_each(log_p, most) for k, *of in zip(who, buckets, n, strict=True)]
+                most *= 4 if 2 * sum(len(buckets) > most for _, buckets, _ in tried) > len(tried) else 1  # where to begin next time
+                for k, buckets, n in tried:
+                    vec_id, place = ids[k], at.place(table, buckets)
                     held = np.cumsum(np.where(place >= 0, at.count[place], 0))
-                    place = place[: max(n[k], np.searchsorted(held, enough) + 1)]
+                    place = place[: max(n, np.searchsorted(held, enough) + 1)]
                     if held[-1] < enough:  # few generated buckets are in use: visit all there are
                         place = np.arange(*np.searchsorted(at.table, [table, table + 1]))
                     chosen = np.sort(place[place >= 0])
@@ -209,6 +229,14 @@ def probed(frames: Iterator[pd.DataFrame], layout, enough: int) -> Iterator[pd.D
             yield pd.DataFrame(rows, columns=["shard", "query", "id", "vector", "buckets"])
 
 
+def floor_of(scores: np.ndarray, k: int) -> np.ndarray:
+    """Of each row a score that k of its columns reach, hardly below the k-th: columns are dealt to groups, and the k-th of the groups' best is taken."""
+    groups = min(scores.shape[1], 16 * k)
+    deep = scores.shape[1] // groups
+    best = scores[:, : groups * deep].reshape(len(scores), deep, groups).max(axis=1)
+    return np.partition(best, groups - k, axis=1)[:, groups - k]
+
+
 def ranked(ids: np.ndarray, x: np.ndarray, bucket: np.ndarray, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k nearest of a shard's vec_ids for each query, each by its best row among the buckets that the query visits."""
     q, query_ids = widened(queries["vector"].tolist(), x.shape[1]), queries["id"].to_numpy()
@@ -223,16 +251,17 @@ def ranked(ids: np.ndarray, x: np.ndarray, bucket: np.ndarray, queries: pd.DataF
     for a, b, start, stop in zip(heads, [*heads[1:], len(what)], starts, stops, strict=True):
         if stop > start:
             scores[who[a:b], start:stop] = small[who[a:b]] @ rough[start:stop].T
-    scores[query_ids[:, None] == ids[None, :]] = -np.inf
     one, which = np.unique(ids, return_inverse=True)
+    own = np.minimum(np.searchsorted(one, query_ids), len(one) - 1)
+    for i in np.flatnonzero(one[own] == query_ids):
+        scores[i, which == own[i]] = -np.inf
     best = scores
     if len(one) < len(ids):
         by_id = np.argsort(which, kind="stable")
         best = np.maximum.reduceat(scores[:, by_id], np.flatnonzero(np.diff(which[by_id], prepend=-1)), axis=1)
-    last = len(one) - min(k, len(one))
-    edge = np.partition(best, last, axis=1)[:, last]
+    edge = floor_of(best, min(k, len(one)))
     slack = 2e-7 * (len(x[0]) + 2) * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()  # more than a product in single precision can be off
-    row, column = np.nonzero((scores >= (edge - slack)[:, None]) & (scores > -np.inf))
+    row, column = divmod(np.flatnonzero(scores >= np.maximum(edge - slack, np.finfo(np.float32).min).astype(np.float32)[:, None]), len(x))  # -inf: not visited
     exact = (q[row] * x[column]).sum(axis=1)  # summed alike for every pair, so equal vectors tie
     order = np.lexsort((-exact, which[column], row))
     pair = row[order] * len(one) + which[column[order]]

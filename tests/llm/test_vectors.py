@@ -219,3 +219,23 @@ def test_cores_and_cells_of_clusters(spark):
     np.fill_diagonal(near, False)
     expected = brute.components(range(len(rows)), zip(*(k.tolist() for k in np.nonzero(np.triu(near))), strict=True))
     assert found == {i: (int(near[i].sum()), expected[i]) for i in range(len(rows))}
+
+
+def test_only_queries_that_need_more_buckets_are_tried_again():
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(4000, 32))
+    tables = multiprobe.Tables(multiprobe.Index(rows=1), x, len(x), float(np.linalg.norm(x, axis=1).max()), 20)
+    log_p = tables.slot_success(x[:40])[1]
+    every, n = tables.probes(log_p)
+    groups = list(tables.probes_of_each(log_p, 64))
+    assert len(groups) > 1 and sorted(k for who, *_ in groups for k in who) == list(range(40))
+    for who, buckets, of in groups:
+        assert all(n[k] == m <= len(b) and np.array_equal(np.sort(every[k, :m]), np.sort(b[:m])) for k, b, m in zip(who, buckets, of, strict=True))
+
+
+@pytest.mark.parametrize("columns", [5, 20, 319, 320, 5000])
+def test_a_floor_is_reached_by_k_columns_and_hardly_more(columns):
+    scores = np.random.default_rng(15).normal(size=(30, columns)).astype(np.float32)
+    k = min(20, columns)
+    reached = (scores >= multiprobe.floor_of(scores, k)[:, None]).sum(axis=1)
+    assert (reached >= k).all() and (reached <= 2 * k).all()
